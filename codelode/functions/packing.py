@@ -57,7 +57,6 @@ def _pack(sizes, levels, breaks, limit, least, overlap, every):
     return spans
 
 
-@F.arrow_udf(_SPANS)
 def _pack_rows(
     sizes: pa.Array, levels: pa.Array, breaks: pa.Array,
     limit: pa.Array, least: pa.Array, overlap: pa.Array, every: pa.Array,
@@ -71,21 +70,25 @@ def _pack_rows(
 def pack(sizes, levels, breaks, limit, least, overlap, every) -> Column:
     """Chunk spans of one file: 1-based segments ``first..last`` and the lines
     ``start..end`` they cover."""
-    return _pack_rows(
+    return F.arrow_udf(_pack_rows, _SPANS)(
         sizes, levels, breaks, limit.cast("int"), least.cast("int"), overlap.cast("int"), every
     )
 
 
-@F.arrow_udf("array<struct<first:int,last:int>>")
-def merge_runs(
-    sizes: pa.Array, starts: pa.Array, ends: pa.Array, categories: pa.Array, limit: pa.Array
-) -> pa.Array:
+def merge_runs(sizes: Column, starts: Column, ends: Column, categories: Column, limit: Column) -> Column:
     """Greedy runs of touching neighbours of one category.
 
     A run takes the next item while both are of one category, the next begins
     where the run ends, and the joined length (one line break per join, which
     counts towards later joins) stays within ``limit``.
     """
+    merge = F.arrow_udf(_merge_rows, "array<struct<first:int,last:int>>")
+    return merge(sizes, starts, ends, categories, limit)
+
+
+def _merge_rows(
+    sizes: pa.Array, starts: pa.Array, ends: pa.Array, categories: pa.Array, limit: pa.Array
+) -> pa.Array:
     out = []
     for size, start, end, kind, most in zip(
         *(c.to_pylist() for c in (sizes, starts, ends, categories, limit))

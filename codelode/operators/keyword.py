@@ -11,8 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import ParseException
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from codelode import catalog
 from codelode.operators.fields import field_kind, resolve_field, typed_value
@@ -94,13 +93,11 @@ def keyword_sql(df: DataFrame, query: str) -> str:
     return " ".join(pieces) or "TRUE"
 
 
-def keyword_condition(df: DataFrame, query: str) -> Column:
-    sql = keyword_sql(df, query)
+def keyword_filter(df: DataFrame, query: str | None) -> DataFrame:
+    """Rows that match a keyword query; all rows for an empty one."""
+    if not query or not query.strip():
+        return df
     try:
-        return F.expr(sql)
+        return df.filter(keyword_sql(df, query))
     except ParseException as error:
         raise ValueError(f"cannot read keyword query: {query!r}") from error
-
-
-def keyword_filter(df: DataFrame, query: str | None) -> DataFrame:
-    return df.filter(keyword_condition(df, query)) if query and query.strip() else df
