@@ -113,7 +113,7 @@ def packed_chunks(
             F.col("_spans"),
             lambda s: F.struct(
                 F.regexp_replace(
-                    F.array_join(F.slice(seg, s["first"], s["last"] - s["first"] + 1), ""), r"\n$", ""
+                    F.array_join(F.slice(seg, s["first"], s["last"] - s["first"] + 1), ""), r"\n\z", ""
                 ).alias("content"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
@@ -175,8 +175,11 @@ def chunk_files(
 
 
 def _explode(df: DataFrame) -> DataFrame:
+    # The outer form keeps Spark from adding a "not empty" filter below, which
+    # would compute the chunks a second time; the filter after it does the same.
     kept = [c for c in df.columns if c != "_chunks"]
-    return df.select(*kept, F.explode("_chunks").alias("_chunk")).select(
+    rows = df.select(*kept, F.explode_outer("_chunks").alias("_chunk"))
+    return rows.filter(F.col("_chunk").isNotNull()).select(
         *kept,
         F.col("_chunk.content").alias("chunk_content"),
         "_chunk.location", "_chunk.start", "_chunk.end", "_chunk.chunking_method",
