@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode import catalog
+from codelode.functions import sqltext
 
 
 def constant_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.expr(sqltext.constant_map(values))
 
 
 def lookup(values: dict, key: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode import catalog
+from codelode.functions.sqltext import EMPTY_LIST, literal, name
 
 DEFAULTS = {
     "docstring": "", "analysis_method": "unknown", "chunking_method": "unknown",
@@ -21,120 +22,109 @@ DEFAULTS = {
 DETAIL_FIELDS = ["class_details", "function_details", "data_type_details"]
 
 
-def parsed(json_text: Column) -> Column:
+def parsed(json_text: str) -> Column:
     """The JSON object as a VARIANT, NULL unless it parses to an object."""
-    variant = F.try_parse_json(json_text)
-    return F.when(F.schema_of_variant(variant).startswith("OBJECT"), variant)
+    v = f"try_parse_json({name(json_text)})"
+    return F.expr(f"CASE WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN {v} END")
 
 
-def _field(variant: Column, name: str) -> Column:
-    return F.variant_get(variant, f"$.{name}", "variant")
+# The readers take the name of the VARIANT column.  ``kind`` below is one of
+# BOOLEAN, BIGINT, DOUBLE, DECIMAL(..), STRING, ARRAY<..>, OBJECT<..>, VOID.
+def _parts(variant: str, field: str) -> dict[str, str]:
+    value = f"variant_get({name(variant)}, '$.{field}', 'variant')"
+    return {
+        "value": value,
+        "kind": f"schema_of_variant({value})",
+        "text": f"try_variant_get({value}, '$', 'string')",
+        "items": f"try_variant_get({value}, '$', 'array<string>')",
+    }
 
 
-def _kind(value: Column) -> Column:
-    """BOOLEAN, BIGINT, DOUBLE, DECIMAL(..), STRING, ARRAY<..>, OBJECT<..>, VOID."""
-    return F.schema_of_variant(value)
+def _read(template: str, variant: str, field: str, **more: str) -> Column:
+    return F.expr(template.format(**_parts(variant, field), **more, empty=EMPTY_LIST))
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def string_field(variant: Column, name: str, default: str = "") -> Column:
+def string_field(variant: str, field: str, default: str = "") -> Column:
     """Text of a field; JSON null reads as ``None``, booleans as True/False."""
-    value = _field(variant, name)
-    kind = _kind(value)
-    return (
-        F.when(value.isNull(), F.lit(default))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(_text(value)))
-        .otherwise(_text(value))
+    return _read(
+        "CASE WHEN {value} IS NULL THEN {default} WHEN {kind} = 'VOID' THEN 'None'"
+        " WHEN {kind} = 'BOOLEAN' THEN initcap({text}) ELSE {text} END",
+        variant, field, default=literal(default),
     )
 
 
-def bool_field(variant: Column, name: str, default: bool = False) -> Column:
+_TRUTH = (
+    "CASE WHEN {value} IS NULL THEN {default} WHEN {kind} = 'VOID' THEN false"
+    " WHEN {kind} = 'BOOLEAN' THEN {text} = 'true' WHEN {kind} = 'STRING' THEN {text} != ''"
+    " WHEN startswith({kind}, 'ARRAY') THEN {text} != '[]' WHEN startswith({kind}, 'OBJECT') THEN {text} != '{{}}'"
+    " ELSE try_cast({text} AS double) != 0 END"
+)
+
+
+def bool_field(variant: str, field: str, default: bool = False) -> Column:
     """Truthiness of a field: any non-empty text, list or object is true,
     also the text ``"false"``; zero, null and empty values are false."""
-    value = _field(variant, name)
-    kind, text = _kind(value), _text(value)
-    return (
-        F.when(value.isNull(), F.lit(default))
-        .when(kind == "VOID", F.lit(False))
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "STRING", text != "")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(text.try_cast("double") != 0)
-    )
+    return _read(_TRUTH, variant, field, default=literal(default))
 
 
-def int_field(variant: Column, name: str, default: int = 0) -> Column:
+def int_field(variant: str, field: str, default: int = 0) -> Column:
     """Whole number of a field.  Numbers are truncated; text counts only if it
     is a plain whole number; everything else gives the default."""
-    value = _field(variant, name)
-    kind, text = _kind(value), _text(value)
-    number = F.when(
-        (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE"),
-        text.try_cast("double").cast("bigint"),
-    ).when((kind == "STRING") & text.rlike(r"^-?[0-9]+$"), text.try_cast("bigint"))
-    return F.coalesce(number, F.lit(default).cast("bigint"))
+    return _read(
+        "coalesce(CASE WHEN {kind} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' THEN cast(try_cast({text} AS double) AS bigint)"
+        " WHEN {kind} = 'STRING' AND {text} RLIKE '^-?[0-9]+$' THEN try_cast({text} AS bigint) END,"
+        " cast({default} AS bigint))",
+        variant, field, default=literal(default),
+    )
 
 
-def list_field(variant: Column, name: str) -> Column:
+def list_field(variant: str, field: str) -> Column:
     """List of texts; a single value becomes a one-element list."""
-    value = _field(variant, name)
-    kind, text = _kind(value), _text(value)
-    empty = F.array().cast("array<string>")
-    items = F.try_variant_get(value, "$", "array<string>")
-    return F.coalesce(
-        F.when(kind.startswith("ARRAY"), items).when(kind != "VOID", F.array(text)), empty
+    return _read(
+        "coalesce(CASE WHEN startswith({kind}, 'ARRAY') THEN {items} WHEN {kind} != 'VOID' THEN array({text}) END, {empty})",
+        variant, field,
     )
 
 
-def list_text_field(variant: Column, name: str, default: str = "[]") -> Column:
+def list_text_field(variant: str, field: str, default: str = "[]") -> Column:
     """The field as JSON list text; a single value is wrapped."""
-    value = _field(variant, name)
-    return F.when(_kind(value).startswith("ARRAY"), _text(value)).otherwise(
-        F.when(bool_field(variant, name), F.to_json(list_field(variant, name))).otherwise(
-            F.lit(default)
-        )
+    return _read(
+        "CASE WHEN startswith({kind}, 'ARRAY') THEN {text} WHEN " + _TRUTH.replace("{default}", "false")
+        + " THEN to_json(array({text})) ELSE {default} END",
+        variant, field, default=literal(default),
     )
 
 
-def error_nodes_field(variant: Column, name: str = "nodes_with_errors") -> Column:
+def error_nodes_field(variant: str, field: str = "nodes_with_errors") -> Column:
     """A positive count becomes a one-element list, zero an empty one."""
-    value = _field(variant, name)
-    kind, text = _kind(value), _text(value)
-    number = F.when(text.try_cast("bigint") > 0, F.array(text))
-    empty = F.array().cast("array<string>")
-    return F.coalesce(
-        F.when(kind == "BIGINT", F.coalesce(number, empty))
-        .when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<string>"))
-        .when(value.isNotNull() & (kind != "VOID"), F.array(text)),
-        empty,
+    return _read(
+        "coalesce(CASE WHEN {kind} = 'BIGINT' THEN CASE WHEN try_cast({text} AS bigint) > 0 THEN array({text}) END"
+        " WHEN startswith({kind}, 'ARRAY') THEN {items} WHEN {value} IS NOT NULL AND {kind} != 'VOID' THEN array({text}) END,"
+        " {empty})",
+        variant, field,
     )
 
 
-def chunking_method_field(variant: Column) -> Column:
+def chunking_method_field(variant: str) -> Column:
     return F.coalesce(
         string_field(variant, "chunking_method", "unknown_chunking"), F.lit("unknown_chunking")
     )
 
 
-def read_field(variant: Column, name: str, kind: str) -> Column:
+def read_field(variant: str, field: str, kind: str) -> Column:
     """The reader that belongs to a chunk-table column."""
-    if name == "nodes_with_errors":
+    if field == "nodes_with_errors":
         return error_nodes_field(variant)
     if kind == "array<string>":
-        return list_field(variant, name)
-    if name in DETAIL_FIELDS:
-        return list_text_field(variant, name)
-    default = DEFAULTS[name]
+        return list_field(variant, field)
+    if field in DETAIL_FIELDS:
+        return list_text_field(variant, field)
+    default = DEFAULTS[field]
     if kind == "boolean":
-        return bool_field(variant, name, default)
+        return bool_field(variant, field, default)
     if kind == "bigint":
-        return int_field(variant, name, default)
-    return string_field(variant, name, default)
+        return int_field(variant, field, default)
+    return string_field(variant, field, default)
 
 
 NOT_IN_METADATA = {
@@ -148,13 +138,12 @@ def promote(df: DataFrame, json_column: str = "metadata_json") -> DataFrame:
 
     Columns the relation already has are kept.
     """
-    variant = F.col("_meta")
     wanted = [
         (n, k) for n, k in catalog.CHUNK_COLUMNS if n not in NOT_IN_METADATA and n not in df.columns
     ]
     return (
-        df.withColumn("_meta", parsed(F.col(json_column)))
-        .withColumns({n: read_field(variant, n, k) for n, k in wanted})
+        df.withColumn("_meta", parsed(json_column))
+        .withColumns({n: read_field("_meta", n, k) for n, k in wanted})
         .drop("_meta")
     )
 
@@ -194,20 +183,20 @@ def merge_metadata(left: dict[str, Column], right: dict[str, Column]) -> dict[st
     """Two analyzers' findings as one: union of lists, the larger score, any
     flag, the longer detail text."""
     out = {}
-    for name, kind in catalog.CHUNK_COLUMNS:
-        if name not in left or name not in right:
+    for field, kind in catalog.CHUNK_COLUMNS:
+        if field not in left or field not in right:
             continue
-        a, b = left[name], right[name]
+        a, b = left[field], right[field]
         if kind == "array<string>":
-            out[name] = F.array_sort(F.array_union(a, b))
+            out[field] = F.array_sort(F.array_union(a, b))
         elif kind == "bigint":
-            out[name] = F.greatest(a, b)
+            out[field] = F.greatest(a, b)
         elif kind == "boolean":
-            out[name] = a | b
-        elif name in DETAIL_FIELDS:
-            out[name] = F.when(F.length(b) > F.length(a), b).otherwise(a)
+            out[field] = a | b
+        elif field in DETAIL_FIELDS:
+            out[field] = F.when(F.length(b) > F.length(a), b).otherwise(a)
         else:
-            out[name] = F.coalesce(F.nullif(a, F.lit("")), b)
+            out[field] = F.coalesce(F.nullif(a, F.lit("")), b)
     return out
 
 
@@ -217,35 +206,35 @@ def validate_records(df: DataFrame) -> DataFrame:
     Missing ``filename``, ``language`` or ``location`` stops the job with a
     message; other columns are cast, and defaults fill missing ones.
     """
-    for name in ("filename", "language", "location"):
-        if name not in df.columns:
-            raise ValueError(f"missing required field: {name}")
+    for field in ("filename", "language", "location"):
+        if field not in df.columns:
+            raise ValueError(f"missing required field: {field}")
     columns = []
-    for name, kind in catalog.CHUNK_COLUMNS:
-        if name in ("filename", "language", "location"):
-            ok = F.col(name).isNotNull() & (F.col(name).cast("string") != "")
+    for field, kind in catalog.CHUNK_COLUMNS:
+        if field in ("filename", "language", "location"):
+            ok = F.col(field).isNotNull() & (F.col(field).cast("string") != "")
             columns.append(
-                F.when(ok, F.col(name).cast(kind))
-                .otherwise(F.raise_error(F.lit(f"missing required field: {name}")))
-                .alias(name)
+                F.when(ok, F.col(field).cast(kind))
+                .otherwise(F.raise_error(F.lit(f"missing required field: {field}")))
+                .alias(field)
             )
             continue
-        value = F.col(f"`{name}`").try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        value = F.col(f"`{field}`").try_cast(kind) if field in df.columns else F.lit(None).cast(kind)
         if kind == "array<string>":
-            if name in df.columns and not df.schema[name].dataType.simpleString().startswith("array"):
-                raise ValueError(f"{name} must be a list")
+            if field in df.columns and not df.schema[field].dataType.simpleString().startswith("array"):
+                raise ValueError(f"{field} must be a list")
             default = F.array().cast(kind)
-        elif name == "source_name":
+        elif field == "source_name":
             default = F.lit("default")
-        elif name in DETAIL_FIELDS:
+        elif field in DETAIL_FIELDS:
             default = F.lit("[]")
-        elif name in DEFAULTS:
-            default = F.lit(DEFAULTS[name]).cast(kind)
+        elif field in DEFAULTS:
+            default = F.lit(DEFAULTS[field]).cast(kind)
         elif kind == "bigint":
             default = F.lit(0).cast(kind)
-        elif kind == "string" and name != "embedding_model":
-            default = F.lit("{}" if name == "metadata_json" else "")
+        elif kind == "string" and field != "embedding_model":
+            default = F.lit("{}" if field == "metadata_json" else "")
         else:
             default = None
-        columns.append((F.coalesce(value, default) if default is not None else value).alias(name))
+        columns.append((F.coalesce(value, default) if default is not None else value).alias(field))
     return df.select(*columns)

@@ -8,10 +8,8 @@ whole match that fits ``NOT_A_DECLARATION`` is dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from codelode.functions import text
+from codelode.functions.sqltext import EMPTY_LIST, case, literal, one_of
 
 _N = r"([A-Za-z_$][\w$]*)"
 _JAVA_MODS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default|native|strictfp)\s+)*"
@@ -130,56 +128,49 @@ COMMENTS = {
 }
 
 
-def without_comments(code: Column, language: Column) -> Column:
-    """The text with comments removed, string literals kept."""
-    by_shape: dict[str, list[str]] = {}
-    for name, shape in COMMENTS.items():
-        by_shape.setdefault(shape, []).append(name)
-    out = F.when(F.lit(False), code)
-    for shape, members in by_shape.items():
-        out = out.when(language.isin(members), F.regexp_replace(code, rf"({_STRING})|{shape}", "$1"))
-    return out.otherwise(code)
+def _grouped(values: dict) -> dict:
+    """Equal values with all the languages that share them."""
+    groups: dict = {}
+    for language, value in values.items():
+        groups.setdefault(value, []).append(language)
+    return groups
 
 
-def _captured(matches: Column, pattern: str) -> Column:
-    return F.transform(matches, lambda m: F.regexp_extract(m, pattern, 1))
+def without_comments(code: str, language: str) -> str:
+    """SQL for the text with comments removed, string literals kept."""
+    branches = [
+        (one_of(language, members), f"regexp_replace({code}, {literal(f'({_STRING})|{shape}')}, '$1')")
+        for shape, members in _grouped(COMMENTS).items()
+    ]
+    return case(branches, code)
 
 
-def declared(code: Column, patterns: list[str], guard: bool) -> Column:
-    """Distinct names in order of first appearance per pattern."""
+def declared(code: str, patterns: tuple[str, ...], guard: bool) -> str:
+    """SQL for the distinct names, in order of appearance per pattern."""
     parts = []
     for pattern in patterns:
         if guard:
-            whole = F.filter(
-                text.find_all(code, pattern, 0), lambda m: ~m.rlike(NOT_A_DECLARATION)
+            parts.append(
+                f"transform(filter({text.find_all_sql(code, pattern, 0)}, m -> NOT m RLIKE {literal(NOT_A_DECLARATION)}),"
+                f" m -> regexp_extract(m, {literal(pattern)}, 1))"
             )
-            parts.append(_captured(whole, pattern))
         else:
-            parts.append(text.find_all(code, pattern))
-    found = parts[0] if len(parts) == 1 else F.flatten(F.array(*parts))
-    return F.array_distinct(F.filter(found, lambda n: (n != "") & ~n.isin(NOT_A_NAME)))
-
+            parts.append(text.find_all_sql(code, pattern))
+    found = parts[0] if len(parts) == 1 else f"flatten(array({', '.join(parts)}))"
+    return f"array_distinct(filter({found}, n -> n != '' AND NOT {one_of('n', NOT_A_NAME)}))"
 
-def fields() -> list[str]:
-    """Every field some language declares."""
-    return list(dict.fromkeys(f for table in PATTERNS.values() for f in table))
 
-
-def declared_names(code: Column, language: Column) -> dict[str, Column]:
-    """One array column per field; languages without the field give ``[]``."""
-    empty = F.array().cast("array<string>")
+def declared_names(code: str, language: str) -> dict[str, str]:
+    """SQL per field for an array of names; ``[]`` where a language has none."""
+    fields = dict.fromkeys(f for table in PATTERNS.values() for f in table)
     out = {}
-    for field in fields():
-        by_patterns: dict[tuple, list[str]] = {}
-        for name, table in PATTERNS.items():
-            if field in table:
-                by_patterns.setdefault(tuple(table[field]), []).append(name)
-        column = F.when(F.lit(False), empty)
-        for patterns, members in by_patterns.items():
-            column = column.when(
-                language.isin(members), declared(code, list(patterns), field == "functions")
-            )
-        out[field] = column.otherwise(empty)
+    for field in fields:
+        groups = _grouped({n: tuple(t[field]) for n, t in PATTERNS.items() if field in t})
+        branches = [
+            (one_of(language, members), declared(code, patterns, field == "functions"))
+            for patterns, members in groups.items()
+        ]
+        out[field] = case(branches, EMPTY_LIST)
     return out
 
 
@@ -232,25 +223,23 @@ DECLARED_NODES: dict[str, dict[str, str]] = {
 }
 
 
-def node_counts(code: Column, language: Column, names: dict[str, Column]) -> Column:
-    """Histogram of node kinds as a map, without zero entries."""
-    none = F.create_map().cast("map<string,bigint>")
-    out = F.when(F.lit(False), none)
+def node_counts(code: str, language: str, lists: dict[str, str]) -> str:
+    """SQL for a histogram of node kinds as a map, without zero entries.
+
+    ``lists`` names the columns that hold the declared names.
+    """
+    branches = []
     for name, shapes in NODE_SHAPES.items():
-        pairs = [(kind, text.count_pattern(code, shape)) for kind, shape in shapes.items()]
-        pairs += [
-            (kind, F.size(names[field]).cast("bigint")) for field, kind in DECLARED_NODES[name].items()
-        ]
-        entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in pairs])
-        out = out.when(
-            language == name, F.map_from_entries(F.filter(entries, lambda e: e["v"] > 0))
+        pairs = [(kind, text.matches_sql(code, shape)) for kind, shape in shapes.items()]
+        pairs += [(kind, f"size({lists[field]})") for field, kind in DECLARED_NODES[name].items()]
+        entries = ", ".join(f"struct({literal(k)} AS k, cast({v} AS bigint) AS v)" for k, v in pairs)
+        branches.append(
+            (f"{language} = {literal(name)}", f"map_from_entries(filter(array({entries}), e -> e.v > 0))")
         )
-    return out.otherwise(none)
+    return case(branches, "cast(map() AS map<string,bigint>)")
 
 
-def bracket_errors(code: Column) -> Column:
-    """Unmatched brackets: the difference of opening and closing ones."""
-    total = F.lit(0).cast("bigint")
-    for a, b in ("()", "[]", "{}"):
-        total = total + F.abs(text.count_literal(code, a) - text.count_literal(code, b))
-    return total
+def bracket_errors(code: str) -> str:
+    """SQL for unmatched brackets: the difference of opening and closing ones."""
+    parts = [f"abs(({text.count_sql(code, [a])}) - ({text.count_sql(code, [b])}))" for a, b in ("()", "[]", "{}")]
+    return f"cast({' + '.join(parts)} AS bigint)"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions import symbols, text
-from codelode.functions.languages import constant_map
 from codelode.functions.python_syntax import python_findings
+from codelode.functions.sqltext import EMPTY_LIST, case, columns, constant_map, literal, name, one_of
 
 # --- Fixed values: name of the analyzer that ran -----------------------------
 METHODS = {
@@ -31,15 +31,10 @@ _EMPTY_LISTS = [
 JSON_ONLY = ["interfaces", "packages", "annotations", "typedefs", "templates", "data_classes", "objects"]
 
 
-def weighted_complexity(counts: Column) -> Column:
-    """Sum of node counts times the weight of their kind."""
-    weights = constant_map(catalog.NODE_WEIGHTS)
-    return F.aggregate(
-        F.map_entries(counts),
-        F.lit(0).cast("bigint"),
-        lambda total, e: total
-        + e["value"].cast("bigint") * F.coalesce(F.try_element_at(weights, e["key"]), F.lit(0)),
-    )
+def weighted_complexity(counts: str) -> str:
+    """SQL for the sum of node counts times the weight of their kind."""
+    weight = f"coalesce(try_element_at({constant_map(catalog.NODE_WEIGHTS)}, e.key), 0)"
+    return f"aggregate(map_entries({counts}), cast(0 AS bigint), (total, e) -> total + cast(e.value AS bigint) * {weight})"
 
 
 def analyze(df: DataFrame, code: str = "code", language: str = "language", basic: bool = False) -> DataFrame:
@@ -48,109 +43,83 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     With ``basic`` every language gets the constant default analyzer.
     Only Python text reaches a Python worker; other rows pass NULL there.
     """
-    lang, source = F.col(language), F.col(code)
-    empty = F.array().cast("array<string>")
+    lang, source = name(language), name(code)
+    constants = {"success": "true", "char_count": f"cast(length({source}) AS bigint)"}
     if basic:
-        df = df.withColumns({n: empty for n in _EMPTY_LISTS}).withColumns({
-            "complexity_score": F.lit(0).cast("bigint"), "has_type_hints": F.lit(False),
-            "has_async": F.lit(False), "has_classes": F.lit(False), "has_module": F.lit(False),
-            "success": F.lit(True), "parse_errors": F.lit(0).cast("bigint"),
-            "docstring": F.lit(""), "function_details": F.lit("[]"), "class_details": F.lit("[]"),
-            "data_type_details": F.lit("[]"), "analysis_method": F.lit(DEFAULT_METHOD),
-            "tree_sitter_analyze_error": F.lit(False), "char_count": text.char_count(source),
-            "node_counts": F.create_map().cast("map<string,bigint>"),
-        }).withColumns({n: empty for n in JSON_ONLY})
-        return with_json(df)
-
-    is_python = lang == "Python"
-    known = lang.isin(*METHODS)
-    staged = df.withColumns({
-        "_py": python_findings(F.when(is_python, source)),
-        "_bare": F.when(known, symbols.without_comments(source, lang)),
-    })
-    bare, py = F.col("_bare"), F.col("_py")
-    names = symbols.declared_names(bare, lang)
-    staged = staged.withColumns({f"_{n}": c for n, c in names.items()})
-    found = {n: F.col(f"_{n}") for n in names}
-    parsed = py.isNotNull()
-    fallback = text.python_fallback(source)
-
-    def choose(name: str, from_python: Column | None = None, from_fallback: Column | None = None) -> Column:
-        rule = F.when(is_python & parsed, from_python if from_python is not None else empty)
-        rule = rule.when(is_python, from_fallback if from_fallback is not None else empty)
-        return rule.otherwise(F.coalesce(found[name], empty) if name in found else empty)
-
-    lists = {
-        "functions": choose("functions", py["functions"], fallback["functions"]),
-        "classes": choose("classes", py["classes"], fallback["classes"]),
-        "imports": choose("imports", py["imports"], fallback["imports"]),
-        "variables": F.when(is_python & parsed, py["variables"]).otherwise(empty),
-        "private_methods": F.when(is_python & parsed, py["private_methods"]).otherwise(empty),
-        "dunder_methods": F.when(is_python & parsed, py["dunder_methods"]).otherwise(empty),
-        "decorators": choose("decorators", py["decorators"]),
-        "decorators_used": F.when(is_python & parsed, py["decorators"])
-        .when(lang == "Java", found["annotations"])
-        .when(lang.isin("TypeScript", "TSX"), found["decorators"])
-        .otherwise(empty),
-    }
-    for name in _EMPTY_LISTS:
-        if name not in lists and name != "nodes_with_errors":
-            lists[name] = choose(name)
-    extra = {n: choose(n) for n in JSON_ONLY}
-
-    damaged = F.when(is_python & ~parsed, F.lit(1).cast("bigint")).when(
-        known, symbols.bracket_errors(bare)
-    ).otherwise(F.lit(0).cast("bigint"))
-    staged = staged.withColumns({**lists, **extra, "_errors": damaged})
-    counts = F.when(is_python & parsed, py["node_counts"].cast("map<string,bigint>")).otherwise(
-        symbols.node_counts(bare, lang, found)
+        parts = {n: EMPTY_LIST for n in [*_EMPTY_LISTS, *JSON_ONLY]} | constants | {
+            "complexity_score": "0L", "parse_errors": "0L", "has_type_hints": "false", "has_async": "false",
+            "has_classes": "false", "has_module": "false", "tree_sitter_analyze_error": "false",
+            "docstring": "''", "function_details": "'[]'", "class_details": "'[]'", "data_type_details": "'[]'",
+            "analysis_method": literal(DEFAULT_METHOD), "node_counts": "cast(map() AS map<string,bigint>)",
+        }
+        return with_json(df.withColumns(columns(parts)))
+
+    python, known = f"{lang} = 'Python'", one_of(lang, METHODS)
+    parsed, broken = f"{python} AND _py IS NOT NULL", f"{python} AND _py IS NULL"
+    fallback = text.python_fallback_sql(source)
+    staged = df.withColumn("_py", python_findings(F.expr(f"CASE WHEN {python} THEN {source} END")))
+    staged = staged.withColumn("_bare", F.expr(case([(known, symbols.without_comments(source, lang))], "NULL")))
+    found = symbols.declared_names("_bare", lang)
+    staged = staged.withColumns(columns({f"_{n}": sql for n, sql in found.items()}))
+
+    def choose(field: str, from_python: bool = False) -> str:
+        branches = [(parsed, f"_py.{field}" if from_python else EMPTY_LIST)]
+        branches.append((broken, fallback[field] if field in fallback else EMPTY_LIST))
+        return case(branches, f"_{field}" if field in found else EMPTY_LIST)
+
+    in_python = {"functions", "classes", "imports", "variables", "private_methods", "dunder_methods", "decorators"}
+    lists = {n: choose(n, n in in_python) for n in [*_EMPTY_LISTS, *JSON_ONLY]}
+    lists["decorators_used"] = case(
+        [(parsed, "_py.decorators"), (f"{lang} = 'Java'", "_annotations"), (one_of(lang, ["TypeScript", "TSX"]), "_decorators")],
+        EMPTY_LIST,
+    )
+    lists["_errors"] = case([(broken, "1L"), (known, symbols.bracket_errors("_bare"))], "0L")
+    lists["nodes_with_errors"] = EMPTY_LIST
+    counts = case(
+        [(parsed, "cast(_py.node_counts AS map<string,bigint>)")],
+        symbols.node_counts("_bare", lang, {n: f"_{n}" for n in found}),
     )
-    staged = staged.withColumn("node_counts", counts)
-    weighted = weighted_complexity(F.col("node_counts"))
+    staged = staged.withColumns(columns(lists | {"node_counts": counts}))
     counted = (
-        py["function_count"] * 2 + F.size(py["classes"]) * 3 + py["decorated_count"]
-        + text.count_literals(source, text.PYTHON_BRANCH_WORDS)
-    ).cast("bigint")
-    complexity = (
-        F.when(is_python & parsed, F.greatest(counted, weighted))
-        .when(is_python, fallback["complexity_score"])
-        .when(lang == "Haskell", (F.size("functions") * 2 + F.size("classes") * 3).cast("bigint"))
-        .when(known, weighted)
-        .otherwise(F.lit(0).cast("bigint"))
+        "cast(_py.function_count * 2 + size(_py.classes) * 3 + _py.decorated_count"
+        f" + {text.count_sql(source, text.PYTHON_BRANCH_WORDS)} AS bigint)"
     )
-    has_async = F.when(is_python & parsed, py["has_async"]).when(is_python, fallback["has_async"])
-    for name, word in ASYNC_WORDS.items():
-        has_async = has_async.when(lang == name, bare.rlike(rf"\b{word}\b"))
-    classes = F.size("classes") > 0
-    errors = F.col("_errors")
-    staged = staged.withColumns({
-        "complexity_score": complexity,
-        "has_type_hints": F.when(is_python & parsed, py["has_type_hints"])
-        .when(is_python, fallback["has_type_hints"])
-        .otherwise(lang.isin(TYPED_LANGUAGES)),
-        "has_async": has_async.otherwise(F.lit(False)),
-        "has_classes": F.when(lang == "Java", classes | (F.size("interfaces") > 0))
-        .when(lang == "Rust", (F.size("structs") > 0) | (F.size("traits") > 0))
-        .otherwise(classes),
-        "has_module": F.size("modules") > 0,
-        "success": F.lit(True),
-        "parse_errors": errors,
-        "nodes_with_errors": F.when(errors > 0, F.array(errors.cast("string"))).otherwise(empty),
-        "tree_sitter_analyze_error": errors > 0,
-        "char_count": text.char_count(source),
-        "docstring": F.coalesce(py["docstring"], F.lit("")),
-        "function_details": F.coalesce(py["function_details"], F.lit("[]")),
-        "class_details": F.coalesce(py["class_details"], F.lit("[]")),
-        "data_type_details": F.when(
-            F.size("data_types") > 0,
-            F.to_json(F.transform("data_types", lambda n: F.struct(n.alias("name")))),
-        ).otherwise("[]"),
-        "analysis_method": F.when(is_python & parsed, PYTHON_METHOD)
-        .when(is_python, PYTHON_REGEX)
-        .otherwise(F.coalesce(F.try_element_at(constant_map(METHODS), lang), F.lit(DEFAULT_METHOD))),
-    })
-    staged = staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in names])
-    return with_json(staged)
+    weighted = weighted_complexity("node_counts")
+    has_async = [(f"{lang} = {literal(n)}", f"_bare RLIKE {literal(rf'{chr(92)}b{w}{chr(92)}b')}") for n, w in ASYNC_WORDS.items()]
+    details = "to_json(transform(data_types, n -> struct(n AS name)))"
+    staged = staged.withColumns(columns(constants | {
+        "complexity_score": case(
+            [
+                (parsed, f"greatest({counted}, {weighted})"), (broken, fallback["complexity_score"]),
+                (f"{lang} = 'Haskell'", "cast(size(functions) * 2 + size(classes) * 3 AS bigint)"), (known, weighted),
+            ],
+            "0L",
+        ),
+        "has_type_hints": case(
+            [(parsed, "_py.has_type_hints"), (broken, fallback["has_type_hints"])], one_of(lang, TYPED_LANGUAGES)
+        ),
+        "has_async": case([(parsed, "_py.has_async"), (broken, fallback["has_async"]), *has_async], "false"),
+        "has_classes": case(
+            [
+                (f"{lang} = 'Java'", "size(classes) > 0 OR size(interfaces) > 0"),
+                (f"{lang} = 'Rust'", "size(structs) > 0 OR size(traits) > 0"),
+            ],
+            "size(classes) > 0",
+        ),
+        "has_module": "size(modules) > 0",
+        "parse_errors": "_errors",
+        "nodes_with_errors": case([("_errors > 0", "array(cast(_errors AS string))")], EMPTY_LIST),
+        "tree_sitter_analyze_error": "_errors > 0",
+        "docstring": "coalesce(_py.docstring, '')",
+        "function_details": "coalesce(_py.function_details, '[]')",
+        "class_details": "coalesce(_py.class_details, '[]')",
+        "data_type_details": case([("size(data_types) > 0", details)], "'[]'"),
+        "analysis_method": case(
+            [(parsed, literal(PYTHON_METHOD)), (broken, literal(PYTHON_REGEX))],
+            f"coalesce(try_element_at({constant_map(METHODS)}, {lang}), {literal(DEFAULT_METHOD)})",
+        ),
+    }))
+    return with_json(staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in found]))
 
 
 def with_json(df: DataFrame) -> DataFrame:
@@ -166,8 +135,7 @@ def with_json(df: DataFrame) -> DataFrame:
 
 def universal_analysis(df: DataFrame, code: str = "code") -> DataFrame:
     """Language-independent findings by regular expression."""
-    c = F.col(code)
-    return df.withColumns({**text.universal_names(c), "complexity_score": text.universal_complexity(c)})
+    return df.withColumns({**text.universal_names(code), "complexity_score": text.universal_complexity(code)})
 
 
 def roll_up(chunks: Column) -> dict[str, Column]:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode import catalog
-from codelode.functions import languages, text
+from codelode.functions import languages
 from codelode.functions.let import let
 from codelode.functions.packing import merge_runs, pack, unique_names
+from codelode.functions.sqltext import case, literal, name, one_of
 
 # --- Fixed values: names of the chunking methods -----------------------------
 SPLIT_RECURSIVELY = "split_recursively"
@@ -52,7 +53,7 @@ def fixed_lines(code: Column, lines_per_chunk: int = catalog.FALLBACK_LINES) ->
             ),
         )
 
-    pieces = F.filter(let(text.lines(code), cut), lambda c: c["content"].rlike(r"\S"))
+    pieces = F.filter(let(F.split(code, "\n", -1), cut), lambda c: c["content"].rlike(r"\S"))
     return _located(pieces, F.lit(FIXED_LINES))
 
 
@@ -69,19 +70,22 @@ def _located(pieces: Column, method: Column) -> Column:
     )
 
 
-def _levels(segments: Column, patterns: list[str]) -> Column:
-    """Strength of the separator each segment starts with, 0 for none.
+def _levels(segments: str, language: str, starts: dict[str, list[str]]) -> str:
+    """SQL for the strength of the separator each segment starts with, 0 for
+    none, by the patterns of the row's language.
 
     A segment that continues a cut line is never a separator.
     """
 
-    def level(s: Column, i: Column) -> Column:
-        rule = F.when((i > 0) & ~F.element_at(segments, F.greatest(i, F.lit(1))).endswith("\n"), 0)
-        for rank, pattern in enumerate(patterns):
-            rule = rule.when(s.rlike(pattern), len(patterns) - rank)
-        return rule.otherwise(0)
+    def ranked(patterns: tuple[str, ...]) -> str:
+        continued = f"i > 0 AND NOT endswith(element_at({segments}, greatest(i, 1)), '\\n')"
+        ranks = [(f"s RLIKE {literal(p)}", str(len(patterns) - n)) for n, p in enumerate(patterns)]
+        return f"transform({segments}, (s, i) -> {case([(continued, '0'), *ranks], '0')})"
 
-    return F.transform(segments, level)
+    groups: dict[tuple, list[str]] = {}
+    for member, patterns in starts.items():
+        groups.setdefault(tuple(patterns), []).append(member)
+    return case([(one_of(language, members), ranked(p)) for p, members in groups.items()], ranked((r"^$",)))
 
 
 def _segments(code: Column, widest: Column) -> Column:
@@ -154,15 +158,8 @@ def chunk_files(
         overlap = F.lit(0)
         method = F.when(haskell, HASKELL).otherwise(STRUCTURAL)
     source = F.when(packs, code)
-    seg = F.col("_seg")
     starts = {**catalog.LINE_SEPARATORS, **STRUCTURE_STARTS}
-    by_patterns: dict[tuple, list[str]] = {}
-    for name, patterns in starts.items():
-        by_patterns.setdefault(tuple(patterns), []).append(name)
-    levels = F.when(F.lit(False), F.array().cast("array<int>"))
-    for patterns, members in by_patterns.items():
-        levels = levels.when(lang.isin(members), _levels(seg, list(patterns)))
-    levels = levels.otherwise(_levels(seg, [r"^$"]))
+    levels = F.expr(_levels("_seg", name(language), starts))
     wide = df.withColumn("_seg", _segments(source, limit))
     wide = packed_chunks(
         wide, "_packed", levels, limit, least, overlap, F.lit(False), method
@@ -195,7 +192,7 @@ def haskell_regex_chunks(
     wide = df.withColumn("_seg", _segments(F.col(content), F.lit(max_size)))
     wide = packed_chunks(
         wide, "_chunks",
-        _levels(F.col("_seg"), catalog.LINE_SEPARATORS["Haskell"]),
+        F.expr(_levels("_seg", "'Haskell'", {"Haskell": catalog.LINE_SEPARATORS["Haskell"]})),
         F.lit(max_size), F.lit(0), F.lit(0), F.lit(True), F.lit(HASKELL_REGEX), solid=True,
     )
     return _explode(wide.drop("_seg", "_spans"))

@@ -14,6 +14,7 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame
 
 from codelode import catalog
+from codelode.functions.sqltext import literal
 from codelode.operators.fields import field_kind, resolve_field, typed_value
 
 _VALUE = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s(),:]+)"""
@@ -30,14 +31,9 @@ _TERM = re.compile(
 )
 
 
-def sql_text(value: str) -> str:
-    """A Python string as a Spark SQL literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _contains(operand: str, value: str) -> str:
     """Case-insensitive substring; ``%`` and ``_`` stay wildcards."""
-    return f"{operand} ILIKE {sql_text('%' + value.replace(chr(92), chr(92) * 2) + '%')}"
+    return f"{operand} ILIKE {literal('%' + value.replace(chr(92), chr(92) * 2) + '%')}"
 
 
 def _as_text(df: DataFrame, name: str) -> str:
@@ -61,12 +57,11 @@ def _condition(df: DataFrame, term: re.Match) -> str:
         return _contains(_as_text(df, "code"), re.sub(r"\s+", " ", term["words"].strip()))
     name, value = resolve_field(term["field"]), _unquote(term["value"])
     if name == "language":
-        return f"lower(`language`) = lower({sql_text(value)})"
+        return f"lower(`language`) = lower({literal(value)})"
     if name in catalog.SUBSTRING_FIELDS:
         return _contains(_as_text(df, name), value)
     typed = typed_value(value, field_kind(df, name), name)
-    literal = sql_text(typed) if isinstance(typed, str) else str(typed).upper()
-    return f"{_as_text(df, name)} = {literal}"
+    return f"{_as_text(df, name)} = {literal(typed)}"
 
 
 def keyword_sql(df: DataFrame, query: str) -> str:

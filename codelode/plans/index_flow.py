@@ -59,7 +59,7 @@ def index_files(files: DataFrame, config: IndexConfig = IndexConfig(), with_vect
         rows = embed(rows, "code", "embedding_model")
     else:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-    return rows.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in catalog.CHUNK_COLUMNS])
+    return rows.selectExpr(*[f"cast(`{n}` AS {kind}) AS `{n}`" for n, kind in catalog.CHUNK_COLUMNS])
 
 
 def index_paths(spark: SparkSession, config: IndexConfig) -> DataFrame:

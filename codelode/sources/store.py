@@ -49,7 +49,7 @@ def snapshot(files: DataFrame) -> DataFrame:
     if "modified" in files.columns:
         version = F.concat_ws(":", F.unix_micros("modified"), F.col("n_bytes"))
     else:
-        version = content_hash(F.col("content"))
+        version = content_hash("content")
     return files.select(*FILE_KEY, version.alias("version"))
 
 

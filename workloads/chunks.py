@@ -60,7 +60,7 @@ def chunk_overlap(spark, sf_dir):
     """Blocks of five lines with two lines of their neighbours."""
     files = document_files(spark, sf_dir).withColumn("chunks", chunking.fixed_lines(F.col("content"), 5))
     wide = files.select(
-        "doc_id", F.inline(chunking.with_overlap(F.col("chunks"), text.lines(F.col("content")), 2))
+        "doc_id", F.inline(chunking.with_overlap(F.col("chunks"), text.lines("content"), 2))
     )
     return wide.select("doc_id", "start", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
 
@@ -110,13 +110,14 @@ def chunk_structural(spark, sf_dir):
 )
 def chunk_default_split(spark, sf_dir):
     """The sized splitter: chunks may overlap, leave no line out, keep the size."""
-    rows = chunking.chunk_files(source_files(spark, sf_dir), default_chunking=True)
+    files = source_files(spark, sf_dir)
+    rows = chunking.chunk_files(files, default_chunking=True)
     limit = languages.chunk_params(F.col("language"))["chunk_size"]
     checked = rows.withColumn("wide", F.length("chunk_content") > limit)
     spans = checked.groupBy("filename").agg(
         F.min("start").alias("first_line"), F.max("end").alias("last_line"), F.count_if("wide").alias("too_wide")
     )
-    bounds = spans.select("filename", F.lit(1).cast("bigint").alias("start"), (F.col("last_line") + 1).alias("end"))
+    bounds = files.select("filename", F.lit(1).cast("bigint").alias("start"), text.line_count("content").alias("end"))
     ranges = rows.select("filename", "start", (F.col("end") + 1).alias("end"))
     holes = ordered.uncovered_ranges(ranges, bounds, ["filename"]).groupBy("filename").agg(F.count(F.lit(1)).alias("holes"))
     return spans.join(holes, "filename", "left").select(
@@ -134,11 +135,11 @@ def chunk_haskell_regex(spark, sf_dir):
     files = source_files(spark, sf_dir).filter(F.col("language") == "Haskell")
     rows = chunking.haskell_regex_chunks(files)
     totals = files.select(
-        "filename", (text.line_count(F.col("content")) - 1).alias("all_lines"), F.length("content").cast("bigint").alias("size")
+        "filename", (text.line_count("content") - 1).alias("all_lines"), F.length("content").cast("bigint").alias("size")
     )
     kept = rows.groupBy("filename").agg(
         F.sum(F.col("end") - F.col("start") + 1).alias("l"), F.sum(F.length("chunk_content") + 1).alias("c"),
-        F.count_if(text.solid_size(F.col("chunk_content")) > catalog.HASKELL_MAX).alias("too_wide"),
+        F.count_if(text.solid_size("chunk_content") > catalog.HASKELL_MAX).alias("too_wide"),
     )
     # Pieces left out hold blank lines only: one line break per line.
     return kept.join(totals, "filename").select(
@@ -171,7 +172,7 @@ def unique_locations(spark, sf_dir):
 def unique_locations_in_file(spark, sf_dir):
     """Names repeated inside one file numbered within the file's own row."""
     named = F.transform(
-        text.lines(F.col("content")),
+        text.lines("content"),
         lambda x: F.struct(x.alias("content"), F.concat(F.lit("size:"), F.length(x)).alias("location")),
     )
     files = document_files(spark, sf_dir).withColumn("chunks", named)
@@ -216,7 +217,7 @@ def _line_chunks(spark, sf_dir):
         )
 
     files = document_files(spark, sf_dir)
-    return files.select("doc_id", let(text.lines(F.col("content")), ranges).alias("chunks"))
+    return files.select("doc_id", let(text.lines("content"), ranges).alias("chunks"))
 
 
 @query(
@@ -281,7 +282,7 @@ def index_documents(spark, sf_dir):
 
 @query(
     "index_sources",
-    f"""SELECT language, count(*) AS files, sum(length(content))::BIGINT AS characters,
+    f"""SELECT language, count(*) AS files, sum(length(regexp_replace(content, '[ \\n\\t]', '', 'g')))::BIGINT AS solid,
           CASE WHEN language IN ('Python', 'C', 'C++', 'Java', 'JavaScript') THEN 'microsoft/graphcodebert-base'
                WHEN language IN ('Rust', 'Kotlin', 'TypeScript') THEN 'microsoft/unixcoder-base'
                ELSE 'sentence-transformers/all-mpnet-base-v2' END AS embedding_model,
@@ -289,15 +290,12 @@ def index_documents(spark, sf_dir):
         FROM ({SOURCES_SQL}) GROUP BY language""",
 )
 def index_sources(spark, sf_dir):
-    """The indexing plan over all source files, summed per language."""
+    """The indexing plan over all source files: no file and no text is lost."""
     rows = index_files(source_files(spark, sf_dir), IndexConfig())
-    # Every chunk lost one line break; blocks of 180 lines keep the file's last one.
     per_file = rows.groupBy("language", "embedding_model", "filename").agg(
-        F.sum(F.length("code")).alias("c"), F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("embedding").isNull()).alias("without_vector"), F.max("chunking_method").alias("method"),
+        F.sum(text.solid_size("code")).alias("solid"),
+        F.count_if(F.col("embedding").isNull()).alias("without_vector"),
     )
-    kept = F.col("c") + F.col("n") - F.when(F.col("method") == chunking.FIXED_LINES, 1).otherwise(0)
     return per_file.groupBy("language", "embedding_model").agg(
-        F.count(F.lit(1)).alias("files"), F.sum(kept).cast("bigint").alias("characters"),
-        F.sum("without_vector").alias("without_vector"),
+        F.count(F.lit(1)).alias("files"), F.sum("solid").alias("solid"), F.sum("without_vector").alias("without_vector")
     )

@@ -41,7 +41,7 @@ def _json_rows(spark, sf_dir):
     number = (F.pmod("event_id", F.lit(len(shapes))) + 1).cast("int")
     return table(spark, sf_dir, "events").select(
         "event_id", F.element_at(F.array(*shapes), number).alias("j")
-    ).withColumn("v", metadata.parsed(F.col("j")))
+    ).withColumn("v", metadata.parsed("j"))
 
 
 _TYPED_SQL = f"""
@@ -56,13 +56,12 @@ _TYPED_SQL = f"""
 @query("json_extract_typed", _TYPED_SQL)
 def json_extract_typed(spark, sf_dir):
     """Whole numbers, truth values and text with their defaults."""
-    v = F.col("v")
     return _json_rows(spark, sf_dir).select(
         "event_id",
-        F.coalesce(metadata.int_field(v, "a"), F.lit(0)).alias("a_int"),
-        F.coalesce(metadata.bool_field(v, "b"), F.lit(False)).alias("b_bool"),
-        F.coalesce(metadata.string_field(v, "s", "none"), F.lit("none")).alias("s_text"),
-        metadata.int_field(v, "k").alias("k_int"),
+        F.coalesce(metadata.int_field("v", "a"), F.lit(0)).alias("a_int"),
+        F.coalesce(metadata.bool_field("v", "b"), F.lit(False)).alias("b_bool"),
+        F.coalesce(metadata.string_field("v", "s", "none"), F.lit("none")).alias("s_text"),
+        metadata.int_field("v", "k").alias("k_int"),
     )
 
 
@@ -77,12 +76,11 @@ def json_extract_typed(spark, sf_dir):
 )
 def json_lists(spark, sf_dir):
     """List readers: lists, wrapped single values, error counts, list text."""
-    v = F.col("v")
     return _json_rows(spark, sf_dir).select(
         "event_id",
-        metadata.joined(metadata.list_field(v, "l")).alias("l_text"),
-        metadata.joined(metadata.error_nodes_field(v, "n")).alias("errors"),
-        F.coalesce(metadata.list_text_field(v, "l"), F.lit("[]")).alias("l_json"),
+        metadata.joined(metadata.list_field("v", "l")).alias("l_text"),
+        metadata.joined(metadata.error_nodes_field("v", "n")).alias("errors"),
+        F.coalesce(metadata.list_text_field("v", "l"), F.lit("[]")).alias("l_json"),
     )
 
 
@@ -156,10 +154,10 @@ def metadata_merge(spark, sf_dir):
 )
 def text_metrics(spark, sf_dir):
     rows = document_files(spark, sf_dir)
-    found = text.text_metrics(F.col("content"))
+    found = text.text_metrics("content")
     found["avg_line_length"] = F.round(found["avg_line_length"], 6)
     return rows.select(
-        "doc_id", *[c.alias(n) for n, c in found.items()], text.solid_size(F.col("content")).alias("solid")
+        "doc_id", *[c.alias(n) for n, c in found.items()], text.solid_size("content").alias("solid")
     )
 
 
@@ -168,7 +166,7 @@ def text_metrics(spark, sf_dir):
     "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents",
 )
 def content_hash(spark, sf_dir):
-    return document_files(spark, sf_dir).select("doc_id", text.content_hash(F.col("content")).alias("hash"))
+    return document_files(spark, sf_dir).select("doc_id", text.content_hash("content").alias("hash"))
 
 
 def _sql_names(patterns: list[str]) -> str:
@@ -206,7 +204,7 @@ def regex_names(spark, sf_dir):
 )
 def regex_complexity(spark, sf_dir):
     return source_files(spark, sf_dir).select(
-        "filename", text.universal_complexity(F.col("content")).alias("complexity_score")
+        "filename", text.universal_complexity("content").alias("complexity_score")
     )
 
 
@@ -224,8 +222,8 @@ def complexity_counts(spark, sf_dir):
     rows = document_files(spark, sf_dir)
     return rows.select(
         "doc_id",
-        text.count_literals(F.col("content"), text.PYTHON_BRANCH_WORDS).alias("branches"),
-        (text.count_literals(F.col("content"), text.HASKELL_BRANCH_WORDS) + 1).alias("haskell_branches"),
+        text.count_literals("content", text.PYTHON_BRANCH_WORDS).alias("branches"),
+        (text.count_literals("content", text.HASKELL_BRANCH_WORDS) + 1).alias("haskell_branches"),
     )
 
 
@@ -241,7 +239,7 @@ def complexity_counts(spark, sf_dir):
 )
 def python_fallback(spark, sf_dir):
     rows = source_files(spark, sf_dir).filter(F.col("language") == "Python")
-    found = text.python_fallback(F.col("content"))
+    found = text.python_fallback("content")
     shown = {n: metadata.joined(found[n]) for n in ("functions", "classes", "imports")}
     shown |= {n: found[n] for n in ("complexity_score", "has_type_hints", "has_async")}
     return rows.select("filename", *[c.alias(n) for n, c in shown.items()])
@@ -258,7 +256,7 @@ def python_fallback(spark, sf_dir):
 )
 def haskell_features(spark, sf_dir):
     rows = source_files(spark, sf_dir).filter(F.col("language") == "Haskell")
-    found = text.haskell_features(F.col("content"))
+    found = text.haskell_features("content")
     shown = {n: metadata.joined(found[n]) for n in ("functions", "types", "dependencies")}
     shown |= {n: found[n] for n in ("complexity_score", "has_imports", "has_instances", "has_classes")}
     return rows.select("filename", *[c.alias(n) for n, c in shown.items()])

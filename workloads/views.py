@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a small table comes as fewer splits.
+
+    A large table already has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under the chunk table's column names, without vectors."""
     return table(spark, sf_dir, "documents").select(
@@ -62,7 +71,7 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("doc_"), "doc_id", F.lit("."), "lang").alias("filename"),
         F.col("text").alias("content"),
         F.col("source").alias("source_name"),
@@ -159,7 +168,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: _fill(F.col("_body"), i))
     damage = F.when((language == "Python") & (F.col("p_size") >= DAMAGED_FROM), DAMAGE).otherwise("")
     return (
-        table(spark, sf_dir, "part")
+        spread(table(spark, sf_dir, "part"))
         .withColumns({"language": language, "_body": pick(2)})
         .select(
             F.concat(
