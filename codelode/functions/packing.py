@@ -7,6 +7,8 @@ same file, which array functions can only express with quadratic copying.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,3 +132,13 @@ def unique_names(names: Column, joiner: str = "#") -> Column:
         return pa.array(out, pa.list_(pa.string()))
 
     return rename(names)
+
+
+def running_totals(sizes: Column) -> Column:
+    """Sums of the first 1, 2, 3 … numbers of a row's list, in linear time."""
+
+    def sums(lists: pa.Array) -> pa.Array:
+        out = [None if row is None else list(accumulate(row)) for row in lists.to_pylist()]
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(sums, "array<bigint>")(sizes)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions import languages
-from codelode.functions.let import let
+from codelode.functions.let import let, unnest
 from codelode.functions.packing import merge_runs, pack, unique_names
 from codelode.functions.sqltext import case, literal, name, one_of
 
@@ -128,15 +128,20 @@ def packed_chunks(
     return df.withColumn(out, _located(pieces, method))
 
 
-def chunk_files(
+def chunk_files(df: DataFrame, default_chunking: bool = False, percent: int = 100, **columns: str) -> DataFrame:
+    """Chunk rows of a file relation: the input columns plus ``chunk_content``,
+    ``location``, ``start``, ``end`` and ``chunking_method``."""
+    return _explode(chunk_arrays(df, default_chunking, percent, **columns).withColumnRenamed("chunks", "_chunks"))
+
+
+def chunk_arrays(
     df: DataFrame,
     default_chunking: bool = False,
     percent: int = 100,
     content: str = "content",
     language: str = "language",
 ) -> DataFrame:
-    """Chunk rows of a file relation: the input columns plus ``chunk_content``,
-    ``location``, ``start``, ``end`` and ``chunking_method``.
+    """Add each file's chunks as the array column ``chunks``.
 
     With ``default_chunking`` every language uses the sized separator splitter
     (per-language sizes, overlap).  Otherwise structural languages and Haskell
@@ -167,20 +172,19 @@ def chunk_files(
     chunks = F.when(packs, F.col("_packed"))
     if not default_chunking:
         chunks = chunks.otherwise(fixed_lines(code))
-    wide = wide.withColumn("_chunks", chunks)
-    return _explode(wide.drop("_seg", "_spans", "_packed"))
+    return wide.withColumn("chunks", chunks).drop("_seg", "_spans", "_packed")
 
 
 def _explode(df: DataFrame) -> DataFrame:
-    # The outer form keeps Spark from adding a "not empty" filter below, which
-    # would compute the chunks a second time; the filter after it does the same.
     kept = [c for c in df.columns if c != "_chunks"]
-    rows = df.select(*kept, F.explode_outer("_chunks").alias("_chunk"))
-    return rows.filter(F.col("_chunk").isNotNull()).select(
-        *kept,
-        F.col("_chunk.content").alias("chunk_content"),
-        "_chunk.location", "_chunk.start", "_chunk.end", "_chunk.chunking_method",
+    renamed = F.transform(
+        "_chunks",
+        lambda c: F.struct(
+            c["content"].alias("chunk_content"), c["location"].alias("location"), c["start"].alias("start"),
+            c["end"].alias("end"), c["chunking_method"].alias("chunking_method"),
+        ),
     )
+    return unnest(df, kept, renamed)
 
 
 def haskell_regex_chunks(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions import languages, text
+from codelode.functions.let import unnest
+from codelode.functions.packing import running_totals
 from codelode.operators import chunking, ordered
 from codelode.plans.index_flow import IndexConfig, index_files
 from workloads.registry import query
@@ -30,7 +32,7 @@ def _fixed_sql(source: str, key: str, content: str, n: int) -> str:
 def chunk_fixed_lines(spark, sf_dir):
     """Blocks of 180 lines of every source file."""
     files = source_files(spark, sf_dir)
-    return files.select("filename", F.inline(chunking.fixed_lines(F.col("content")))).select(
+    return unnest(files, ["filename"], chunking.fixed_lines(F.col("content"))).select(
         "filename", "location", "start", "end", "content"
     )
 
@@ -42,7 +44,7 @@ def chunk_fixed_lines(spark, sf_dir):
 def chunk_fixed_small(spark, sf_dir):
     """Blocks of three lines of every document."""
     files = document_files(spark, sf_dir)
-    return files.select("doc_id", F.inline(chunking.fixed_lines(F.col("content"), 3))).select(
+    return unnest(files, ["doc_id"], chunking.fixed_lines(F.col("content"), 3)).select(
         "doc_id", "location", "start", "end", F.length("content").cast("bigint").alias("size")
     )
 
@@ -59,9 +61,7 @@ def chunk_fixed_small(spark, sf_dir):
 def chunk_overlap(spark, sf_dir):
     """Blocks of five lines with two lines of their neighbours."""
     files = document_files(spark, sf_dir).withColumn("chunks", chunking.fixed_lines(F.col("content"), 5))
-    wide = files.select(
-        "doc_id", F.inline(chunking.with_overlap(F.col("chunks"), text.lines("content"), 2))
-    )
+    wide = unnest(files, ["doc_id"], chunking.with_overlap(F.col("chunks"), text.lines("content"), 2))
     return wide.select("doc_id", "start", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
 
 
@@ -73,22 +73,13 @@ def chunk_overlap(spark, sf_dir):
 )
 def chunk_header(spark, sf_dir):
     """The line that says where a chunk comes from."""
-    rows = source_files(spark, sf_dir).select("filename", F.inline(chunking.fixed_lines(F.col("content"), 100)))
+    rows = unnest(source_files(spark, sf_dir), ["filename"], chunking.fixed_lines(F.col("content"), 100))
     headed = chunking.with_header(
         F.col("content"), F.col("filename"), F.col("start"), F.col("end"), F.lit("block"), F.col("chunking_method")
     )
     return rows.select("filename", "start", F.substring_index(headed, "\n", 1).alias("head"))
 
 
-def _packed_check(rows, limit):
-    """Per file: lines and characters covered, and whether a chunk is too wide."""
-    return rows.groupBy("filename").agg(
-        F.sum(F.col("end") - F.col("start") + 1).alias("lines"),
-        F.sum(F.length("chunk_content") + 1).cast("bigint").alias("characters"),
-        F.count_if(F.length("chunk_content") > limit).alias("too_wide"),
-    )
-
-
 @query(
     "chunk_structural",
     f"""SELECT filename, len(string_split(content, chr(10)))::BIGINT - 1 AS lines, length(content)::BIGINT AS characters,
@@ -100,7 +91,12 @@ def chunk_structural(spark, sf_dir):
     files = source_files(spark, sf_dir).filter(
         F.col("language").isin("Python", "Java", "TypeScript", "JavaScript", "Haskell")
     )
-    return _packed_check(chunking.chunk_files(files), catalog.STRUCTURAL_BUDGET)
+    return chunking.chunk_arrays(files).select(
+        "filename",
+        F.expr("aggregate(chunks, 0L, (n, c) -> n + c.end - c.start + 1)").alias("lines"),
+        F.expr("aggregate(chunks, 0L, (n, c) -> n + length(c.content) + 1)").alias("characters"),
+        F.expr(f"cast(size(filter(chunks, c -> length(c.content) > {catalog.STRUCTURAL_BUDGET})) AS bigint)").alias("too_wide"),
+    )
 
 
 @query(
@@ -110,18 +106,16 @@ def chunk_structural(spark, sf_dir):
 )
 def chunk_default_split(spark, sf_dir):
     """The sized splitter: chunks may overlap, leave no line out, keep the size."""
-    files = source_files(spark, sf_dir)
-    rows = chunking.chunk_files(files, default_chunking=True)
-    limit = languages.chunk_params(F.col("language"))["chunk_size"]
-    checked = rows.withColumn("wide", F.length("chunk_content") > limit)
-    spans = checked.groupBy("filename").agg(
-        F.min("start").alias("first_line"), F.max("end").alias("last_line"), F.count_if("wide").alias("too_wide")
-    )
-    bounds = files.select("filename", F.lit(1).cast("bigint").alias("start"), text.line_count("content").alias("end"))
-    ranges = rows.select("filename", "start", (F.col("end") + 1).alias("end"))
-    holes = ordered.uncovered_ranges(ranges, bounds, ["filename"]).groupBy("filename").agg(F.count(F.lit(1)).alias("holes"))
-    return spans.join(holes, "filename", "left").select(
-        "filename", "first_line", "last_line", "too_wide", F.coalesce("holes", F.lit(0)).alias("holes")
+    rows = chunking.chunk_arrays(source_files(spark, sf_dir), default_chunking=True)
+    limited = rows.withColumn("widest", languages.chunk_params(F.col("language"))["chunk_size"])
+    return limited.select(
+        "filename",
+        F.col("chunks")[0]["start"].alias("first_line"),
+        F.expr("array_max(transform(chunks, c -> c.end))").alias("last_line"),
+        F.expr("cast(size(filter(chunks, c -> length(c.content) > widest)) AS bigint)").alias("too_wide"),
+        F.expr(
+            "cast(size(filter(chunks, (c, i) -> i > 0 AND c.start > element_at(chunks, i).end + 1)) AS bigint)"
+        ).alias("holes"),
     )
 
 
@@ -191,33 +185,22 @@ _LINES_SQL = """
 
 
 def _line_chunks(spark, sf_dir):
-    """Each document's lines as an array of ranges in the document's row.
-
-    Running sums of the line lengths come from one pass over the array.
-    """
-    from codelode.functions.let import let
-
-    def ranges(rows):
-        ends = F.aggregate(
-            rows,
-            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(x) + 1).alias("all")
-            ),
-        )["all"]
-        return F.zip_with(
-            rows,
-            ends,
-            lambda x, e: F.struct(
-                x.alias("content"),
-                (e - F.length(x) - 1).alias("start"),
-                e.alias("end"),
-                F.when(x.rlike("^[A-Z]"), "capital").otherwise("other").alias("category"),
-            ),
-        )
-
-    files = document_files(spark, sf_dir)
-    return files.select("doc_id", let(text.lines("content"), ranges).alias("chunks"))
+    """Each document's lines as an array of ranges in the document's row."""
+    rows = document_files(spark, sf_dir).select("doc_id", text.lines("content").alias("rows"))
+    placed = rows.withColumn(
+        "ends", running_totals(F.transform("rows", lambda x: (F.length(x) + 1).cast("bigint")))
+    )
+    chunks = F.zip_with(
+        "rows",
+        "ends",
+        lambda x, e: F.struct(
+            x.alias("content"),
+            (e - F.length(x) - 1).alias("start"),
+            e.alias("end"),
+            F.when(x.rlike("^[A-Z]"), "capital").otherwise("other").alias("category"),
+        ),
+    )
+    return placed.select("doc_id", chunks.alias("chunks"))
 
 
 @query(
@@ -237,7 +220,7 @@ def _line_chunks(spark, sf_dir):
 def merge_adjacent(spark, sf_dir):
     """Touching lines of one category merged up to 600 characters."""
     merged = chunking.merge_adjacent(_line_chunks(spark, sf_dir), "chunks", 600)
-    return merged.select("doc_id", F.inline("chunks")).select(
+    return unnest(merged, ["doc_id"], "chunks").select(
         "doc_id", "start", "end", F.length("content").cast("bigint").alias("size"), "category"
     )
 
@@ -255,7 +238,7 @@ def merge_adjacent(spark, sf_dir):
 )
 def coverage_gaps(spark, sf_dir):
     """Parts of each document that no line with a capital covers."""
-    lines = _line_chunks(spark, sf_dir).select("doc_id", F.inline("chunks"))
+    lines = unnest(_line_chunks(spark, sf_dir), ["doc_id"], "chunks")
     covered = lines.filter(F.col("category") == "capital").select("doc_id", "start", "end")
     bounds = document_files(spark, sf_dir).select(
         "doc_id", F.lit(0).cast("bigint").alias("start"), (F.length("content") + 1).cast("bigint").alias("end")
