@@ -68,23 +68,24 @@ def keyword_sql(df: DataFrame, query: str) -> str:
     """The query as a Spark SQL condition; an empty query is TRUE."""
     pieces: list[str] = []
     at, text = 0, (query or "").strip()
-    open_end = False                      # the last piece ends an operand
+    complete = False                      # the last piece ends an operand
     while at < len(text):
         term = _TERM.match(text, at)
-        if not term:
+        closing = term and (term["logic"] or term["bracket"] == ")")
+        if not term or (closing and not complete):
             raise ValueError(f"cannot read keyword query at: {text[at:at + 40]!r}")
         at = term.end()
         if term["logic"]:
             pieces.append(term["logic"].upper())
-            open_end = False
         elif term["bracket"] == ")":
             pieces.append(")")
-            open_end = True
         else:
-            if open_end:
+            if complete:
                 pieces.append("AND")
             pieces.append("(" if term["bracket"] else _condition(df, term))
-            open_end = not term["bracket"]
+        complete = not term["logic"] and term["bracket"] != "("
+    if pieces and not complete:
+        raise ValueError(f"keyword query ends too early: {query!r}")
     return " ".join(pieces) or "TRUE"
 
 

@@ -17,26 +17,38 @@ def source_names(paths: list[str]) -> list[str]:
     return ["files"] if len(paths) == 1 else [f"files_{i}" for i in range(len(paths))]
 
 
+def _file_system(spark: SparkSession, root: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def full_path(spark: SparkSession, root: str) -> str:
+    """A root with scheme and working folder filled in, as Spark lists it."""
+    files, place = _file_system(spark, root)
+    return files.makeQualified(place).toString().rstrip("/")
+
+
 def read_gitignores(spark: SparkSession, root: str) -> list[str]:
     """Globs of every .gitignore below a root, in path order.
 
-    Only the .gitignore files come to the driver: they are configuration, small
-    and few, and are needed there to build the scan's predicate.
+    Spark's file sources skip hidden files, so these few configuration files are
+    read through the Hadoop file system, one glob per folder depth.
     """
-    rows = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", ".gitignore")
-        .load(root)
-        .select(relative_path(root).alias("path"), F.col("content").cast("string").alias("text"))
-        .orderBy("path")
-        .toLocalIterator()
-    )
-    found: list[str] = []
-    for row in rows:
-        folder = row.path.rpartition("/")[0]
-        found += globs.gitignore_globs(row.text.splitlines(), folder)
-    return found
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files, _ = _file_system(spark, root)
+    top = full_path(spark, root)
+    found: list[tuple[str, str]] = []
+    level = ""
+    while len(files.globStatus(path(f"{top}{level}/*")) or []):
+        for status in files.globStatus(path(f"{top}{level}/.gitignore")) or []:
+            name = status.getPath().toString()
+            stream = files.open(status.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            found.append((name[len(top) + 1 :].rpartition("/")[0], text))
+        level += "/*"
+    return [g for folder, text in sorted(found) for g in globs.gitignore_globs(text.splitlines(), folder)]
 
 
 def relative_path(root: str, path: str = "path"):
@@ -58,6 +70,7 @@ def scan_root(
     name_filter = globs.listing_glob(includes)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
+    root = full_path(spark, root)
     filename = relative_path(root)
     return (
         reader.load(root)
