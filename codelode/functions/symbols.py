@@ -31,7 +31,9 @@ _CPP = {
     "functions": [
         r"(?m)^[ \t]*[A-Za-z_][\w:<>,&* \t]*[ \t*&]+\*?(?:\w+::)*(~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{",
     ],
-    "classes": [r"\bclass\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^;{]*)?\{"],
+    "classes": [
+        r"(?m)^[ \t]*(?:template\s*<[^\n]*>\s*)?class\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^;{]*)?\{"
+    ],
     "namespaces": [r"\bnamespace\s+([A-Za-z_]\w*)"],
     "templates": [r"\btemplate\s*<[^;{]*?>\s*(?:class|struct)\s+([A-Za-z_]\w*)"],
 }
@@ -114,9 +116,8 @@ NOT_A_DECLARATION = (
     r"using|goto|super|this|where|let|in|module|import|data|newtype|type|class|instance|deriving|infix[lr]?)\b"
 )
 NOT_A_NAME = [
-    "if", "for", "while", "switch", "catch", "return", "else", "do", "new", "sizeof", "function",
-    "super", "constructor", "where", "let", "in", "of", "then", "case", "module", "import", "data",
-    "newtype", "type", "class", "instance", "synchronized", "try", "match", "loop",
+    "if", "for", "while", "switch", "catch", "return", "else", "do", "sizeof", "function", "super",
+    "constructor", "where", "let", "in", "of", "then", "case", "synchronized", "try",
 ]
 # Comment shapes; text literals are matched first so that a comment mark inside
 # one does not count.
