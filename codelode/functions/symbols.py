@@ -2,7 +2,8 @@
 
 No syntax-tree library is available inside Spark, so declarations are found by
 line shape.  The patterns are data; the work is Spark's ``regexp_extract_all``,
-which stays in the JVM.  A pattern captures the declared name in group 1; a
+which stays in the JVM.  Repeated groups are possessive (``*+``): Java matches those in
+a loop, others by recursion that overflows on long text.  A pattern captures the declared name in group 1; a
 whole match that fits ``NOT_A_DECLARATION`` is dropped.
 """
 
@@ -12,10 +13,10 @@ from codelode.functions import text
 from codelode.functions.sqltext import EMPTY_LIST, case, literal, one_of
 
 _N = r"([A-Za-z_$][\w$]*)"
-_JAVA_MODS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default|native|strictfp)\s+)*"
+_JAVA_MODS = r"(?:(?:public|protected|private|static|final|abstract|synchronized|default|native|strictfp)\s+)*+"
 _KT_MODS = (
     r"(?:(?:public|private|protected|internal|open|abstract|final|override|suspend|inline|"
-    r"operator|infix|tailrec|sealed|inner|external|actual|expect|const|lateinit)\s+)*"
+    r"operator|infix|tailrec|sealed|inner|external|actual|expect|const|lateinit)\s+)*+"
 )
 _RS_PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
 _JS_EXPORT = r"(?:export\s+)?(?:default\s+)?"
@@ -29,7 +30,7 @@ _C = {
 _CPP = {
     **_C,
     "functions": [
-        r"(?m)^[ \t]*[A-Za-z_][\w:<>,&* \t]*[ \t*&]+\*?(?:\w+::)*(~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{",
+        r"(?m)^[ \t]*[A-Za-z_][\w:<>,&* \t]*[ \t*&]+\*?(?:\w+::)*+(~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?\{",
     ],
     "classes": [
         r"(?m)^[ \t]*(?:template\s*<[^\n]*>\s*)?class\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^;{]*)?\{"
@@ -42,7 +43,7 @@ _JS = {
         r"\bfunction\s*\*?\s+" + _N + r"\s*\(",
         r"(?m)^\s*" + _JS_EXPORT + r"(?:const|let|var)\s+" + _N
         + r"\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::\s*[^=\n]+)?=>|[A-Za-z_$][\w$]*\s*=>)",
-        r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?" + _N
+        r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*+\*?" + _N
         + r"\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::\s*[^{};=\n]+)?\{",
     ],
     "classes": [r"(?m)^\s*" + _JS_EXPORT + r"(?:abstract\s+)?class\s+" + _N],
@@ -64,7 +65,7 @@ PATTERNS: dict[str, dict[str, list[str]]] = {
     "C++": _CPP,
     "Java": {
         "functions": [
-            r"(?m)^\s*(?:@\w+(?:\([^)\n]*\))?\s+)*" + _JAVA_MODS
+            r"(?m)^\s*(?:@\w+(?:\([^)\n]*\))?\s+)*+" + _JAVA_MODS
             + r"(?:<[^>\n]+>\s+)?[\w$][\w$.<>\[\],? ]*\s+" + _N + r"\s*\([^;{}()]*\)\s*(?:throws\s+[\w., \t\n]+)?[{;]",
             r"(?m)^\s*(?:public|protected|private)\s+" + _N + r"\s*\([^;{}()]*\)\s*(?:throws\s+[\w., \t\n]+)?\{",
         ],
@@ -89,7 +90,7 @@ PATTERNS: dict[str, dict[str, list[str]]] = {
     },
     "Rust": {
         "functions": [
-            r"(?m)^\s*" + _RS_PUB + r"(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+" + _N + r"\s*[<(]"
+            r"(?m)^\s*" + _RS_PUB + r"(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*+fn\s+" + _N + r"\s*[<(]"
         ],
         "structs": [r"(?m)^\s*" + _RS_PUB + r"struct\s+" + _N],
         "enums": [r"(?m)^\s*" + _RS_PUB + r"enum\s+" + _N],
@@ -99,7 +100,7 @@ PATTERNS: dict[str, dict[str, list[str]]] = {
     },
     "Haskell": {
         "functions": [
-            r"(?m)^([a-z_][\w']*)\s*(?:,\s*[a-z_][\w']*\s*)*::",
+            r"(?m)^([a-z_][\w']*)\s*(?:,\s*[a-z_][\w']*\s*)*+::",
             r"(?m)^([a-z_][\w']*)(?:[ \t]+[^\n=:|]+)?[ \t]*(?:=[^=>]|\|)",
         ],
         "data_types": [r"(?m)^(?:data|newtype)\s+(?:[^=\n]*=>\s*)?([A-Z][\w']*)"],

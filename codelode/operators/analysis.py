@@ -86,7 +86,6 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     )
     weighted = weighted_complexity("node_counts")
     has_async = [(f"{lang} = {literal(n)}", f"_bare RLIKE {literal(rf'{chr(92)}b{w}{chr(92)}b')}") for n, w in ASYNC_WORDS.items()]
-    details = "to_json(transform(data_types, n -> struct(n AS name)))"
     staged = staged.withColumns(columns(constants | {
         "complexity_score": case(
             [
@@ -113,12 +112,14 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
         "docstring": "coalesce(_py.docstring, '')",
         "function_details": "coalesce(_py.function_details, '[]')",
         "class_details": "coalesce(_py.class_details, '[]')",
-        "data_type_details": case([("size(data_types) > 0", details)], "'[]'"),
         "analysis_method": case(
             [(parsed, literal(PYTHON_METHOD)), (broken, literal(PYTHON_REGEX))],
             f"coalesce(try_element_at({constant_map(METHODS)}, {lang}), {literal(DEFAULT_METHOD)})",
         ),
     }))
+    staged = staged.withColumns({"_h": F.when(F.col(language) == "Haskell", F.col("_bare"))})
+    staged = staged.withColumn("_d", text.haskell_details("_h")["data_type_details"])
+    staged = staged.withColumn("data_type_details", F.expr(case([("size(_d) > 0", "to_json(_d)")], "'[]'"))).drop("_h", "_d")
     return with_json(staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in found]))
 
 

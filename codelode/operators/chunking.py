@@ -14,6 +14,7 @@ from codelode.functions import languages
 from codelode.functions.let import let, unnest
 from codelode.functions.packing import merge_runs, pack, unique_names
 from codelode.functions.sqltext import case, literal, name, one_of
+from codelode.functions.symbols import bracket_errors
 
 # --- Fixed values: names of the chunking methods -----------------------------
 SPLIT_RECURSIVELY = "split_recursively"
@@ -25,7 +26,7 @@ HASKELL_REGEX = "rust_haskell_regex_fallback_python"
 # Languages cut at the start of a top-level (or class-level) definition, with
 # the line starts that begin one, strongest first.
 _BRACE_STARTS = [
-    r"^(?:export\s+|public\s+|private\s+|protected\s+|abstract\s+|static\s+|final\s+|default\s+|async\s+)*"
+    r"^(?:export\s+|public\s+|private\s+|protected\s+|abstract\s+|static\s+|final\s+|default\s+|async\s+)*+"
     r"(?:class|interface|enum|function|namespace|record|struct|type)\b",
     r"^(?:export\s+)?(?:const|let|var)\s+\w+\s*=",
     r"^(?:  |    |\t)(?:public|private|protected|static|async|@)",
@@ -145,7 +146,8 @@ def chunk_arrays(
 
     With ``default_chunking`` every language uses the sized separator splitter
     (per-language sizes, overlap).  Otherwise structural languages and Haskell
-    are cut at definitions and the rest into fixed line blocks.
+    are cut at definitions and the rest into fixed line blocks; Haskell text with
+    many unmatched brackets gets a chunk per declaration-like line.
     """
     lang = F.col(language)
     code = F.col(content)
@@ -153,21 +155,22 @@ def chunk_arrays(
     structural = lang.isin(*STRUCTURE_STARTS)
     haskell = lang == "Haskell"
     if default_chunking:
-        packs = F.lit(True)
+        packs, damaged = F.lit(True), F.lit(False)
         limit, least = params["chunk_size"], params["min_chunk_size"]
         overlap, method = params["chunk_overlap"], F.lit(SPLIT_RECURSIVELY)
     else:
         packs = structural | haskell
+        damaged = haskell & F.expr(f"{bracket_errors(name(content))} >= {catalog.PARSE_ERROR_LIMIT}")
         limit = F.lit(catalog.STRUCTURAL_BUDGET)
         least = F.when(haskell, catalog.HASKELL_MIN).otherwise(0)
         overlap = F.lit(0)
-        method = F.when(haskell, HASKELL).otherwise(STRUCTURAL)
+        method = F.when(damaged, HASKELL_REGEX).when(haskell, HASKELL).otherwise(STRUCTURAL)
     source = F.when(packs, code)
     starts = {**catalog.LINE_SEPARATORS, **STRUCTURE_STARTS}
     levels = F.expr(_levels("_seg", name(language), starts))
     wide = df.withColumn("_seg", _segments(source, limit))
     wide = packed_chunks(
-        wide, "_packed", levels, limit, least, overlap, F.lit(False), method
+        wide, "_packed", levels, limit, least, overlap, damaged, method
     )
     chunks = F.when(packs, F.col("_packed"))
     if not default_chunking:

@@ -189,7 +189,7 @@ def test_python_that_does_not_parse(found):
 @pytest.mark.parametrize(
     "key, expected",
     [
-        ("java", {"functions": ["M", "foo", "area"], "classes": ["M"], "enums": ["Kind"], "has_type_hints": True,
+        ("java", {"functions": ["foo", "area", "M"], "classes": ["M"], "enums": ["Kind"], "has_type_hints": True,
                   "has_classes": True}),
         ("rs", {"functions": ["new", "go", "main"], "structs": ["P"], "traits": ["T1"], "impls": ["P"], "enums": ["E"],
                 "modules": ["inner"], "has_async": True, "has_module": True}),
@@ -295,3 +295,41 @@ def test_text_functions(spark):
     )
     quoted = spark.createDataFrame([('"""\nA "b"\n"""',), ("'x'",), (" y ",)], "d string")
     assert [x[0] for x in quoted.select(text.clean_docstring(F.col("d"))).collect()] == ['A "b"', "x", "y"]
+
+
+def test_haskell_details(spark):
+    code = (
+        "module A.B (f, T(..)) where\nimport qualified Data.Map as M\nimport Data.List (sort, nub)\nimport Prelude hiding (map)\n"
+        "data T a = L Int\n  | N a\n  deriving (Eq, Show)\nnewtype W = W Int\ntype S = String\nf, g :: Int -> a\nh x = 1\n"
+    )
+    r = spark.createDataFrame([(code,)], "c string").select(*[c.alias(n) for n, c in text.haskell_details("c").items()]).first()
+    assert [tuple(i) for i in r.import_details] == [
+        ("Data.Map", True, "M", [], []), ("Data.List", False, None, ["sort", "nub"], []), ("Prelude", False, None, [], ["map"]),
+    ]
+    assert [tuple(d) for d in r.data_type_details] == [
+        ("data", "T", ["a"], ["L", "N"], ["Eq", "Show"]), ("newtype", "W", [], ["W"], []), ("type", "S", [], ["String"], []),
+    ]
+    assert [tuple(x) for x in r.signature_details] == [(["f", "g"], "Int -> a")]
+    assert r.module_details[0].name == "A.B" and r.module_details[0].exports[0] == "f"
+
+
+def test_damaged_haskell_is_cut_by_lines(spark):
+    from codelode.plans.index_flow import index_files
+
+    text_of = {"ok.hs": "f :: Int\nf = 1\n", "bad.hs": "f :: ((((((((((((Int\nf = 1\ng = 2\n"}
+    files = spark.createDataFrame([(k, v, "s") for k, v in text_of.items()], "filename string, content string, source_name string")
+    got = {(r.filename, r.chunking_method, r.tree_sitter_chunking_error) for r in index_files(files, with_vectors=False).collect()}
+    assert got == {("ok.hs", "haskell_specialized_chunker", False), ("bad.hs", "rust_haskell_regex_fallback_python", True)}
+
+
+def test_patterns_survive_large_text(spark):
+    """Long comments and literals: no stack overflow, no endless matching."""
+    big = 1_000_000
+    rows = [
+        ("Java", "/*" + "* a" * big + "*/ class A { }\n"), ("C", 'char *s = "' + "\\\\n" * big + '";\nint f(int a) {\n}\n'),
+        ("Haskell", "{-" + "- x" * big + "-}\nf :: Int\n"), ("Rust", "fn " + "a" * big + "() {}\n"),
+        ("TypeScript", "const x = " + "(a, " * 200_000 + ";\n"), ("Kotlin", "fun f() {}\n" + "private " * 2000 + "\n"),
+    ]
+    df = spark.createDataFrame(rows, "language string, code string")
+    got = {r.language: r for r in analyze(df).select("language", "functions", "classes").collect()}
+    assert got["Java"].classes == ["A"] and got["C"].functions == ["f"] and got["Haskell"].functions == ["f"]

@@ -219,3 +219,25 @@ def analyze_default(spark, sf_dir):
     return rows.select(
         "filename", "analysis_method", "complexity_score", metadata.joined(F.col("functions")).alias("functions"), "char_count"
     )
+
+
+@query(
+    "haskell_details",
+    f"""SELECT filename, 'Data.Map qualified Map, Shop.Catalog' AS imports,
+               array_to_string(list_sort(list_concat(fns, ['main_' || id])), ' ') AS signed,
+               'data Kind' || id || ' = Small|Large' AS data_types, 'Part' || id AS modules
+        FROM ({TRUTH_SQL}) WHERE language = 'Haskell'""",
+)
+def haskell_details(spark, sf_dir):
+    """Imports, signatures, data types and modules in detail."""
+    rows = source_files(spark, sf_dir).filter(F.col("language") == "Haskell")
+    found = rows.select("filename", *[c.alias(n) for n, c in text.haskell_details("content").items()])
+    shown = {
+        "imports": "array_join(transform(import_details, i -> concat_ws(' ', i.module,"
+        " CASE WHEN i.qualified THEN 'qualified' END, i.alias)), ', ')",
+        "signed": "array_join(array_sort(flatten(transform(signature_details, s -> s.names))), ' ')",
+        "data_types": "array_join(transform(data_type_details, d -> concat(d.kind, ' ', d.name, ' = ',"
+        " array_join(d.constructors, '|'))), ', ')",
+        "modules": "array_join(module_details.name, ' ')",
+    }
+    return found.selectExpr("filename", *[f"{sql} AS {n}" for n, sql in shown.items()])
