@@ -79,6 +79,14 @@ class SearchSession:
             search.hybrid_search(rows, vector, keywords, top_k, vector_weight, keyword_weight, model)
         )
 
+    def search_late(self, *args, **options) -> DataFrame:
+        """The same search in two reads: keys and scores first, then the k rows.
+
+        Runs the first part at once.  Worth it on large tables, where the code
+        text of all other rows is then never read.
+        """
+        return search.late_rows(self.table, self.search(*args, **options))
+
     def hybrid(self, vector_query, keyword_query: str, **options) -> DataFrame:
         return self.search(vector_query, keyword_query, **options)
 

@@ -58,23 +58,19 @@ def relative_path(root: str, path: str = "path"):
     return F.substring(bare, F.lit(len(plain_root) + 1), F.length(bare))
 
 
-def scan_root(
-    spark: SparkSession,
-    root: str,
-    source_name: str,
-    includes: list[str],
-    excludes: list[str],
-) -> DataFrame:
-    """``filename, content, source_name, modified, n_bytes`` of one root."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+# --- Fixed values: columns of Spark's binary file source ---------------------
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _file_rows(reader, spark, root, source_name, includes, excludes) -> DataFrame:
+    reader = reader.format("binaryFile").option("recursiveFileLookup", True)
     name_filter = globs.listing_glob(includes)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
     root = full_path(spark, root)
-    filename = relative_path(root)
     return (
         reader.load(root)
-        .withColumn("filename", filename)
+        .withColumn("filename", relative_path(root))
         .filter(globs.path_matches(F.col("filename"), includes, excludes))
         .select(
             "filename",
@@ -86,6 +82,29 @@ def scan_root(
     )
 
 
+def scan_root(
+    spark: SparkSession, root: str, source_name: str, includes: list[str], excludes: list[str]
+) -> DataFrame:
+    """``filename, content, source_name, modified, n_bytes`` of one root."""
+    return _file_rows(spark.read, spark, root, source_name, includes, excludes)
+
+
+def stream_root(
+    spark: SparkSession,
+    root: str,
+    source_name: str = "files",
+    includes: list[str] = catalog.DEFAULT_INCLUDES,
+    excludes: list[str] = catalog.DEFAULT_EXCLUDES,
+    files_per_batch: int = 10_000,
+) -> DataFrame:
+    """The same rows as a stream of new files, for ``live.index_stream``.
+
+    A file stream does not see removed or rewritten files; ``live.follow`` does.
+    """
+    reader = spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
+    return _file_rows(reader, spark, root, source_name, includes, excludes)
+
+
 def scan(
     spark: SparkSession,
     paths: list[str],

@@ -93,12 +93,17 @@ class ChunkStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").filter(F.col("run").isin(runs))
 
-    def manifest(self) -> DataFrame:
-        """The latest state of every file ever seen."""
+    def manifest(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """The latest state of every file ever seen, or of the files in ``only``,
+        optionally as it was before a run."""
         latest = F.max_by(F.struct("version", "removed"), "run")
+        rows = self._read("files", FILE_SCHEMA)
+        if before is not None:
+            rows = rows.filter(F.col("run") < before)
+        if only is not None:
+            rows = rows.join(only.select(*FILE_KEY), FILE_KEY, "left_semi")
         return (
-            self._read("files", FILE_SCHEMA)
-            .groupBy(*FILE_KEY)
+            rows.groupBy(*FILE_KEY)
             .agg(latest.alias("_s"), F.max("run").alias("run"))
             .select(*FILE_KEY, "_s.version", "_s.removed", "run")
         )
@@ -130,10 +135,8 @@ class ChunkStore:
                 *FILE_KEY, F.lit(None).cast("string").alias("version"), F.lit(True).alias("removed")
             )
             states = states.unionByName(gone)
-        earlier = self.manifest().filter((F.col("run") < run) & ~F.col("removed"))
-        replaced = earlier.select(*FILE_KEY, F.col("run").alias("stale_run")).join(
-            states.select(*FILE_KEY), FILE_KEY, "left_semi"
-        )
+        earlier = self.manifest(states, run).filter(~F.col("removed"))
+        replaced = earlier.select(*FILE_KEY, F.col("run").alias("stale_run"))
         self._write(chunks, "chunks", run, ["language"], ["language", "embedding_model", *FILE_KEY])
         self._write(replaced, "stale", run)
         self._write(states, "files", run)

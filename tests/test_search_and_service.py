@@ -130,6 +130,12 @@ def test_late_rows(table, session):
     assert search.late_rows(table, top.limit(0)).count() == 0
 
 
+def test_search_late_gives_the_same_rows(session):
+    asked = ("fibonacci", "exists(code)"), dict(language="python")
+    now, late = session.search(*asked[0], **asked[1]), session.search_late(*asked[0], **asked[1])
+    assert {(r.filename, r.score, r.code) for r in now.collect()} == {(r.filename, r.score, r.code) for r in late.collect()}
+
+
 def test_registered_model(spark):
     embedding.register_model("mine", lambda c: F.transform(F.array(F.length(c), F.lit(1)), lambda x: x.cast("float")))
     try:

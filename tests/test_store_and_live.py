@@ -8,6 +8,7 @@ from codelode.plans.index_flow import IndexConfig
 from codelode.service import open_session
 from codelode.session import work_folder
 from codelode.sources import store as storage
+from codelode.sources.files import stream_root
 from codelode.streaming import live
 
 
@@ -157,3 +158,20 @@ def test_work_folder_uses_the_shared_setting(spark):
 
 def test_config_defaults():
     assert IndexConfig().poll_seconds == 60 and IndexConfig().chunk_factor_percent == 100
+
+
+def test_stream_of_real_files(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "target").mkdir(parents=True)
+    _put(root, "a.py", "x = 1", time.time())
+    _put(root, "target/b.py", "no", time.time())
+    kept = storage.ChunkStore(spark, str(tmp_path / "store"))
+
+    def run():
+        live.index_stream(stream_root(spark, str(root)), kept, str(tmp_path / "progress")).awaitTermination()
+
+    run()
+    _put(root, "c.rs", "fn main() {}", time.time())
+    run()
+    assert [(r[1], r[3]) for r in rows_of(kept)] == [("a.py", "x = 1"), ("c.rs", "fn main() {}")]
+    assert len(kept.runs()) == 2

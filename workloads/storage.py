@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.functions import text
-from codelode.plans.index_flow import index_files
 from codelode.session import work_folder
 from codelode.sources import store
+from codelode.sources.vector_index import VectorIndex
 from codelode.streaming import live
 from workloads.registry import query
-from workloads.views import DOCUMENTS_SQL, document_files, document_rows, table
+from workloads.views import (
+    CHUNKS_SQL, DOCUMENTS_SQL, chunk_rows, document_files, document_rows, query_vector, table,
+)
 
 
 def _flagged(spark, sf_dir, flag: str, value: int):
@@ -143,3 +144,19 @@ def stream_index(spark, sf_dir):
 )
 def snapshot_versions(spark, sf_dir):
     return store.snapshot(document_files(spark, sf_dir))
+
+
+_SIMILARITY = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+
+
+@query(
+    "vector_topk_indexed",
+    f"""SELECT filename, embedding_model, round({_SIMILARITY}, 6) AS score FROM ({CHUNKS_SQL})
+        WHERE embedding IS NOT NULL ORDER BY {_SIMILARITY} DESC, filename LIMIT 10""",
+)
+def vector_topk_indexed(spark, sf_dir):
+    """All rows laid out by direction, then searched cell by cell: exact."""
+    index = VectorIndex(spark, work_folder(spark, "index"))
+    index.build(chunk_rows(spark, sf_dir), cells=16)
+    found = index.search(query_vector(spark, sf_dir))
+    return found.select("filename", "embedding_model", F.round("score", 6).alias("score"))
