@@ -15,10 +15,10 @@ SPAN = 100_000
 
 def _split(df: DataFrame, keys: list[str], position: str, span: int) -> DataFrame:
     # One struct as key: NULL fields compare equal in it, and the join and the
-    # window below then share one shuffle.
-    return df.withColumn("_key", F.struct(*keys)).withColumn(
-        "_range", F.floor(F.col(position) / span).cast("bigint")
-    )
+    # window below then share one shuffle.  NULL positions sort first, so they
+    # get the lowest range.
+    place = f"coalesce(cast(`{position}` AS bigint) div {span}, {-(2**63 - 1)}L)"
+    return df.withColumns({"_key": F.struct(*keys), "_range": F.expr(place)})
 
 
 def _with_carry(split: DataFrame, summary: Column, fold) -> DataFrame:

@@ -163,3 +163,13 @@ def test_header(spark):
     assert df.select(make(F.col("c"), F.col("f"), F.col("s"), F.col("e"), F.lit(None), F.lit("m"))).first()[0] == (
         "-- File: a.hs | Lines: 1-4 | Node type: unknown | Method: m\nx"
     )
+
+
+def test_ordered_operators_keep_null_and_far_positions(spark):
+    far = 2**60
+    rows = [("a", None, 1), ("a", far, 2), ("a", far + 1, 3), ("a", -5, 4), ("a", 5, 5), ("b", None, 6)]
+    df = spark.createDataFrame(rows, "k string, p bigint, v int")
+    numbered = ordered.number_rows(df, ["k"], "p", "n", span=1)
+    assert {(r.v, r.n) for r in numbered.collect()} == {(1, 1), (4, 2), (5, 3), (2, 4), (3, 5), (6, 1)}
+    reach = ordered.max_before(df, ["k"], "p", "v", "m", span=10)
+    assert {(r.v, r.m) for r in reach.collect()} == {(1, None), (4, 1), (5, 4), (2, 5), (3, 5), (6, None)}
