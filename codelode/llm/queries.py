@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelode.llm import encode, exact_dedup
+from codelode.llm import classifier, encode, exact_dedup, pii
 
 QUERIES = {}
 ORACLES = {}
@@ -44,3 +45,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe_encode_decode")
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.digests(encode.encode(table(spark, sf_dir, "documents"), byte_bpe()))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classifier.fit(documents, labels.where(classifier.fold(F.col("doc_id"), 3) != 1))
+    scored = classifier.score(documents, model)
+    return scored.select("doc_id", (classifier.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
