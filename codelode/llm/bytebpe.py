@@ -123,6 +123,7 @@ class ByteBPE:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.array([k for k, _ in self.merges.values()], np.int64)[order]
+        self.spine = self.rank.tolist(), self.left.tolist(), self.right.tolist()
         usable = self._reachable()
         self.greedy = {t: i for t, i in self.id_of.items() if usable[i]}
         self.longest = max(map(len, self.greedy))
@@ -180,6 +181,20 @@ class ByteBPE:
             until_y[right], y[right] = rank_y[~split], self.left[y[right]]
         return good
 
+    def compatible_pair(self, x: int, y: int) -> bool:
+        """:meth:`compatible` for one pair."""
+        until_x = until_y = NEVER
+        rank, left, right = self.spine
+        while True:
+            if (found := self.merges.get((x, y))) and found[0] < until_x and found[0] <= until_y:
+                return False
+            if rank[x] < 0 and rank[y] < 0:
+                return True
+            if rank[x] >= rank[y]:
+                until_x, x = rank[x], right[x]
+            else:
+                until_y, y = rank[y], left[y]
+
     def _reachable(self) -> np.ndarray:
         """Tokens that their own bytes are merged to."""
         made = np.flatnonzero(self.rank >= 0)
@@ -322,16 +337,10 @@ class ByteBPE:
 
         Texts that hold a special token's string are cut around it, as the library does.
         """
-        text = data.tobytes()
-        cuts = sorted((m.start(), m.end(), i) for s, i in self.special.items() if s in text for m in regex.finditer(regex.escape(s), text))
-        heads = set(offsets.tolist())
-        cuts = [c for c in cuts if not heads.intersection(range(c[0] + 1, c[1]))]
-        inner = [p for c in cuts for p in c[:2]]
-        if not cuts:
+        bounds, single = self.segments(data, offsets)
+        if not single:
             return self._encode(data, offsets)
-        bounds = np.unique(np.concatenate([offsets, np.array(inner, np.int64)]))
         ids, at = self._encode(data, bounds)
-        single = {c[0]: c[2] for c in cuts}
         parts, lengths = [], []
         for k, low in enumerate(bounds[:-1].tolist()):
             part = np.array([single[low]], np.uint32) if low in single else ids[at[k] : at[k + 1]]
@@ -340,6 +349,17 @@ class ByteBPE:
         total = np.concatenate([[0], np.cumsum(lengths)])
         return np.concatenate(parts), total[np.searchsorted(bounds, offsets)]
 
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """Bounds of texts and special strings, and the special id that starts at a bound."""
+        text = data.tobytes()
+        cuts = [(m.start(), m.end(), i) for s, i in self.special.items() if s in text for m in regex.finditer(regex.escape(s), text)]
+        if cuts:
+            heads = set(offsets.tolist())
+            cuts = [c for c in cuts if not heads.intersection(range(c[0] + 1, c[1]))]
+        if not cuts:
+            return offsets, {}
+        return np.unique(np.concatenate([offsets, np.array([p for c in cuts for p in c[:2]], np.int64)])), {c[0]: c[2] for c in cuts}
+
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, pii
+from codelode.llm import classifier, encode, exact_dedup, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -58,3 +58,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_bpe(), limit=1024)
