@@ -67,7 +67,7 @@ class Transducer:
     def _resize(self, size: int) -> None:
         """Transitions by (state, byte) in an open-addressed table, so that memory follows those in use."""
         old = [(k, v) for k, v in zip(self.keys.tolist(), self.values.tolist(), strict=True) if k >= 0] if size > 1 << 16 else []
-        self.keys, self.values, self.filled = np.full(size, -1, np.int64), np.zeros(size, np.int32), 0
+        self.keys, self.values, self.filled = np.full(size, -1, np.int64), np.zeros(size, np.int64), 0
         self.down = np.uint64(65 - size.bit_length())
         for k, v in old:
             self._put(k, v)
