@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, packing, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -63,3 +63,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_bpe(), limit=1024)
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1, window=2048))
