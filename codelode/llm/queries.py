@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, packing, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, packing, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -68,3 +68,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1, window=2048))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
