@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, jaccard, packing, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, lm, packing, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -73,3 +73,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = lm.score(documents, documents.where(classifier.fold(F.col("doc_id"), 10) != 0))
+    return scored.select("doc_id", (classifier.fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
