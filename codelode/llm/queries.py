@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, jaccard, lm, packing, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, lm, neighbours, packing, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +80,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = lm.score(documents, documents.where(classifier.fold(F.col("doc_id"), 10) != 0))
     return scored.select("doc_id", (classifier.fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(embeddings, embeddings.where("vec_id % 20 = 0"), k=20)
