@@ -53,7 +53,7 @@ def language_of(path: Column) -> Column:
     return rule.otherwise(
         F.coalesce(
             lookup(catalog.EXTENSION_LANGUAGE, ext),
-            F.nullif(F.substring(ext, 2, 100), F.lit("")),
+            F.nullif(F.substr(ext, F.lit(2)), F.lit("")),
             F.lit("Unknown"),
         )
     )

@@ -40,28 +40,39 @@ def json_contains(json_text: Column, wanted: dict) -> Column:
     """JSON containment: every given key holds the given value; lists must
     hold every given element; nested objects are checked the same way."""
     variant = F.try_parse_json(json_text)
+    elements = "array<variant>"
 
-    def check(path: str, value: Any) -> list[Column]:
+    def both(parts: list[Column]) -> Column:
+        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+
+    def holds(value: Any):
+        return lambda item: check(item, value)
+
+    def check(at: Column, value: Any) -> Column:
         if isinstance(value, dict):
-            return [c for k, v in value.items() for c in check(f"{path}['{k}']", v)]
+            return both([F.schema_of_variant(at).startswith("OBJECT"), *(check(_member(at, k), v) for k, v in value.items())])
         if isinstance(value, (list, tuple)):
-            items = F.try_variant_get(variant, path, "array<string>")
-            return [F.array_contains(items, _json_text(v)) for v in value]
-        at = F.variant_get(variant, path, "variant")
+            items = F.try_variant_get(at, "$", elements)
+            return both([F.schema_of_variant(at).startswith("ARRAY"), *(F.exists(items, holds(v)) for v in value)])
         if value is None:
-            return [F.is_variant_null(at)]
+            return F.is_variant_null(at)
         kind = F.schema_of_variant(at)
-        same_type = kind == ("BOOLEAN" if isinstance(value, bool) else "STRING")
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return [~kind.isin("STRING", "BOOLEAN") & (F.try_variant_get(variant, path, "double") == float(value))]
-        return [same_type & (F.try_variant_get(variant, path, "string") == _json_text(value))]
+        if isinstance(value, bool):
+            return both([kind == "BOOLEAN", F.try_variant_get(at, "$", "boolean") == value])
+        if isinstance(value, int) and -(10**38) < value < 10**38:  # as whole numbers: doubles would merge large ones
+            exact = F.try_variant_get(at, "$", "decimal(38,0)") == F.lit(str(value)).cast("decimal(38,0)")
+            whole = F.try_variant_get(at, "$", "double") == F.floor(F.try_variant_get(at, "$", "double"))
+            return both([~kind.isin("STRING", "BOOLEAN"), exact, whole])
+        if isinstance(value, (int, float)):
+            return both([~kind.isin("STRING", "BOOLEAN"), F.try_variant_get(at, "$", "double") == float(value)])
+        return both([kind == "STRING", F.try_variant_get(at, "$", "string") == str(value)])
 
-    checks = check("$", wanted)
-    return F.coalesce(reduce(lambda a, b: a & b, checks, F.lit(True)), F.lit(False))
+    return check(variant, wanted)
 
 
-def _json_text(value: Any) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+def _member(at: Column, key: str) -> Column:
+    """A member by its name, whatever characters it has."""
+    return F.element_at(F.try_variant_get(at, "$", "map<string,variant>"), F.lit(key))
 
 
 def condition(df: DataFrame, f: QueryFilter) -> Column:
@@ -143,9 +154,16 @@ def from_filter_dict(df: DataFrame, tree: dict) -> Column:
     """The nested form as a predicate."""
     if not tree:
         return F.lit(True)
-    for word, logic in (("must", "AND"), ("should", "OR")):
-        if isinstance(tree.get(word), list):
-            return combine([from_filter_dict(df, part) for part in tree[word]], logic)
+    lists = {w: tree[w] for w in ("must", "should", "must_not") if isinstance(tree.get(w), list)}
+    if lists:
+        parts = [from_filter_dict(df, part) for part in lists.get("must", [])]
+        if lists.get("should"):
+            parts.append(combine([from_filter_dict(df, part) for part in lists["should"]], "OR"))
+        # A row where the excluded part is NULL does not match it, so it stays.
+        parts += [~F.coalesce(from_filter_dict(df, part), F.lit(False)) for part in lists.get("must_not", [])]
+        return combine(parts)
+    if tree.get("must_not") is True and ("range" in tree or "text" in tree.get("match", {})):
+        return ~F.coalesce(from_filter_dict(df, {k: v for k, v in tree.items() if k != "must_not"}), F.lit(False))
     if "is_empty" in tree:
         f = QueryFilter(tree["is_empty"]["key"], "IS NOT NULL" if tree.get("must_not") else "IS NULL")
         return condition(df, f)

@@ -7,6 +7,9 @@ per key to carry counts or maxima across ranges.  Results are exact.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +65,28 @@ def unique_locations(
     df: DataFrame, keys: list[str], location: str, position: str, joiner: str = "#", span: int = SPAN
 ) -> DataFrame:
     """Locations made unique within ``keys``: the first row keeps its location,
-    the n-th repetition gets ``location#n``."""
+    repetitions get ``location#n``, with numbers that no row of the key has yet.
+
+    A made name can meet one that is there (``x, x, x#1``).  Names that are there
+    win: of the numbers 1, 2, ... a repetition takes the first ones that are free.
+    """
     numbered = number_rows(df, [*keys, location], position, "_n", span=span)
-    renamed = F.when(F.col("_n") == 1, F.col(location)).otherwise(
-        F.concat(F.col(location), F.lit(joiner), (F.col("_n") - 1).cast("string"))
-    )
-    return numbered.withColumn(location, renamed).drop("_n")
+    # Names of the form base#number whose base occurs: the numbers that are taken.
+    ending = F.regexp_extract(F.col(location), f"^(.*){re.escape(joiner)}([1-9][0-9]*)$", 2)
+    base = F.regexp_extract(F.col(location), f"^(.*){re.escape(joiner)}([1-9][0-9]*)$", 1)
+    repeated = numbered.filter(F.col("_n") > 1).groupBy(*keys, location).agg(F.max("_n").alias("_most"))
+    wanted = repeated.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(location).alias("_base"), "_most")
+    names = df.filter(ending != "").select(*keys, base.alias("_name"), ending.cast("decimal(38,0)").alias("_number")).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_name") == F.col("_base"))
+    # Only numbers up to repetitions plus taken names matter; one row per base and key.
+    taken = names.join(wanted, same).groupBy(*[f"_k{i}" for i in range(len(keys))], "_base").agg(F.sort_array(F.collect_set("_number")).alias("_taken"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col(location) == F.col("_base"))
+    joined = numbered.join(taken, on, "left")
+    # The m-th free number is m plus the taken ones below it; they are sorted.
+    m = (F.col("_n") - 1).cast("decimal(38,0)")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<decimal(38,0)>")), m, lambda n, t: F.when(t <= n, (n + 1).cast("decimal(38,0)")).otherwise(n))
+    renamed = F.when(F.col("_n") == 1, F.col(location)).otherwise(F.concat(F.col(location), F.lit(joiner), free.cast("string")))
+    return joined.withColumn(location, renamed).select(*df.columns)
 
 
 def uncovered_ranges(

@@ -6,7 +6,12 @@ which Spark runs as one pass with a bounded top-k per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode import catalog
@@ -53,9 +58,13 @@ def keyword_search(df: DataFrame, query: str | None = None, top_k: int = catalog
 
 
 def with_distance(df: DataFrame, query_vector: list[float], embedding_model: str | None = None) -> DataFrame:
-    comparable = _of_model(df, embedding_model).filter(F.col("embedding").isNotNull())
-    scored = comparable.withColumn("distance", cosine_distance(F.col("embedding"), query_vector))
-    return scored.filter(F.col("distance").isNotNull())
+    """Rows of the model with their distance, NULL where a row has no usable vector.
+
+    A filter on the distance here would make Spark compute it twice, so callers
+    drop those rows after their limit: they are ordered last.
+    """
+    comparable = _of_model(df, embedding_model)
+    return comparable.withColumn("distance", cosine_distance(F.col("embedding"), query_vector))
 
 
 def vector_search(
@@ -67,7 +76,63 @@ def vector_search(
     """Nearest rows by cosine distance."""
     scored = with_distance(df, query_vector, embedding_model)
     result = _result(scored, F.lit(1.0) - F.col("distance"), VECTOR)
-    return result.orderBy(F.col("distance").asc_nulls_last(), *_ties(df)).limit(top_k)
+    return result.orderBy(F.col("distance").asc_nulls_last(), *_ties(df)).limit(top_k).filter(F.col("distance").isNotNull())
+
+
+def multi_query_search(
+    df: DataFrame,
+    queries: dict[int, list[float]],
+    top_k: int = catalog.DEFAULT_TOP_K,
+    embedding_model: str | None = None,
+) -> DataFrame:
+    """The nearest rows of many query vectors in one pass over the table.
+
+    Each batch of rows is multiplied with all queries at once.  A task keeps k rows
+    per query, so what is merged grows with tasks and queries, not with the table.
+    Result: query_id, rank, the key columns, score.
+    """
+    ids = sorted(queries)
+    matrix = np.array([queries[i] for i in ids], np.float64)
+    lengths = np.sqrt((matrix**2).sum(axis=1))
+    if not len(ids) or not lengths.all():
+        raise ValueError("queries need a direction each")
+    matrix /= lengths[:, None]
+    keys = [n for n in _TIES if n in df.columns]
+    rows = _of_model(df, embedding_model).filter(F.col("embedding").isNotNull()).select(*keys, "embedding")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = matrix @ (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T
+            scores[~np.isfinite(scores)] = -np.inf
+            # All rows at least as near as the k-th: ties are broken over the whole table later.
+            least = np.partition(scores, -min(top_k, scores.shape[1]), axis=1)[:, -min(top_k, scores.shape[1])] if batch.num_rows else None
+            if least is None:
+                continue
+            query, row = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            columns = {k: batch.column(k).take(pa.array(row)) for k in keys}
+            own = pa.table({"query_id": pa.array(np.array(ids)[query], pa.int64()), **columns, "score": pa.array(scores[query, row])})
+            kept = own if kept is None else pa.concat_tables([kept, own])
+            if kept.num_rows > 4 * top_k * len(ids):
+                kept = _k_of_each(kept, top_k, keys)
+        if kept is not None:
+            yield from _k_of_each(kept, top_k, keys).to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    found = rows.mapInArrow(best, f"query_id long, {kinds}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *_ties(found))
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return ranked.select("query_id", "rank", *keys, "score")
+
+
+def _k_of_each(rows: pa.Table, k: int, keys: list[str]) -> pa.Table:
+    order = [("query_id", "ascending"), ("score", "descending"), *((n, "ascending") for n in keys)]
+    rows = rows.sort_by(order)
+    query = rows["query_id"].to_numpy()
+    first = np.searchsorted(query, query, "left")
+    return rows.filter(pa.array(np.arange(len(query)) - first < k))
 
 
 def legacy_vector_search(df: DataFrame, query_vector: list[float], top_k: int = catalog.LEGACY_TOP_K) -> DataFrame:
@@ -94,6 +159,7 @@ def hybrid_search(
     score = (F.lit(1.0) - F.col("distance")) * vector_weight + F.lit(float(keyword_weight))
     return (
         _result(scored, score, HYBRID).orderBy(F.col("score").desc_nulls_last(), *_ties(df)).limit(top_k)
+        .filter(F.col("score").isNotNull())
     )
 
 
@@ -130,12 +196,12 @@ def late_rows(df: DataFrame, top: DataFrame) -> DataFrame:
     code text of every row through the sort.
     """
     keys = [c for c in catalog.CHUNK_KEY if c in df.columns]
-    found = top.select(*keys, "score", "score_type").collect()
-    if not found:
-        return df.limit(0).withColumns({"score": F.lit(0.0), "score_type": F.lit("")})
-    spark = df.sparkSession
-    schema = top.select(*keys, "score", "score_type").schema
-    ranked = spark.createDataFrame(found, schema)
-    narrow = df.filter(F.col("filename").isin(sorted({r.filename for r in found})))
+    extra = [c for c in ("distance", "score", "score_type") if c in top.columns]
+    ranked = top.select(*keys, *extra)
+    found = ranked.collect()
     columns = selectable(df)
-    return narrow.select(*[F.col(f"`{c}`") for c in columns]).join(F.broadcast(ranked), keys)
+    ranked = df.sparkSession.createDataFrame(found, ranked.schema).select(*[F.col(k).alias(f"_{k}") for k in keys], *extra)
+    narrow = df.filter(F.col("filename").isin(sorted({r.filename for r in found if r.filename is not None})) | F.col("filename").isNull())
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rows = narrow.select(*[F.col(f"`{c}`") for c in columns]).join(F.broadcast(ranked), same)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], *extra).orderBy(F.col("score").desc_nulls_last(), *_ties(df))

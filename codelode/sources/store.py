@@ -1,26 +1,31 @@
 """The keyed chunk table on plain Parquet.
 
-Three datasets lie side by side, each with one folder per run:
+Three datasets lie side by side, each with one folder per attempt to write a run:
 
-* ``chunks`` - the rows a run added, split by language;
+* ``chunks`` - the rows a run added;
 * ``stale``  - (file, older run) pairs the run replaced or removed;
 * ``files``  - one small row per file of the run: its version, or a removal.
 
-A run only appends, so its cost follows what changed.  ``files`` is written
-last: a run counts once its folder is there, so a half-finished run is never
-seen.  Reading skips the stale pairs with an anti join whose small side empties
-with every ``compact``.  Re-running a run replaces exactly its own folders.
-One writer at a time.
+An attempt writes to fresh folders and becomes a run by one small file in
+``commits``, created last and never overwritten.  Readers open the folders of
+committed attempts only, so an aborted or repeated attempt can neither show rows
+nor hide any.  A commit may carry a token; a second one with the same token is
+refused, which makes a replayed batch of a stream a run that is already there.
+A run only appends, so its cost follows what changed.  ``compact`` makes one run
+of all current rows; readers start at the last such run.  One writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions.text import content_hash
 
+BASE = "base"
 FILE_KEY = ["source_name", "filename"]
 FILE_SCHEMA = "source_name string, filename string, version string, removed boolean, run bigint"
 STALE_SCHEMA = "source_name string, filename string, stale_run bigint, run bigint"
@@ -78,20 +83,35 @@ class ChunkStore:
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         return path.getFileSystem(conf), path
 
-    def runs(self) -> list[int]:
-        """Finished runs, oldest first (a listing of the run folders)."""
-        files, path = self._place("files")
+    def drop_work(self, folder: str) -> None:
+        """Remove a folder of intermediate decisions below the store."""
+        files, path = self._place(folder.removeprefix(f"{self.folder}/"))
+        files.delete(path, True)
+
+    def commits(self) -> list[tuple[int, str, str]]:
+        """(run, attempt, token) of the runs that count, oldest first."""
+        files, path = self._place("commits")
         if not files.exists(path):
             return []
         names = [s.getPath().getName() for s in files.listStatus(path)]
-        return sorted(int(n.removeprefix("run=")) for n in names if n.startswith("run="))
+        found = sorted((int(run), attempt, token) for run, attempt, token in (n.split(".", 2) for n in names if n.count(".") >= 2))
+        base = max((k for k, c in enumerate(found) if c[2] == BASE), default=0)
+        return found[base:]
+
+    def runs(self) -> list[int]:
+        """Numbers of the runs that count, oldest first."""
+        return [run for run, _, _ in self.commits()]
+
+    def has(self, token: str) -> bool:
+        """Whether a run was committed with this token, also before the last compaction."""
+        files, path = self._place("commits")
+        return files.exists(path) and any(s.getPath().getName().split(".", 2)[-1] == token for s in files.listStatus(path))
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        runs = self.runs()
-        files, path = self._place(name)
-        if not runs or not files.exists(path):
+        attempts = [attempt for _, attempt, _ in self.commits()]
+        if not attempts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").filter(F.col("run").isin(runs))
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/{attempt}" for attempt in attempts))
 
     def manifest(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
         """The latest state of every file ever seen, or of the files in ``only``,
@@ -116,19 +136,15 @@ class ChunkStore:
     def next_run(self) -> int:
         return max(self.runs(), default=-1) + 1
 
-    def _write(self, df: DataFrame, name: str, run: int, by: list[str] = (), order: list[str] = ()) -> None:
-        rows = df.withColumn("run", F.lit(run).cast("bigint"))
-        if order:
-            rows = rows.sortWithinPartitions(*order)
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run", *by)
-            .parquet(f"{self.folder}/{name}")
-        )
+    def _commit(self, run: int, attempt: str, token: str) -> None:
+        files, path = self._place(f"commits/{run}.{attempt}.{token}")
+        files.create(path, False).close()
 
-    def write_run(self, run: int, chunks: DataFrame, files: DataFrame, removed: DataFrame | None = None) -> None:
-        """Store one run: rows, what they replace, and last the file states."""
+    def write_run(self, run: int, chunks: DataFrame, files: DataFrame, removed: DataFrame | None = None, token: str = "") -> None:
+        """Store one run: rows, what they replace, the file states, and last the commit."""
+        if run in self.runs():
+            raise ValueError(f"run {run} is already there")
+        attempt = uuid.uuid4().hex
         states = files.select(*FILE_KEY, "version", F.lit(False).alias("removed"))
         if removed is not None:
             gone = removed.select(
@@ -137,20 +153,28 @@ class ChunkStore:
             states = states.unionByName(gone)
         earlier = self.manifest(states, run).filter(~F.col("removed"))
         replaced = earlier.select(*FILE_KEY, F.col("run").alias("stale_run"))
-        self._write(chunks, "chunks", run, ["language"], ["language", "embedding_model", *FILE_KEY])
-        self._write(replaced, "stale", run)
-        self._write(states, "files", run)
+        number = F.lit(run).cast("bigint")
+        # Spark splits large and joins small partitions here: few files, rows of a language together.
+        rows = chunks.withColumn("run", number).hint("rebalance", "language", "embedding_model")
+        rows = rows.sortWithinPartitions("language", "embedding_model", *FILE_KEY)
+        for name, part in (("chunks", rows), ("stale", replaced.withColumn("run", number)), ("files", states.withColumn("run", number))):
+            part.write.parquet(f"{self.folder}/{name}/{attempt}")
+        self._commit(run, attempt, token)
 
     def clear(self) -> None:
-        """Forget everything: file states first, then the rows."""
-        for name in ("files", "stale", "chunks"):
+        """Forget everything: the commits first, then the rows."""
+        for name in ("commits", "files", "stale", "chunks"):
             files, path = self._place(name)
             files.delete(path, True)
 
-    def compact(self, target: ChunkStore) -> None:
-        """Rewrite the current rows as one run of another, empty store."""
+    def compact(self, target: ChunkStore | None = None) -> None:
+        """Rewrite the current rows as one run: of another, empty store, or of this
+        one, whose readers then start there."""
         states = self.manifest().filter(~F.col("removed"))
-        target.write_run(0, self.table(), states)
+        if target is not None:
+            target.write_run(0, self.table(), states)
+        elif self.runs():
+            self.write_run(self.next_run(), self.table(), states, token=BASE)
 
     def info(self) -> dict:
         """Row count, columns and which known columns are absent."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from codelode.sources.store import FILE_KEY, ChunkStore, changes, snapshot
 
 
 def update(store: ChunkStore, files: DataFrame, config: IndexConfig = IndexConfig()) -> int:
-    """Bring the store to the state of ``files``; returns the run number.
+    """Bring the store to the state of ``files``; returns the number of the last run.
 
     Only added and changed files are chunked and embedded; removed files lose
     their rows.  The list of changes is stored first, because chunk rows and
@@ -29,9 +30,12 @@ def update(store: ChunkStore, files: DataFrame, config: IndexConfig = IndexConfi
     diff = changes(known, snapshot(files)).filter(F.col("state") != "unchanged")
     decided = f"{store.folder}/pending/{uuid.uuid4().hex}"
     diff.write.parquet(decided)
-    diff = spark.read.parquet(decided)
-    new = diff.filter(F.col("state").isin("added", "changed"))
+    diff = spark.read.schema(diff.schema).parquet(decided)
     run = store.next_run()
+    if diff.isEmpty():
+        store.drop_work(decided)
+        return run - 1
+    new = diff.filter(F.col("state").isin("added", "changed"))
     fresh = files.join(new, FILE_KEY, "left_semi")
     if "modified" in files.columns:
         # A file scan skips the content of files older than every change.
@@ -39,6 +43,7 @@ def update(store: ChunkStore, files: DataFrame, config: IndexConfig = IndexConfi
         if oldest is not None:
             fresh = files.filter(F.col("modified") >= F.lit(oldest)).join(new, FILE_KEY, "left_semi")
     store.write_run(run, index_files(fresh, config), snapshot(fresh), diff.filter(F.col("state") == "removed"))
+    store.drop_work(decided)
     return run
 
 
@@ -84,16 +89,22 @@ def index_stream(
 ) -> StreamingQuery:
     """Index a stream of file rows into the store, one run per micro-batch.
 
-    The batch number is the run, so a batch that is replayed after a failure
-    rewrites its own folder; give a stream a store of its own.  Within a batch the latest version of a file counts
-    where the stream carries a ``modified`` time.
+    A run carries the identity of the query (kept in its checkpoint) and of the
+    batch, so a batch replayed after a failure is written once, and a stream with
+    another checkpoint adds to what is there.  Within a batch the latest version of
+    a file counts where the stream carries a ``modified`` time.
     """
+    spark = store.spark
 
     def write(batch: DataFrame, number: int) -> None:
+        query = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+        token = f"{query}-{number}"
+        if store.has(token):
+            return
         if "modified" in batch.columns:
             newest = batch.groupBy(*FILE_KEY).agg(F.max("modified").alias("modified"))
             batch = batch.join(newest, [*FILE_KEY, "modified"], "left_semi")
-        store.write_run(number, index_files(batch, config), snapshot(batch))
+        store.write_run(store.next_run(), index_files(batch, config), snapshot(batch), token=token)
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

@@ -44,15 +44,52 @@ def test_update_replaces_and_removes(spark, tmp_path):
     assert [r[1] for r in rows_of(kept)] == ["z.md"] and kept.runs() == [0]
 
 
-def test_repeated_and_unfinished_runs(spark, tmp_path):
+def test_repeated_and_unfinished_runs(spark, tmp_path, monkeypatch):
     kept = storage.ChunkStore(spark, str(tmp_path / "store"))
+    live.update(kept, files(spark, {"a.md": "one"}))
+    # An attempt that writes all its rows and dies before its commit.
+    monkeypatch.setattr(storage.ChunkStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        live.update(kept, files(spark, {"a.md": "CHANGED", "g.py": "x = 1"}))
+    monkeypatch.undo()
+    assert [r[3] for r in rows_of(kept)] == ["one"] and kept.next_run() == 1
+    # The next attempt writes other files under the same run number.
+    live.update(kept, files(spark, {"a.md": "one", "b.rs": "fn main() {}"}))
+    assert [(r[1], r[3]) for r in rows_of(kept)] == [("a.md", "one"), ("b.rs", "fn main() {}")]
     batch = files(spark, {"a.md": "one"})
-    rows = live.index_files(batch)
-    for _ in range(2):  # a retried batch
-        kept.write_run(3, rows, storage.snapshot(batch))
-    assert len(rows_of(kept)) == 1 and kept.next_run() == 4
-    kept._write(live.index_files(files(spark, {"a.md": "half"})), "chunks", 4, ["language"])
-    assert [r[3] for r in rows_of(kept)] == ["one"]  # no file rows yet: unseen
+    with pytest.raises(ValueError):
+        kept.write_run(1, live.index_files(batch), storage.snapshot(batch))
+
+
+def test_compaction_in_place(spark, tmp_path):
+    kept = storage.ChunkStore(spark, str(tmp_path / "store"))
+    live.update(kept, files(spark, {"a.md": "one", "b.md": "two"}))
+    live.update(kept, files(spark, {"a.md": "ONE"}))
+    before = rows_of(kept)
+    kept.compact()
+    assert rows_of(kept) == before and len(kept.runs()) == 1
+    live.update(kept, files(spark, {"a.md": "ONE", "c.md": "three"}))
+    assert [(r[1], r[3]) for r in rows_of(kept)] == [("a.md", "ONE"), ("c.md", "three")]
+
+
+def test_streams_add_and_replays_do_not(spark, tmp_path):
+    kept = storage.ChunkStore(spark, str(tmp_path / "store"))
+
+    def feed(name, texts):
+        folder = tmp_path / name
+        files(spark, texts).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("filename string, content string, source_name string").parquet(str(folder))
+        live.index_stream(stream, kept, str(tmp_path / f"{name}-progress")).awaitTermination()
+
+    feed("one", {"a.md": "one"})
+    feed("two", {"b.md": "two"})  # another stream with a fresh checkpoint
+    assert [r[1] for r in rows_of(kept)] == ["a.md", "b.md"]
+    # Forget that the last batch was finished: it is replayed and changes nothing.
+    for commit in (tmp_path / "two-progress" / "commits").iterdir():
+        commit.unlink()
+    feed("two", {"b.md": "later"})
+    assert len(kept.commits()) == len({token for _, _, token in kept.commits()})
+    assert [r[1] for r in rows_of(kept)] == ["a.md", "b.md"]
 
 
 def test_same_name_in_two_sources(spark, tmp_path):
@@ -138,7 +175,7 @@ def test_reading_prunes(spark, tmp_path):
     live.update(kept, files(spark, {"a.md": "one", "b.py": "x = 1"}))
     live.update(kept, files(spark, {"a.md": "two", "b.py": "x = 1"}))
     plan = kept.table().filter("language = 'Python'").select("filename")._jdf.queryExecution().executedPlan().toString()
-    assert "language" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(language,Python)" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert "embedding:" not in plan.split("ReadSchema:")[1]
 
 

@@ -10,7 +10,7 @@ from codelode.operators import search
 from codelode.sources import globs
 from codelode.sources.files import union_sources
 from workloads.registry import query
-from workloads.views import document_files, source_files, table
+from workloads.views import DOCUMENTS_SQL, document_files, document_rows, source_files, table
 
 # Every given table that holds files, as one list of names.
 _PAGE_NAME = "regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1)"
@@ -242,11 +242,11 @@ def union_all_sources(spark, sf_dir):
 
 @query(
     "distinct_languages",
-    "SELECT DISTINCT lang AS language FROM documents ORDER BY language LIMIT 10",
+    "SELECT DISTINCT lang AS language FROM documents ORDER BY language",
 )
 def distinct_languages(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"))
-    return rows.distinct().orderBy("language").limit(10)
+    return rows.distinct().orderBy("language")
 
 
 @query(
@@ -265,9 +265,8 @@ def table_stats(spark, sf_dir):
 
 @query(
     "file_order",
-    f"""SELECT filename FROM (SELECT 'doc_' || doc_id || '.' || lang AS filename, doc_id FROM documents)
-        ORDER BY filename LIMIT 50""",
+    f"""SELECT filename, location FROM ({DOCUMENTS_SQL}) ORDER BY filename, location""",
 )
 def file_order(spark, sf_dir):
-    """The first fifty rows by file name and location."""
-    return document_files(spark, sf_dir).select("filename").orderBy("filename").limit(50)
+    """All rows by file name and location; Spark sorts them by ranges."""
+    return document_rows(spark, sf_dir).select("filename", "location").orderBy("filename", "location")

@@ -193,7 +193,8 @@ def vector_topk_model(spark, sf_dir):
 )
 def vector_distance_all(spark, sf_dir):
     """Every vector's similarity, without a limit."""
-    scored = search.with_distance(chunk_rows(spark, sf_dir), query_vector(spark, sf_dir))
+    rows = chunk_rows(spark, sf_dir).filter(F.col("embedding").isNotNull())
+    scored = search.with_distance(rows, query_vector(spark, sf_dir))
     return scored.select("doc_id", F.round(F.lit(1.0) - F.col("distance"), 6).alias("similarity"))
 
 
@@ -256,7 +257,7 @@ def hybrid_subset(spark, sf_dir):
     """Hybrid rows are keyword rows: counts both and those outside."""
     rows = chunk_rows(spark, sf_dir)
     asked = "language:fr"
-    scored = search.with_distance(keyword_filter(rows, asked), query_vector(spark, sf_dir)).select("doc_id")
+    scored = search.with_distance(keyword_filter(rows, asked).filter(F.col("embedding").isNotNull()), query_vector(spark, sf_dir)).select("doc_id")
     allowed = keyword_filter(document_rows(spark, sf_dir), asked).select("doc_id", F.lit(True).alias("inside"))
     return scored.join(allowed, "doc_id", "left").agg(
         F.count(F.lit(1)).alias("hybrid_rows"), F.count_if(F.col("inside").isNull()).alias("outside_keyword")
@@ -283,3 +284,18 @@ def results_complete(spark, sf_dir):
     """Results that lack a location get one from file and lines."""
     rows = keyword_filter(document_rows(spark, sf_dir), "language:es").drop("location")
     return search.complete_result(rows).select("filename", "source_name", "location")
+
+
+@query(
+    "multi_query_topk",
+    f"""SELECT query_id, CAST(rank AS INT) AS rank, filename, round(score, 6) AS score FROM (
+          SELECT q.vec_id AS query_id, c.filename, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
+                 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, c.filename) AS rank
+          FROM ({CHUNKS_SQL}) c, (SELECT * FROM embeddings WHERE vec_id < 100) q WHERE c.embedding IS NOT NULL) WHERE rank <= 10""",
+)
+def multi_query_topk(spark, sf_dir):
+    """A hundred request vectors answered in one pass over the table."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", "embedding").collect()
+    queries = {r.vec_id: [float(x) for x in r.embedding] for r in asked}
+    found = search.multi_query_search(chunk_rows(spark, sf_dir), queries, 10)
+    return found.select("query_id", "rank", "filename", F.round("score", 6).alias("score"))
