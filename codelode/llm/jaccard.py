@@ -1,17 +1,17 @@
 """N-gram Jaccard join by a prefix tree.
 
-1. A text becomes the set of 64-bit hashes of its word n-grams.  Equal sets are one
-   set.  The global order of n-grams puts those common to many texts last (found by
-   counting, kept as a bitmap of fixed size; any order gives the same links).
+1. A text becomes the set of 64-bit hashes of its word n-grams.  Equal sets are one set.
 2. Two sets can only be linked if they share one of the first ``n - ceil(t n) + 1``
-   n-grams of this order.  An n-gram shared by different sets is found by its least
-   and greatest set, so no group is gathered; sets chained by shared n-grams form a
-   candidate cluster.
+   n-grams of a global order; sets chained by such n-grams form a candidate cluster.
+   This holds for any order.  Here n-grams that recur within a slice of the texts come
+   last (a bitmap of fixed size says which), then the order is that of the hashes;
+   n-grams found to chain sets join those at the end in the next round, in which only
+   sets still chained take part.  Every text is read in whole.
 3. The ordered sets of a cluster lie in a prefix tree.  A set walks the tree once for
    all sets in it, sharing the overlap along common beginnings; a subtree is left as
    soon as the overlap so far and the lengths that remain cannot reach the threshold,
    or if all of its sets are already connected with the walking one.
-4. A large cluster is cut into blocks by a hash.  Blocks are joined within, then one
+4. A large cluster is cut into blocks by size and by a hash.  Blocks are joined within, then one
    set of each component of each block with its like; after that only those pairs of
    blocks are joined that are not yet one component, so a group of very many near
    copies costs little more than its size and no link is lost.
@@ -19,8 +19,10 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,37 +36,80 @@ WORDS = 5
 THRESHOLD = (4, 5)  # a link needs this share of the union, as a fraction
 BLOCK_SETS = 2000
 BLOCK_BYTES = 32 << 20
-COUNT_BYTES = 16 << 20
-COMMON_IN_SLICE = 3
+STAR_BYTES = 16 << 20
+ROUNDS = 3
 EDGE = 48
 _LIFT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(64)], np.uint64)
 
 
-def _ngrams(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
-    """Distinct n-gram hashes of each text; texts with fewer words have one for all of them."""
-    hashes, at = spans.word_hashes(data, offsets)
-    if len(hashes) >= words:
-        rolled = np.zeros(len(hashes) - words + 1, np.uint64)
-        for k in range(words):
-            rolled += hashes[k : len(rolled) + k] * _LIFT[k]
-        rolled = spans.mix(rolled)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= words:
-            yield np.unique(rolled[a : b - words + 1])
-        elif b > a:
-            yield spans.mix(np.array([(hashes[a:b] * _LIFT[: b - a]).sum() + np.uint64(b - a)], np.uint64))
-        else:
-            yield np.zeros(0, np.uint64)
+@dataclass
+class Sets:
+    """Distinct n-grams of many units of text: sorted within a unit, with the n + 1 offsets of the units."""
+
+    grams: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def names(self) -> np.ndarray:
+        """A 64-bit name of each set, for any order of its members; 0 for an empty one."""
+        full = np.flatnonzero(self.sizes)
+        names = np.zeros(len(self.sizes), np.uint64)
+        if len(full):
+            sums = np.add.reduceat(spans.mix(self.grams ^ np.uint64(0x5851F42D4C957F2D)), self.bounds[full])
+            names[full] = spans.mix(sums + self.sizes[full].astype(np.uint64)) | np.uint64(1)
+        return names.view(np.int64)
 
+    def ordered(self, common: np.ndarray) -> np.ndarray:
+        """Names of n-grams that sort in the global order, in this order: common ones last."""
+        names = (self.grams >> np.uint64(1)) | (tables.has_bit(common, self.grams).astype(np.uint64) << np.uint64(63))
+        return names[_by_unit(np.repeat(np.arange(len(self.sizes)), self.sizes), names, len(self.sizes))]
 
-def _set_id(grams: np.ndarray) -> int:
-    """A 64-bit name of a set, for any order of its members."""
-    return int(spans.mix(np.array([spans.mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+    def pick(self, units: np.ndarray) -> Sets:
+        sizes = self.sizes[units]
+        return Sets(self.grams[spans.spread_positions(self.bounds[units], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def _ordered(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Names of n-grams that sort in the global order: common ones last."""
-    return np.sort((grams >> np.uint64(1)) | (tables.has_bit(common, grams).astype(np.uint64) << np.uint64(63)))
+def _by_unit(unit: np.ndarray, values: np.ndarray, units: int) -> np.ndarray:
+    """An order by unit and then by value (by its upper bits)."""
+    bits = np.uint64(max(1, int(units).bit_length()))
+    return np.argsort(unit.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits, kind="stable")
+
+
+def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of lines, and text and line number of each; a line break ends its line."""
+    breaks = np.flatnonzero(data == 10) + 1
+    starts = np.unique(np.concatenate([offsets, breaks]))
+    text = np.searchsorted(offsets, starts[:-1], "right") - 1
+    number = np.searchsorted(breaks, starts[:-1], "right") - np.searchsorted(breaks, offsets[text], "right")
+    return starts, text, number
+
+
+def ngram_sets(data: np.ndarray, offsets: np.ndarray, words: int, short: bool) -> Sets:
+    """The set of each unit.  ``short``: units with fewer words have one n-gram of all of them, else none."""
+    hashes, at = spans.word_hashes(data, offsets)
+    sizes, units = np.diff(at), len(at) - 1
+    rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    for k in range(words):
+        rolled += hashes[k : len(rolled) + k] * _LIFT[k]
+    rolled = spans.mix(rolled)
+    unit = np.repeat(np.arange(units), sizes)
+    whole = unit[: len(rolled)] == unit[words - 1 :] if len(rolled) else np.zeros(0, bool)
+    rolled, unit = rolled[whole], unit[: len(whole)][whole]
+    if short and (few := np.flatnonzero((sizes > 0) & (sizes < words))).size:
+        single = np.array([(hashes[at[k] : at[k + 1]] * _LIFT[: sizes[k]]).sum() + np.uint64(sizes[k]) for k in few], np.uint64)
+        rolled, unit = np.concatenate([rolled, spans.mix(single)]), np.concatenate([unit, few])
+    order = _by_unit(unit, rolled, units)
+    rolled, unit = rolled[order], unit[order]
+    fresh = np.ones(len(rolled), bool)
+    fresh[1:] = (rolled[1:] != rolled[:-1]) | (unit[1:] != unit[:-1])
+    return Sets(rolled[fresh], np.concatenate([[0], np.cumsum(np.bincount(unit[fresh], minlength=units))]))
+
+
+def _units(data: np.ndarray, offsets: np.ndarray, words: int, by_line: bool) -> Sets:
+    return ngram_sets(data, line_offsets(data, offsets)[0] if by_line else offsets, words, not by_line)
 
 
 def required(a: int, b: int, threshold: tuple[int, int]) -> int:
@@ -73,65 +118,145 @@ def required(a: int, b: int, threshold: tuple[int, int]) -> int:
     return -(-part * (a + b) // (part + whole))
 
 
-def _common(rows: DataFrame, words: int) -> np.ndarray:
-    """Bitmap of n-grams that many texts share, counted over all texts slice by slice."""
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    """Per text: doc_id, set_id (NULL for an empty set) and number of n-grams."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = spans.flat(batch.column(1))
-            for _, _, outer, bounds in spans.slices(data, offsets, COUNT_BYTES):
-                seen, held = set(), []
-                for _, _, part, at in spans.slices(outer, bounds):
-                    for grams in _ngrams(part, at, words):
-                        if len(grams) and (name := _set_id(grams)) not in seen:
-                            seen.add(name)
-                            held.append(grams)
-                if held:
-                    every = np.sort(np.concatenate(held))
-                    first = np.flatnonzero(np.diff(every, prepend=every[0] ^ np.uint64(1)))
-                    many = first[np.diff(first, append=len(every)) >= COMMON_IN_SLICE]
-                    yield pa.RecordBatch.from_arrays([pa.array(every[many].view(np.int64))], ["gram"])
+            for first, last, piece, at in spans.slices(data, offsets):
+                sets = ngram_sets(piece, at, words, True)
+                names = pa.array(sets.names(), mask=sets.sizes == 0)
+                own = [batch.column(c).slice(first, last - first) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, names, pa.array(sets.sizes, pa.int64())], ["doc_id", "text_hash", "set_id", "n_shingles"])
 
-    return tables.bitmap(rows.mapInArrow(run, "gram long"), "gram")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, set_id long, n_shingles long")
 
 
-def _sets(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """Per text: doc_id, set_id, number of n-grams and, once for a set in a slice, its prefix."""
-    part, whole = threshold
-    shared = rows.sparkSession.sparkContext.broadcast(common)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _fresh(sets: Sets, seen: set[int], wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Units with the first set of its name that is not empty, has its bit in ``wanted`` and is not in ``seen``; their names."""
+    names = sets.names()
+    _, first = np.unique(names, return_index=True)
+    first = first[sets.sizes[first] > 0]
+    if wanted is not None:
+        first = first[tables.has_bit(wanted, names[first])]
+    first = first[[n not in seen for n in names[first].tolist()]] if len(first) else first
+    seen.update(names[first].tolist())
+    return first, names[first]
+
+
+def _repeated(rows: DataFrame, words: int, by_line: bool) -> np.ndarray:
+    """Bitmap of n-grams that different sets of one slice have in common, over all slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = spans.flat(batch.column(1))
-            for first, last, piece, at in spans.slices(data, offsets):
-                names, sizes, prefixes, seen = [], [], [], set()
-                for grams in _ngrams(piece, at, words):
-                    name = _set_id(grams) if len(grams) else None
-                    names.append(name)
-                    sizes.append(len(grams))
-                    reach = len(grams) - -(-part * len(grams) // whole) + 1
-                    prefixes.append(_ordered(grams, shared.value)[:reach].view(np.int64) if len(grams) and name not in seen else None)
-                    seen.add(name)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set_id", "n_shingles", "prefix"])
+            for _, _, outer, bounds in spans.slices(data, offsets, STAR_BYTES):
+                held, seen = [], set()
+                for _, _, piece, at in spans.slices(outer, bounds):
+                    sets = _units(piece, at, words, by_line)
+                    held.append(sets.pick(_fresh(sets, seen, None)[0]).grams)
+                every = np.sort(np.concatenate(held))
+                twice = np.unique(every[1:][every[1:] == every[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(twice.view(np.int64))], ["gram"])
+
+    return tables.bitmap(rows.mapInArrow(run, "gram long"), "gram")
 
-    return rows.mapInArrow(run, f"doc_id {kind}, set_id long, n_shingles long, prefix array<long>")
 
+def _chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray, wanted: np.ndarray | None, by_line: bool) -> DataFrame:
+    """(a, b, gram): sets that have an n-gram of their prefixes in common, as stars around one of them.
+
+    A task makes the stars of its own slices and passes one set of each n-gram on, so a
+    very common n-gram is shuffled once per slice.  The rows of an n-gram then come
+    sorted, and each is tied to the first: nothing is gathered.
+    """
+    part, whole = threshold
+    shared = rows.sparkSession.sparkContext.broadcast((common, wanted))
 
-def _members(rows: DataFrame, words: int, common: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, wanted = shared.value
+        for batch in batches:
+            data, offsets = spans.flat(batch.column(1))
+            for _, _, outer, bounds in spans.slices(data, offsets, STAR_BYTES):
+                held, owners, seen = [], [], set()
+                for _, _, piece, at in spans.slices(outer, bounds):
+                    sets = _units(piece, at, words, by_line)
+                    units, names = _fresh(sets, seen, wanted)
+                    sets = sets.pick(units)
+                    reach = sets.sizes - -(-part * sets.sizes // whole) + 1
+                    held.append(sets.ordered(common)[spans.spread_positions(sets.bounds[:-1], reach)])
+                    owners.append(np.repeat(names, reach))
+                if not sum(map(len, held)):
+                    continue
+                grams, owner = np.concatenate(held), np.concatenate(owners)
+                order = np.argsort(grams, kind="stable")
+                grams, owner = grams[order], owner[order]
+                opens = np.diff(grams, prepend=grams[:1] ^ np.uint64(1)) != 0
+                centre = owner[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+                key = np.where(opens, grams.view(np.int64), owner)  # finished pairs are dealt by set
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(grams.view(np.int64)), pa.array(owner), pa.array(centre, mask=opens)], ["key", "gram", "a", "b"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, 0
+        for batch in batches:
+            gram, a = batch.column("gram").to_numpy(), batch.column("a").to_numpy()
+            if not len(gram):
+                continue
+            done = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            b = batch.column("b").fill_null(0).to_numpy().copy()
+            at = np.flatnonzero(~done)
+            if len(at):
+                opens = np.diff(gram[at], prepend=gram[at[:1]] ^ 1) != 0
+                opens[0] = last is None or gram[at[0]] != last
+                first = np.cumsum(opens) - 1
+                centres = a[at[opens]]
+                b[at] = np.where(first >= 0, centres[first] if len(centres) else 0, centre)
+                last, centre = gram[at[-1]], b[at[-1]]
+            pairs = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[pairs]), pa.array(b[pairs]), pa.array(gram[pairs])], ["a", "b", "gram"])
+
+    dealt = rows.mapInArrow(local, "key long, gram long, a long, b long").repartition("key").sortWithinPartitions("gram")
+    return dealt.mapInArrow(across, "a long, b long, gram long")
+
+
+def candidates(rows: DataFrame, words: int, threshold: tuple[int, int], rounds: int, by_line: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """Chained pairs of sets that may be linked, and the bitmap of common n-grams of the last order.
+
+    The n-grams that chain sets in one round come last in the order of the next, which
+    only takes the sets that are still chained.  So shared passages leave the prefixes,
+    and what stays are sets that have nearly all n-grams in common with others.
+    """
+    common, wanted, before, used = _repeated(rows, words, by_line), None, None, None
+    chains = None
+    for _ in range(rounds):
+        used = common
+        chains = tables.kept(_chains(rows, words, threshold, common, wanted, by_line), "chains")
+        nodes = chains.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        active = nodes.count()
+        if active == 0 or (before is not None and active > 0.95 * before):
+            break
+        # Names of the global order have lost the lowest bit and have the common bit on top.
+        common = common | tables.bitmap(chains.select(F.shiftleft("gram", 1).alias("gram")), "gram")
+        wanted, before = tables.bitmap(nodes, "set_id"), active
+    return chains, used
+
+
+def members(rows: DataFrame, words: int, common: np.ndarray, wanted: np.ndarray, by_line: bool = False) -> DataFrame:
     """set_id and all ordered n-grams of the sets whose bit is set in ``wanted``."""
     shared = rows.sparkSession.sparkContext.broadcast((common, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, wanted = shared.value
         for batch in batches:
             data, offsets = spans.flat(batch.column(1))
             for _, _, piece, at in spans.slices(data, offsets):
-                common, wanted = shared.value
-                found = {}
-                for grams in _ngrams(piece, at, words):
-                    if len(grams) and (name := _set_id(grams)) not in found and tables.has_bit(wanted, np.array([name], np.int64))[0]:
-                        found[name] = _ordered(grams, common).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["set_id", "grams"])
+                sets = _units(piece, at, words, by_line)
+                units, names = _fresh(sets, set(), wanted)
+                sets = sets.pick(units)
+                raw = pa.py_buffer(sets.ordered(common).tobytes())
+                grams = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((sets.bounds * 8).astype(np.int32).tobytes()), raw])
+                yield pa.RecordBatch.from_arrays([pa.array(names), grams], ["set_id", "grams"])
 
     return rows.mapInArrow(run, "set_id long, grams binary")
 
@@ -239,15 +364,26 @@ def _join_across(threshold: tuple[int, int]):
     return work
 
 
-def _blocks(sets: DataFrame, block_sets: int) -> DataFrame:
-    """Adds the block of each set in its cluster; a cluster has as many as its sets and their bytes ask for."""
-    sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES)).alias("blocks"))
-    return sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("blocks")).cast("int"))
+def blocks(sets: DataFrame, block_sets: int) -> DataFrame:
+    """Adds the block of each set in its cluster, and its class of sizes.
+
+    A small cluster is one block.  A larger one is cut by size classes, of which only
+    neighbours can have links, and these by a hash into as many blocks as their sets and
+    bytes ask for.
+    """
+    step = math.log(THRESHOLD[1] / THRESHOLD[0])
+    need = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.octet_length("grams")) / BLOCK_BYTES))
+    whole = sets.groupBy("cluster").agg(need.alias("blocks"))
+    # Sizes of a link differ by the threshold at most, so its classes by one at most.
+    sized = sets.join(whole, "cluster").withColumn("size_class", F.when(F.col("blocks") == 1, 0).otherwise(F.floor(F.log(F.octet_length("grams") / 8.0) / step - 1e-9).cast("int")))
+    parts = sized.groupBy("cluster", "size_class").agg(need.alias("parts"))
+    part = F.pmod(F.xxhash64("set_id", F.lit(7)), F.col("parts")).cast("int")
+    return sized.join(parts, ["cluster", "size_class"]).withColumn("block", F.col("size_class") * 1_000_000 + part).drop("parts")
 
 
 def _links(sets: DataFrame, threshold: tuple[int, int], block_sets: int) -> DataFrame:
     """Links (a, b) that connect what is connected in each cluster; sets: cluster, set_id, grams."""
-    blocked = tables.kept(_blocks(sets, block_sets), "blocked-sets")
+    blocked = tables.kept(blocks(sets, block_sets), "blocked-sets")
     columns = ["cluster", "block", "set_id", "grams"]
     within = tables.in_groups(blocked.select(*columns), ["cluster", "block"], _join_within(threshold), _LINK, "a long, b long")
     links = tables.kept(within, "links")
@@ -258,39 +394,48 @@ def _links(sets: DataFrame, threshold: tuple[int, int], block_sets: int) -> Data
     rooted = tables.kept(large.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted-sets")
     # One set of each component: they lie in far fewer blocks.
     pivots = rooted.where("set_id = root").select("cluster", "set_id", "grams")
-    more = tables.in_groups(_blocks(pivots, block_sets).select(*columns), ["cluster", "block"], _join_within(threshold), _LINK, "a long, b long")
+    more = tables.in_groups(blocks(pivots, block_sets).select(*columns), ["cluster", "block"], _join_within(threshold), _LINK, "a long, b long")
     links = tables.kept(links.unionByName(more), "links")
     roots = components(links)
     rooted = tables.kept(rooted.drop("root").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "rooted-sets")
-    ranges = rooted.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left, right = ranges.select("cluster", F.col("block").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1")), ranges.select("cluster", F.col("block").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    pairs = left.join(right, "cluster").where("left < right AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select("cluster", "left", "right")
+    ranges = rooted.groupBy("cluster", "block", "size_class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    left, right = ranges.select("cluster", F.col("block").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("size_class").alias("c1")), ranges.select("cluster", F.col("block").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("size_class").alias("c2"))
+    pairs = left.join(right, "cluster").where("left < right AND c2 - c1 <= 1 AND NOT (l1 = h1 AND l2 = h2 AND l1 = l2)").select("cluster", "left", "right")
     sides = pairs.withColumn("block", F.explode(F.array("left", "right")))
     crossed = rooted.select(*columns, "root").join(sides, ["cluster", "block"])
     across = tables.in_groups(crossed, ["cluster", "left", "right"], _join_across(threshold), _LINK, "a long, b long")
     return links.unionByName(across)
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", block_sets: int = BLOCK_SETS, rounds: int = ROUNDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, text_hash, first.
 
     Words are runs of other than white space, A-Z lowered.  A text with fewer than
     ``words`` words is one n-gram; a text without words (or NULL) is linked with
     nothing and has its own id as component.  Rows with equal ids are linked as their
     texts are; a NULL id is never the smallest of a component that has another.
+    ``first`` marks the row with the smallest id (of equal ids, the smallest hash of the
+    text); rows equal in both are marked alike.
     """
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    common = _common(rows, words)
-    sets = tables.kept(_sets(rows, words, threshold, common), "sets")
-    grams = sets.select("set_id", F.explode("prefix").alias("gram"))
-    spread = grams.groupBy("gram").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most").select("gram", "least")
-    chained = grams.join(spread, "gram").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = tables.kept(components(chained).select(F.col("root").alias("cluster"), F.col("node").alias("set_id")), "clusters")
-    wanted = tables.bitmap(clusters, "set_id")
-    members = _members(rows, words, common, wanted).groupBy("set_id").agg(F.first("grams").alias("grams"))
-    links = tables.kept(_links(clusters.join(members, "set_id"), threshold, block_sets), "all-links")
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"))
+    sets = tables.kept(_sets(rows, words), "sets")
+    chains, common = candidates(rows, words, threshold, rounds)
+    clusters = tables.kept(components(chains).select(F.col("root").alias("cluster"), F.col("node").alias("set_id")), "clusters")
+    found = members(rows, words, common, tables.bitmap(clusters, "set_id")).groupBy("set_id").agg(F.first("grams").alias("grams"))
+    links = tables.kept(_links(clusters.join(found, "set_id"), threshold, block_sets), "all-links")
     roots = components(links).withColumnRenamed("node", "set_id")
-    placed = sets.where("set_id IS NOT NULL").select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "set_id").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    alone = sets.where("set_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    columns = ["doc_id", "n_shingles", "text_hash"]
+    placed = sets.where("set_id IS NOT NULL").join(roots, "set_id", "left").select(*columns, F.coalesce("root", "set_id").alias("root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("least"))
+    linked = placed.join(least, "root").select(*columns, "component_id", order.eqNullSafe(F.col("least")).alias("first"))
+    alone = sets.where("set_id IS NULL").select(*columns, F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", "text_hash", "first")
+
+
+def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without all but the first of each group of near copies."""
+    gone = near_duplicates(documents, id_column=id_column, text_column=text_column).where("NOT first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = documents.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    same = own[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    return own.join(gone, same, "left_anti").select(*documents.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codelode.session import work_folder
 
-BITMAP_BITS = 24
+BITMAP_BITS = 26
 
 
 def kept(frame: DataFrame, purpose: str) -> DataFrame:
@@ -22,7 +22,7 @@ def kept(frame: DataFrame, purpose: str) -> DataFrame:
 
 
 def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bit for the top ``bits`` bits of every 64-bit key: 2 MB for 24 bits, whatever the data.
+    """A bit for the top ``bits`` bits of every 64-bit key: 8 MB for 26 bits, whatever the data.
 
     A set bit may belong to another key, a missing bit is certain.
     """
