@@ -225,7 +225,8 @@ def _round(entries: DataFrame, queries: DataFrame, index: Index, heavy: dict[int
                 else:
                     visits = {}
                     for table in range(len(positions)):
-                        names = _bucket(table, np.array(index.probes(positions[table, row], success), np.int64).reshape(-1, positions.shape[2]))
+                        cells = index.probes(positions[table, row], success)
+                        names = _bucket(table, np.array(cells, np.int64).reshape(len(cells), positions.shape[2]))
                         for name in names.tolist():
                             for part in range(heavy.get(name, 1)):
                                 visits.setdefault(int((name % 2_147_483_629 + part) % index.shards), []).append(name)

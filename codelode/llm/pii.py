@@ -130,6 +130,8 @@ def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
     stop = at
     while stop < len(text) and (text[stop] in _ALNUM or (text[stop] in " -" and stop + 1 < len(text) and text[stop + 1] in _DIGIT)):
         stop += 1
+    if not any(c in _DIGIT for c in text[at : _while(text, at, _LABEL)]):
+        return None
     word = text[at:stop].replace(" ", "").replace("-", "")
     if text[start:end].lower() == "iban":
         return (at, stop) if _iban(word.upper()) else None
