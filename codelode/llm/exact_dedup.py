@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm import spans
+from codelode.llm import spans, tables
 from codelode.llm.radix import RadixTrie
 
 SUBTREE_BYTES = 32 << 20
@@ -103,9 +103,15 @@ def deduplicated(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
     Where rows repeat with id and text, one of them stays.
     """
-    verdict = exact_dedup(documents, id_column, text_column).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("keep_rows").alias("_rows"))
+    verdict = tables.kept(exact_dedup(documents, id_column, text_column), "exact-dedup")
     keyed = documents.withColumn("_own", F.sha2(normalised(F.col(text_column)), 256))
-    match = keyed[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    single = keyed.join(verdict.where("_rows = 1"), match, "left_semi")
-    repeated = keyed.join(verdict.where("_rows > 1").distinct(), match, "left_semi").dropDuplicates([id_column, "_own"])
-    return single.unionByName(repeated).select(*documents.columns)
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        ids = rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+        return keyed.join(ids, keyed[id_column].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), how)
+
+    repeated = verdict.where("kept AND keep_rows > 1")
+    if repeated.isEmpty():
+        return among(verdict.where("NOT kept"), "left_anti").select(*documents.columns)
+    single = among(verdict.where("NOT kept OR keep_rows > 1"), "left_anti")
+    return single.unionByName(among(repeated, "left_semi").dropDuplicates([id_column, "_own"])).select(*documents.columns)
