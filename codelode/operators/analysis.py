@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions import symbols, text
-from codelode.functions.python_syntax import python_findings
+from codelode.functions.python_syntax import findings_sql, python_nodes
 from codelode.functions.sqltext import EMPTY_LIST, case, columns, constant_map, literal, name, one_of
 
 # --- Fixed values: name of the analyzer that ran -----------------------------
@@ -37,10 +37,11 @@ def weighted_complexity(counts: str) -> str:
     return f"aggregate(map_entries({counts}), cast(0 AS bigint), (total, e) -> total + cast(e.value AS bigint) * {weight})"
 
 
-def analyze(df: DataFrame, code: str = "code", language: str = "language", basic: bool = False) -> DataFrame:
+def analyze(df: DataFrame, code: str = "code", language: str = "language", basic: bool = False, node_counts: bool = False) -> DataFrame:
     """Add the metadata columns and ``metadata_json`` for the text in ``code``.
 
-    With ``basic`` every language gets the constant default analyzer.
+    With ``basic`` every language gets the constant default analyzer; with
+    ``node_counts`` that map stays as a column too.
     Only Python text reaches a Python worker; other rows pass NULL there.
     """
     lang, source = name(language), name(code)
@@ -52,12 +53,13 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
             "docstring": "''", "function_details": "'[]'", "class_details": "'[]'", "data_type_details": "'[]'",
             "analysis_method": literal(DEFAULT_METHOD), "node_counts": "cast(map() AS map<string,bigint>)",
         }
-        return with_json(df.withColumns(columns(parts)))
+        return with_json(df.withColumns(columns(parts)), node_counts)
 
     python, known = f"{lang} = 'Python'", one_of(lang, METHODS)
     parsed, broken = f"{python} AND _py IS NOT NULL", f"{python} AND _py IS NULL"
     fallback = text.python_fallback_sql(source)
-    staged = df.withColumn("_py", python_findings(F.expr(f"CASE WHEN {python} THEN {source} END")))
+    listed = df.withColumn("_nodes", python_nodes(F.expr(f"CASE WHEN {python} THEN {source} END")))
+    staged = listed.withColumn("_py", F.expr(findings_sql("_nodes"))).drop("_nodes")
     staged = staged.withColumn("_bare", F.expr(case([(known, symbols.without_comments(source, lang))], "NULL")))
     found = symbols.declared_names("_bare", lang)
     staged = staged.withColumns(columns({f"_{n}": sql for n, sql in found.items()}))
@@ -120,10 +122,10 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     staged = staged.withColumns({"_h": F.when(F.col(language) == "Haskell", F.col("_bare"))})
     staged = staged.withColumn("_d", text.haskell_details("_h")["data_type_details"])
     staged = staged.withColumn("data_type_details", F.expr(case([("size(_d) > 0", "to_json(_d)")], "'[]'"))).drop("_h", "_d")
-    return with_json(staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in found]))
+    return with_json(staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in found]), node_counts)
 
 
-def with_json(df: DataFrame) -> DataFrame:
+def with_json(df: DataFrame, node_counts: bool = False) -> DataFrame:
     """Add ``metadata_json`` and drop the columns that live only in it."""
     parts = [
         *_EMPTY_LISTS, *JSON_ONLY, "complexity_score", "has_type_hints", "has_async", "has_classes",
@@ -131,7 +133,7 @@ def with_json(df: DataFrame) -> DataFrame:
         "tree_sitter_analyze_error", "node_counts",
     ]
     parts += [c for c in ("chunking_method",) if c in df.columns]
-    return df.withColumn("metadata_json", F.to_json(F.struct(*parts))).drop(*JSON_ONLY, "node_counts")
+    return df.withColumn("metadata_json", F.to_json(F.struct(*parts))).drop(*JSON_ONLY, *([] if node_counts else ["node_counts"]))
 
 
 def universal_analysis(df: DataFrame, code: str = "code") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,39 +55,60 @@ def readable_lines(df: DataFrame) -> DataFrame:
     )
 
 
+def _listed(df: DataFrame, label: str, column: str) -> Column:
+    """``label: a, b`` for a list that has entries, else NULL."""
+    if column not in df.columns:
+        return F.lit(None).cast("string")
+    return F.when(F.size(column) > 0, F.concat(F.lit(f"{label}: "), F.array_join(column, ", ")))
+
+
+def _marked(df: DataFrame, label: Column, column: str, condition: Column) -> Column:
+    return F.when(condition, label) if column in df.columns else F.lit(None).cast("string")
+
+
+def readable_blocks(df: DataFrame) -> DataFrame:
+    """Column ``block``: headline, what is known about Python rows, and the code."""
+    lists = [("Functions", "functions"), ("Classes", "classes"), ("Imports", "imports"), ("Decorators", "decorators")]
+    facts = F.concat_ws(" | ", *[_listed(df, *pair) for pair in lists])
+    marks = F.concat_ws(
+        ", ",
+        _marked(df, F.lit("typed"), "has_type_hints", F.col("has_type_hints")),
+        _marked(df, F.lit("async"), "has_async", F.col("has_async")),
+        _marked(df, F.format_string("complex(%s)", F.col("complexity_score")), "complexity_score", F.col("complexity_score") > 10),
+    )
+    python = F.col("language") == "Python"
+    parts = [
+        F.col("line"),
+        F.when(python & (facts != ""), F.concat(F.lit("   📝 "), facts)),
+        F.when(python & (marks != ""), F.concat(F.lit("   🏷️  "), marks)),
+        F.concat(F.lit("   "), F.coalesce("code", F.lit("None"))),
+        F.lit("   ---"),
+    ]
+    return readable_lines(df).withColumn("block", F.concat_ws("\n", *parts))
+
+
 def readable(df: DataFrame) -> str:
     """A finished, limited result as text for people."""
-    rows = [r.asDict(True) for r in readable_lines(df).collect()]
-    if not rows:
+    blocks = [r.block for r in readable_blocks(df).select("block").collect()]
+    if not blocks:
         return "No results found."
-    out = [f"📊 Found {len(rows)} results:\n"]
-    for number, row in enumerate(rows, 1):
-        out.append(f"{number}. {row['line']}")
-        if row["language"] == "Python":
-            named = [
-                ("Functions", row.get("functions")), ("Classes", row.get("classes")),
-                ("Imports", (row.get("imports") or [])[:3]), ("Decorators", row.get("decorators")),
-            ]
-            facts = [f"{label}: {', '.join(found)}" for label, found in named if found]
-            complexity = row.get("complexity_score") or 0
-            marks = [m for m, on in (("typed", row.get("has_type_hints")), ("async", row.get("has_async"))) if on]
-            marks += [f"complex({complexity})"] if complexity > 10 else []
-            if facts:
-                out.append(f"   📝 {' | '.join(facts)}")
-            if marks:
-                out.append(f"   🏷️  {', '.join(marks)}")
-        out += [f"   {row['code']}", "   ---"]
-    return "\n".join(out)
+    numbered = [f"{number}. {block}" for number, block in enumerate(blocks, 1)]
+    return "\n".join([f"📊 Found {len(blocks)} results:\n", *numbered])
+
+
+def pseudo_json_blocks(df: DataFrame) -> DataFrame:
+    """Column ``block``: one JSON-like object per result; long texts stand in triple quotes, NULLs are left out."""
+
+    def value(column: str) -> Column:
+        if column in _RAW:
+            return F.concat(F.lit('"""'), F.col(column), F.lit('"""'))
+        return F.regexp_replace(F.to_json(F.array(F.col(f"`{column}`"))), r"^\[|\]$", "")
+
+    fields = [F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f'      "{c}": '), value(c))) for c in df.columns]
+    return df.select(F.concat(F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }")).alias("block"))
 
 
 def pseudo_json(df: DataFrame) -> str:
-    """A finished, limited result as JSON-like text, code in triple quotes."""
-    blocks = []
-    for row in df.collect():
-        fields = [
-            f'    "{k}": """{v}"""' if k in _RAW and isinstance(v, str) else f'    "{k}": {json.dumps(v, default=str)}'
-            for k, v in row.asDict(True).items()
-            if v is not None
-        ]
-        blocks.append("  {\n" + ",\n".join("  " + f for f in fields) + "\n  }")
+    """A finished, limited result as JSON-like text."""
+    blocks = [r.block for r in pseudo_json_blocks(df).collect()]
     return "[\n" + ",\n".join(blocks) + "\n]" if blocks else "[]"

@@ -183,7 +183,7 @@ def test_python_that_does_not_parse(found):
     assert (r["functions"], r["classes"], r["imports"]) == (["f"], ["A"], ["os"])
     assert r["analysis_method"] == "python_regex_fallback" and r["parse_errors"] == 1
     assert r["nodes_with_errors"] == ["1"] and r["tree_sitter_analyze_error"]
-    assert found["big"]["analysis_method"] == "python_regex_fallback"
+    assert found["big"]["analysis_method"] == "python_code_analyzer" and found["big"]["parse_errors"] == 0  # length is no error
 
 
 @pytest.mark.parametrize(

@@ -149,8 +149,8 @@ _NODES = [
 )
 def node_histogram(spark, sf_dir):
     """Syntax node kinds per language, summed over all files."""
-    counts = F.from_json(F.get_json_object("metadata_json", "$.node_counts"), "map<string,bigint>")
-    nodes = _analyzed(spark, sf_dir).select("language", F.explode(counts).alias("kind", "c"))
+    rows = analyze(source_files(spark, sf_dir), "content", node_counts=True)
+    nodes = rows.select("language", F.explode("node_counts").alias("kind", "c"))
     return nodes.groupBy("language", "kind").agg(F.sum("c").alias("n"))
 
 

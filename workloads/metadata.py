@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.functions import metadata, text
+from codelode.functions import metadata, symbols, text
 from codelode.operators.analysis import universal_analysis
 from workloads.registry import query
 from workloads.views import SOURCES_SQL, document_files, source_files, table
@@ -266,14 +266,15 @@ def haskell_features(spark, sf_dir):
     "haskell_signatures",
     f"""SELECT filename, count(*) AS signatures, count(*) FILTER (WHERE poly) AS polymorphic FROM (
           SELECT filename, regexp_matches(s, '\\b[a-z][a-zA-Z0-9_]*\\b') AS poly FROM (
-            SELECT filename, unnest(regexp_extract_all(content, '(?m)::[ ]*([^\\n]*)$', 1)) AS s
-            FROM ({SOURCES_SQL}) WHERE language = 'Haskell') WHERE s <> 'not code') GROUP BY filename""",
+            SELECT filename, unnest(regexp_extract_all(regexp_replace(content, '--[^\\n]*', '', 'g'), '(?m)::[ ]*([^\\n]*)$', 1)) AS s
+            FROM ({SOURCES_SQL}) WHERE language = 'Haskell')) GROUP BY filename""",
 )
 def haskell_signatures(spark, sf_dir):
     """Type signatures and how many of them have a type variable."""
     rows = source_files(spark, sf_dir).filter(F.col("language") == "Haskell")
-    found = F.filter(text.find_all(F.col("content"), r"(?m)::[ ]*([^\n]*)$"), lambda s: s != "not code")
-    return rows.select("filename", found.alias("s")).select(
+    bare = rows.withColumn("bare", F.expr(symbols.without_comments("content", "language")))
+    found = text.find_all(F.col("bare"), r"(?m)::[ ]*([^\n]*)$")
+    return bare.select("filename", found.alias("s")).select(
         "filename", F.size("s").cast("bigint").alias("signatures"),
         F.size(F.filter("s", text.is_polymorphic)).cast("bigint").alias("polymorphic"),
     )
