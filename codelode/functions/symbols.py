@@ -147,6 +147,15 @@ def without_comments(code: str, language: str) -> str:
     return case(branches, code)
 
 
+def without_literals(code: str, language: str) -> str:
+    """SQL for the text without comments and string literals: brackets and words left are code."""
+    branches = [
+        (one_of(language, members), f"regexp_replace({code}, {literal(f'{_STRING}|{shape}')}, ' ')")
+        for shape, members in _grouped(COMMENTS).items()
+    ]
+    return case(branches, code)
+
+
 def declared(code: str, patterns: tuple[str, ...], guard: bool) -> str:
     """SQL for the distinct names, in order of appearance per pattern."""
     parts = []

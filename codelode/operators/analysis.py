@@ -61,6 +61,7 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     listed = df.withColumn("_nodes", python_nodes(F.expr(f"CASE WHEN {python} THEN {source} END")))
     staged = listed.withColumn("_py", F.expr(findings_sql("_nodes"))).drop("_nodes")
     staged = staged.withColumn("_bare", F.expr(case([(known, symbols.without_comments(source, lang))], "NULL")))
+    staged = staged.withColumn("_strict", F.expr(case([(known, symbols.without_literals(source, lang))], "NULL")))
     found = symbols.declared_names("_bare", lang)
     staged = staged.withColumns(columns({f"_{n}": sql for n, sql in found.items()}))
 
@@ -75,7 +76,7 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
         [(parsed, "_py.decorators"), (f"{lang} = 'Java'", "_annotations"), (one_of(lang, ["TypeScript", "TSX"]), "_decorators")],
         EMPTY_LIST,
     )
-    lists["_errors"] = case([(broken, "1L"), (known, symbols.bracket_errors("_bare"))], "0L")
+    lists["_errors"] = case([(broken, "1L"), (known, symbols.bracket_errors("_strict"))], "0L")
     lists["nodes_with_errors"] = EMPTY_LIST
     counts = case(
         [(parsed, "cast(_py.node_counts AS map<string,bigint>)")],
@@ -87,7 +88,7 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
         f" + {text.count_sql(source, text.PYTHON_BRANCH_WORDS)} AS bigint)"
     )
     weighted = weighted_complexity("node_counts")
-    has_async = [(f"{lang} = {literal(n)}", f"_bare RLIKE {literal(rf'{chr(92)}b{w}{chr(92)}b')}") for n, w in ASYNC_WORDS.items()]
+    has_async = [(f"{lang} = {literal(n)}", f"_strict RLIKE {literal(rf'{chr(92)}b{w}{chr(92)}b')}") for n, w in ASYNC_WORDS.items()]
     staged = staged.withColumns(columns(constants | {
         "complexity_score": case(
             [
@@ -122,7 +123,7 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     staged = staged.withColumns({"_h": F.when(F.col(language) == "Haskell", F.col("_bare"))})
     staged = staged.withColumn("_d", text.haskell_details("_h")["data_type_details"])
     staged = staged.withColumn("data_type_details", F.expr(case([("size(_d) > 0", "to_json(_d)")], "'[]'"))).drop("_h", "_d")
-    return with_json(staged.drop("_py", "_bare", "_errors", *[f"_{n}" for n in found]), node_counts)
+    return with_json(staged.drop("_py", "_bare", "_strict", "_errors", *[f"_{n}" for n in found]), node_counts)
 
 
 def with_json(df: DataFrame, node_counts: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from codelode.functions import languages
 from codelode.functions.let import let, unnest
 from codelode.functions.packing import merge_runs, pack, unique_names
 from codelode.functions.sqltext import case, literal, name, one_of
-from codelode.functions.symbols import bracket_errors
+from codelode.functions.symbols import bracket_errors, without_literals
 
 # --- Fixed values: names of the chunking methods -----------------------------
 SPLIT_RECURSIVELY = "split_recursively"
@@ -129,6 +129,15 @@ def packed_chunks(
     return df.withColumn(out, _located(pieces, method))
 
 
+# Files that only their extension names take the separators of their kind.
+SEPARATED_EXTENSIONS = {
+    "sh": "Shell", "bash": "Shell", "zsh": "Shell", "ini": "Config", "cfg": "Config", "conf": "Config",
+    "cmake": "CMake", "mk": "Makefile", "gradle": "Gradle",
+}
+# Text is cut into lines first, so an element begins where a line begins with its tag.
+MAVEN_STARTS = [r"^<[A-Za-z]", r"^$"]
+
+
 def chunk_files(df: DataFrame, default_chunking: bool = False, percent: int = 100, **columns: str) -> DataFrame:
     """Chunk rows of a file relation: the input columns plus ``chunk_content``,
     ``location``, ``start``, ``end`` and ``chunking_method``."""
@@ -160,13 +169,14 @@ def chunk_arrays(
         overlap, method = params["chunk_overlap"], F.lit(SPLIT_RECURSIVELY)
     else:
         packs = structural | haskell
-        damaged = haskell & F.expr(f"{bracket_errors(name(content))} >= {catalog.PARSE_ERROR_LIMIT}")
+        damaged = haskell & F.expr(f"{bracket_errors(without_literals(name(content), name(language)))} >= {catalog.PARSE_ERROR_LIMIT}")
         limit = F.lit(catalog.STRUCTURAL_BUDGET)
         least = F.when(haskell, catalog.HASKELL_MIN).otherwise(0)
         overlap = F.lit(0)
         method = F.when(damaged, HASKELL_REGEX).when(haskell, HASKELL).otherwise(STRUCTURAL)
     source = F.when(packs, code)
-    starts = {**catalog.LINE_SEPARATORS, **STRUCTURE_STARTS}
+    starts = {**catalog.LINE_SEPARATORS, **STRUCTURE_STARTS, "Maven": MAVEN_STARTS}
+    starts |= {extension: starts[kind] for extension, kind in SEPARATED_EXTENSIONS.items()}
     levels = F.expr(_levels("_seg", name(language), starts))
     wide = df.withColumn("_seg", _segments(source, limit))
     wide = packed_chunks(

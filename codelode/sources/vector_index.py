@@ -51,17 +51,15 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def build(self, table: DataFrame, cells: int = 256, trained_on: int = 50_000, seed: int = 1) -> None:
-        """Write ``table`` by cell.  The centres come from at most about
-        ``trained_on`` rows; they steer the layout, never the results."""
-        vectors = table.filter(F.col("embedding").isNotNull()).select("embedding")
-        total = vectors.count()
-        share = min(1.0, trained_on / max(total, 1))
-        sample = vectors.sample(share, seed=seed) if share < 1 else vectors
-        points = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).filter(
-            F.expr("exists(embedding, x -> x != 0)")
+    def build(self, table: DataFrame, cells: int | None = None, seed: int = 1) -> None:
+        """Write ``table`` by cell.  The centres come from all rows; they steer the
+        layout, never the results.  Without ``cells`` their number is the square root
+        of the number of rows, so cells and the list of cells grow alike."""
+        points = table.filter(F.expr("exists(embedding, x -> x != 0)")).select(
+            array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
         )
-        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
+        wanted = cells or max(16, math.isqrt(points.count()))
+        model = KMeans(k=wanted, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
         centres = np.array(model.clusterCenters())
         centres /= np.linalg.norm(centres, axis=1, keepdims=True)
 
@@ -97,8 +95,8 @@ class VectorIndex:
     ) -> list[int]:
         """Every cell that can hold one of the k nearest rows.
 
-        The nearest cells with k rows are searched first; the k-th distance
-        found there rules out the cells that lie too far away.
+        Nearest cells are searched until k rows are found, twice as many cells each
+        time; the k-th distance then rules out the cells that lie too far away.
         """
         query = np.asarray(query_vector, dtype=np.float64)
         cells = self._cells(query / np.linalg.norm(query), embedding_model)
@@ -106,8 +104,12 @@ class VectorIndex:
         while first < len(cells) and seen < top_k:
             seen += cells[first]["n"]
             first += 1
-        near = [c["cell"] for c in cells[:first]]
-        found = self._search(near, query_vector, top_k, embedding_model, keywords).select("distance").collect()
+        while True:
+            near = [c["cell"] for c in cells[:first]]
+            found = self._search(near, query_vector, top_k, embedding_model, keywords).select("distance").collect()
+            if len(found) == top_k or first >= len(cells):
+                break
+            first = min(len(cells), 2 * max(1, first))
         reach = math.pi
         if len(found) == top_k:
             reach = math.acos(min(1.0, max(-1.0, 1.0 - max(r.distance for r in found))))

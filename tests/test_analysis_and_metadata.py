@@ -333,3 +333,9 @@ def test_patterns_survive_large_text(spark):
     df = spark.createDataFrame(rows, "language string, code string")
     got = {r.language: r for r in analyze(df).select("language", "functions", "classes").collect()}
     assert got["Java"].classes == ["A"] and got["C"].functions == ["f"] and got["Haskell"].functions == ["f"]
+
+
+def test_literals_and_comments_are_no_code(spark):
+    rows = [("C", 'int main() { puts("("); return 0; }\n'), ("JavaScript", 'function f() { return "async"; }\n'), ("Haskell", "f :: Int\nf = 1\n" + "-- fine :)\n" * 12)]
+    for r in analyze(spark.createDataFrame(rows, "language string, code string")).collect():
+        assert (r.parse_errors, r.tree_sitter_analyze_error, r.has_async) == (0, False, False)
