@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm import spans, tables
+from codelode.llm import tables
 from codelode.llm.radix import RadixTrie
 
 SUBTREE_BYTES = 32 << 20
+LOCAL_BYTES = 8 << 20
 _OWNERS = pa.schema([("n_bytes", pa.int64()), ("content_hash", pa.int64()), ("text", pa.binary()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("keep_rows", pa.int64())])
 _OWNERS_SQL = "n_bytes long, content_hash long, text binary, text_sha256 string, keep_id long, group_size long, keep_rows long"
 
@@ -92,7 +93,7 @@ def exact_dedup(documents: DataFrame, id_column: str = "doc_id", text_column: st
         F.octet_length("text").cast("long").alias("n_bytes"), hashed.cast("long").alias("content_hash"), F.encode("text", "UTF-8").alias("text"),
         F.sha2("text", 256).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("keep_rows"),
     )
-    local = strings.mapInArrow(_merge(spans.SLICE_BYTES * 2, True), _OWNERS_SQL)
+    local = strings.mapInArrow(_merge(LOCAL_BYTES, True), _OWNERS_SQL)
     dealt = local.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash")
     owners = dealt.mapInArrow(_merge(subtree_bytes, False), _OWNERS_SQL).select("text_sha256", "keep_id", "group_size", "keep_rows")
     return keyed.join(owners, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_rows")

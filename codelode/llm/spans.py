@@ -1,6 +1,6 @@
 """Arrow text columns as flat bytes, and 64-bit hashes of many byte spans at once.
 
-Every operator that reads words or pre-tokens works on slices of a few megabytes
+Every operator that reads words or pre-tokens works on slices of about a megabyte
 of text, so the memory of a task follows the slice, not the Arrow batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -26,12 +26,14 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n + 1 offsets of its values; NULL is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    if len(column) == 0 or data is None:
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    buffers = column.buffers()
+    if len(column) == 0 or buffers[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    offsets = np.frombuffer(buffers[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
