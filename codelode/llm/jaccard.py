@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm import spans, tables
+from codelode.llm import spans, stars, tables
 from codelode.llm.components import UnionFind, components
 
 WORDS = 5
@@ -164,13 +164,8 @@ def _repeated(rows: DataFrame, words: int, by_line: bool) -> np.ndarray:
     return tables.bitmap(rows.mapInArrow(run, "gram long"), "gram")
 
 
-def _chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray, wanted: np.ndarray | None, by_line: bool) -> DataFrame:
-    """(a, b, gram): sets that have an n-gram of their prefixes in common, as stars around one of them.
-
-    A task makes the stars of its own slices and passes one set of each n-gram on, so a
-    very common n-gram is shuffled once per slice.  The rows of an n-gram then come
-    sorted, and each is tied to the first: nothing is gathered.
-    """
+def chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray, wanted: np.ndarray | None, by_line: bool) -> DataFrame:
+    """(a, b, gram): sets that have an n-gram of their prefixes in common, as stars around one of them."""
     part, whole = threshold
     shared = rows.sparkSession.sparkContext.broadcast((common, wanted))
 
@@ -189,35 +184,9 @@ def _chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.
                     owners.append(np.repeat(names, reach))
                 if not sum(map(len, held)):
                     continue
-                grams, owner = np.concatenate(held), np.concatenate(owners)
-                order = np.argsort(grams, kind="stable")
-                grams, owner = grams[order], owner[order]
-                opens = np.diff(grams, prepend=grams[:1] ^ np.uint64(1)) != 0
-                centre = owner[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
-                key = np.where(opens, grams.view(np.int64), owner)  # finished pairs are dealt by set
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(grams.view(np.int64)), pa.array(owner), pa.array(centre, mask=opens)], ["key", "gram", "a", "b"])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, 0
-        for batch in batches:
-            gram, a = batch.column("gram").to_numpy(), batch.column("a").to_numpy()
-            if not len(gram):
-                continue
-            done = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-            b = batch.column("b").fill_null(0).to_numpy().copy()
-            at = np.flatnonzero(~done)
-            if len(at):
-                opens = np.diff(gram[at], prepend=gram[at[:1]] ^ 1) != 0
-                opens[0] = last is None or gram[at[0]] != last
-                first = np.cumsum(opens) - 1
-                centres = a[at[opens]]
-                b[at] = np.where(first >= 0, centres[first] if len(centres) else 0, centre)
-                last, centre = gram[at[-1]], b[at[-1]]
-            pairs = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[pairs]), pa.array(b[pairs]), pa.array(gram[pairs])], ["a", "b", "gram"])
-
-    dealt = rows.mapInArrow(local, "key long, gram long, a long, b long").repartition("key").sortWithinPartitions("gram")
-    return dealt.mapInArrow(across, "a long, b long, gram long")
+                yield stars.local_star(np.concatenate(held), np.concatenate(owners))
+
+    return stars.tie(rows.mapInArrow(local, stars.LOCAL_SQL))
 
 
 def candidates(rows: DataFrame, words: int, threshold: tuple[int, int], rounds: int, by_line: bool = False) -> tuple[DataFrame, np.ndarray]:
@@ -228,18 +197,18 @@ def candidates(rows: DataFrame, words: int, threshold: tuple[int, int], rounds:
     and what stays are sets that have nearly all n-grams in common with others.
     """
     common, wanted, before, used = _repeated(rows, words, by_line), None, None, None
-    chains = None
+    found = None
     for _ in range(rounds):
         used = common
-        chains = tables.kept(_chains(rows, words, threshold, common, wanted, by_line), "chains")
-        nodes = chains.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        found = tables.kept(chains(rows, words, threshold, common, wanted, by_line), "chains")
+        nodes = found.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         active = nodes.count()
         if active == 0 or (before is not None and active > 0.95 * before):
             break
         # Names of the global order have lost the lowest bit and have the common bit on top.
-        common = common | tables.bitmap(chains.select(F.shiftleft("gram", 1).alias("gram")), "gram")
+        common = common | tables.bitmap(found.select(F.shiftleft("gram", 1).alias("gram")), "gram")
         wanted, before = tables.bitmap(nodes, "set_id"), active
-    return chains, used
+    return found, used
 
 
 def members(rows: DataFrame, words: int, common: np.ndarray, wanted: np.ndarray, by_line: bool = False) -> DataFrame:
@@ -419,8 +388,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, threshold: tuple[i
     """
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"))
     sets = tables.kept(_sets(rows, words), "sets")
-    chains, common = candidates(rows, words, threshold, rounds)
-    clusters = tables.kept(components(chains).select(F.col("root").alias("cluster"), F.col("node").alias("set_id")), "clusters")
+    tied, common = candidates(rows, words, threshold, rounds)
+    clusters = tables.kept(components(tied).select(F.col("root").alias("cluster"), F.col("node").alias("set_id")), "clusters")
     found = members(rows, words, common, tables.bitmap(clusters, "set_id")).groupBy("set_id").agg(F.first("grams").alias("grams"))
     links = tables.kept(_links(clusters.join(found, "set_id"), threshold, block_sets), "all-links")
     roots = components(links).withColumnRenamed("node", "set_id")
