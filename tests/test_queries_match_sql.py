@@ -27,7 +27,7 @@ def _plain(value):
     return tuple(map(_plain, value)) if isinstance(value, (list, tuple)) else value
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query(spark, database, name):
     result = entry_point.queries()[name](spark, SF_DIR)
     rows = result.collect()
