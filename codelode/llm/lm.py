@@ -1,24 +1,26 @@
-"""Language-model scoring by a weighted backoff automaton.
+"""Language-model scoring by a weighted backoff model that grows with the corpus.
 
-Counting.  Words are counted over all training texts; the counts stay a distributed
-table that grows with the corpus.  Two parts of the model are sent to the tasks, and
-their size is bounded whatever the corpus: the words with a share of at least
-``LEXICON_SHARE`` of the tokens (1 / share of them at most), and the n-grams of common
-words with a share of at least ``NGRAM_SHARE`` (as many at most for each length).
+Counting.  Words and n-grams are counted over all training texts.  An n-gram is kept if
+it occurs at least ``LEAST`` times, whatever the size of the corpus; only n-grams whose
+two shorter parts are kept are counted.  All counts stay distributed tables.
 
-Model.  One word:  p(w) = (c + 0.1) / (N + 0.1 (V + 1)).  After a history h that is kept:
+Model.  One word:  p(w) = (c + 0.1) / (N + 0.1 (V + 1)).  After a history h:
 
     p(w | h) = (c(h w) - D) / c(h)  for a kept n-gram  +  b(h) p(w | h without its first word)
     b(h)     = 1 - sum of (c(h w) - D) / c(h) over the kept n-grams of h
 
-so probabilities after each history add up to 1.  Histories are the states of an
-automaton; a kept n-gram is an arc with the logarithm of the sum above, and b(h) is
-the weight of the failure arc to the shorter history.  A text is read once, from left
-to right, carrying the state.
-
-Rare words have no arcs, so all they add is the weight of failure arcs, known in the
-task, and log p(w), which is joined from the table of counts by (word, row) afterwards.
-No rare word is frequent, so no key of that join is hot.
+so probabilities after each history add up to 1.  In logarithms each kept n-gram has one
+weight: what it adds to the probability of its last word over that without the n-gram,
+and log b of it as the history of the next word.  The score of a text is the sum of
+log p of its words and of the weights of all n-grams in it; n-grams that are not kept
+weigh 0, so one sum over n-grams replaces the walk through the states of
+:class:`Automaton`, the plain form of the same model.
+
+Words and n-grams with a share of at least ``LEXICON_SHARE`` of the tokens (1 / share of
+each length at most) are sent to the tasks and summed there.  The others are joined from
+the tables of counts and of weights; none of them is frequent, so no key of these joins
+is hot.  A bitmap of fixed size says which n-grams may be in the table; once it is full
+of bits more n-grams are joined in vain and the result stays the same.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ from codelode.llm import spans, tables
 
 ORDER = 3
 LEXICON_SHARE = 1e-6
-NGRAM_SHARE = 1e-5
+LEAST = 2
 DISCOUNT = 0.75
 COUNT_BYTES = 16 << 20
 RARE, END, FIRST = 0, 1, 2  # numbers of word kinds; known words follow; FIRST stands before a text
+FIRST_NAME, END_NAME = (int(x) for x in spans.mix(np.array([0x5EED1, 0x5EED2], np.uint64)))
 
 
 class Lexicon:
@@ -191,13 +194,100 @@ def _places(numbers: np.ndarray, last: np.ndarray, parts: list[tuple]) -> np.nda
     return rank
 
 
-def _fit(training: DataFrame, order: int, lexicon_share: float, ngram_share: float) -> tuple[DataFrame, Automaton]:
+def _names(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For lengths 1 to ``size``: the names of the n-grams that begin at each position of the
+    texts with their marks, and whether they end in the same text; then the texts' offsets."""
+    hashes, at = spans.word_hashes(data, offsets)
+    bounds = at + 2 * np.arange(len(at))
+    names = np.full(len(hashes) + 2 * (len(at) - 1), FIRST_NAME, np.uint64)
+    names[spans.spread_positions(bounds[:-1] + 1, np.diff(at))] = hashes
+    names[bounds[1:] - 1] = END_NAME
+    inside = np.ones(len(names), bool)
+    inside[bounds[1:] - 1] = False
+    every, whole = [names], [np.ones(len(names), bool)]
+    while len(every) < size:
+        left, right = every[-1][:-1], every[-1][1:]
+        whole.append(inside[:-1] if len(every) == 1 else whole[-1][:-1] & whole[-1][1:])
+        every.append(_joined(left, right))
+    return every, whole, bounds
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of the n-grams whose first and last words but one have these names."""
+    return spans.mix(left * np.uint64(0xD1342543DE82EF95) + spans.mix(right + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int) -> DataFrame:
+    """(gram, left, right, n): all n-grams of ``size`` words with a count of at least ``least``;
+    ``parts`` is a bitmap of the kept ones of one word less."""
+    shared = training.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = spans.flat(batch.column(0))
+            for _, _, outer, outer_at in spans.slices(data, offsets, COUNT_BYTES):
+                held: list[list[np.ndarray]] = [[], [], []]
+                for _, _, part, at in spans.slices(outer, outer_at):
+                    names, whole, _ = _names(part, at, size)
+                    fine = tables.has_bit(shared.value, names[-2])
+                    at_gram = np.flatnonzero(whole[-1] & fine[:-1] & fine[1:])
+                    for column, values in zip(held, (names[-1][at_gram], names[-2][at_gram], names[-2][at_gram + 1]), strict=True):
+                        column.append(values)
+                gram, left, right = map(np.concatenate, held)
+                _, first, n = np.unique(gram, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(n, pa.int64())], ["left", "right", "n"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(left, right).view(np.int64)), *batch.columns], ["gram", "left", "right", "n"])
+
+    counted = training.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return tables.kept(counted.mapInArrow(name, "gram long, left long, right long, n long"), "grams")
+
+
+def _weights(training: DataFrame, words: DataFrame, lexicon: Lexicon, order: int, least: int) -> DataFrame:
+    """(gram, n, weight): weights of kept n-grams; that of a single word is only log b, as log p is summed apart."""
+    marks = training.sparkSession.createDataFrame([(int(np.uint64(m).view(np.int64)), lexicon.texts) for m in (FIRST_NAME, END_NAME)], "gram long, n long")
+    seen = words.select(F.col("word").alias("gram"), "n").unionByName(marks).where(F.col("n") >= least)
+    log_p = F.log10((F.col("n") + 0.1) / F.lit(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
+    level = seen.select("gram", "n", log_p.alias("log_p"), F.lit(0.0).alias("more"))
+    parts, done = tables.bitmap(level, "gram"), []
+    for size in range(2, order + 1):
+        counted = _grams(training, size, parts, least)
+        mass = counted.groupBy(F.col("left").alias("gram")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+        back = F.log10(F.greatest(F.lit(1e-12), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("n")))
+        level = tables.kept(level.join(mass, "gram", "left").select("gram", "n", "log_p", "more", back.alias("back")), "gram-level")
+        done.append(level.select("gram", "n", (F.col("more") + F.col("back")).alias("weight")))
+        left = level.select(F.col("gram").alias("left"), F.col("n").alias("n_left"), "back")
+        right = level.select(F.col("gram").alias("right"), F.col("log_p").alias("shorter"))
+        fell = F.col("back") + F.col("shorter")
+        found = counted.join(left, "left").join(right, "right").withColumn("log_p", F.log10((F.col("n") - DISCOUNT) / F.col("n_left") + F.pow(F.lit(10.0), fell)))
+        level = found.select("gram", "n", "log_p", (F.col("log_p") - fell).alias("more"))
+        parts = tables.bitmap(counted, "gram")
+        if not parts.any():
+            break
+    weights = tables.kept(level.select("gram", "n", F.col("more").alias("weight")), "gram-weights")
+    for more in done:
+        weights = weights.unionByName(more)
+    return weights.where("weight <> 0")
+
+
+def _lexicon(training: DataFrame, lexicon_share: float) -> tuple[DataFrame, Lexicon]:
     words = tables.kept(_word_counts(training), "word-counts")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = training.count()
     tokens = totals["n"] + texts
-    frequent = words.where(F.col("n") >= max(1.0, lexicon_share * tokens)).toPandas()
-    lexicon = Lexicon(frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64), tokens, totals["v"] + (texts > 0), texts)
+    frequent = words.where(F.col("n") >= max(1.0, lexicon_share * tokens)).toArrow()
+    lexicon = Lexicon(frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), tokens, totals["v"] + (texts > 0), texts)
+    return words, lexicon
+
+
+def _fit(training: DataFrame, order: int, lexicon_share: float, ngram_share: float) -> tuple[DataFrame, Automaton]:
+    """The model as one automaton in memory, of n-grams with a share of at least ``ngram_share``
+    (0: all that are kept); :func:`score` is held against it."""
+    words, lexicon = _lexicon(training, lexicon_share)
+    texts, tokens = lexicon.texts, lexicon.tokens
     common = lexicon.counts >= max(2.0, ngram_share * tokens)
     common[RARE] = False
     common[[END, FIRST]] = texts > 0
@@ -210,47 +300,70 @@ def _fit(training: DataFrame, order: int, lexicon_share: float, ngram_share: flo
     return words, Automaton(lexicon, grams)
 
 
-def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon_share: float = LEXICON_SHARE, ngram_share: float = NGRAM_SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon_share: float = LEXICON_SHARE, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``training`` holds the texts to learn from.  A token is a word (A-Z lowered) or the
     end of the text; NULL text is empty and has only its end.  Without training texts
     every token has probability 1, as V and N are 0.  Rows with equal ids stay apart.
     """
-    words, automaton = _fit(training.select(F.col(text_column)), order, lexicon_share, ngram_share)
+    training = training.select(F.col(text_column))
+    words, lexicon = _lexicon(training, lexicon_share)
+    weights = _weights(training, words, lexicon, order, least)
+    often = F.col("n") >= max(1.0, lexicon_share * lexicon.tokens)
+    hot = weights.where(often).select("gram", "weight").toArrow()
+    known_grams, known_weights = hot["gram"].to_numpy().view(np.uint64), hot["weight"].to_numpy()
+    by_name = np.argsort(known_grams)
+    seldom = weights.where(~often).select("gram", "weight")
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(automaton)
+    shared = documents.sparkSession.sparkContext.broadcast((lexicon, known_grams[by_name], known_weights[by_name], tables.bitmap(seldom, "gram")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, row = shared.value, TaskContext.get().partitionId() << 40
-        known = machine.lexicon.counts > 0
-        rare_type = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+        (lexicon, grams, weight, maybe), row = shared.value, TaskContext.get().partitionId() << 40
+        log_one, known = lexicon.log_p(lexicon.counts), lexicon.counts > 0
+        log_one[[RARE, FIRST]], known[FIRST] = 0.0, False
         for batch in batches:
             data, offsets = spans.flat(batch.column(1))
             for first, last, part, at in spans.slices(data, offsets):
-                numbers, bounds, hashes, cuts = _numbered(part, at, machine.lexicon)
-                columns: list[list] = [[], [], [], [], [], []]
-                for k in range(last - first):
-                    own = numbers[bounds[k] + 1 : bounds[k + 1]]
-                    unknown = hashes[cuts[k] : cuts[k + 1]][own[:-1] == RARE]
-                    word, n = np.unique(unknown, return_counts=True)
-                    values = (row, len(own), int(known[own].sum()), float(machine.log_one[own].sum()), machine.score(own.tolist()), [{"word": a, "n": b} for a, b in zip(word.view(np.int64).tolist(), n.tolist(), strict=True)])
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                    row += 1
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = tables.kept(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,n:long>>"), "scored")
-    lexicon = automaton.lexicon
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
+                names, whole, bounds = _names(part, at, order)
+                texts = last - first
+                owner = np.repeat(np.arange(texts), np.diff(bounds))
+                numbers = lexicon.numbers(names[0])
+                numbers[bounds[:-1]], numbers[bounds[1:] - 1] = FIRST, END
+                base, more = np.bincount(owner, log_one[numbers], texts), np.zeros(texts)
+                of_gram, asked = [], []
+                for name, fine in zip(names, whole, strict=True):
+                    place = np.flatnonzero(fine)
+                    name = name[place]
+                    there = np.zeros(len(name), bool)
+                    if len(grams):
+                        found = np.minimum(np.searchsorted(grams, name), len(grams) - 1)
+                        there = grams[found] == name
+                        more += np.bincount(owner[place[there]], weight[found[there]], texts)
+                    there = ~there & tables.has_bit(maybe, name)
+                    of_gram.append(owner[place[there]])
+                    asked.append(name[there])
+                rare = np.flatnonzero(numbers == RARE)
+                columns = [pa.array(np.arange(row, row + texts)), pa.array(np.diff(bounds) - 1), pa.array(np.bincount(owner, known[numbers], texts).astype(np.int64)), pa.array(base), pa.array(base + more)]
+                lists = _lists(owner[rare], names[0][rare], texts), _lists(np.concatenate(of_gram), np.concatenate(asked), texts)
+                row += texts
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, texts), *columns, *lists], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare", "grams"])
+
+    scored = tables.kept(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, grams array<long>"), "scored")
     log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
-    more = rare.join(words.where(F.col("n") < max(1.0, lexicon_share * lexicon.tokens)), "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * log_p).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known")
+    more = scored.select("row", F.explode("rare").alias("word")).join(words.where(F.col("n") < max(1.0, lexicon_share * lexicon.tokens)), "word", "left").groupBy("row").agg(
+        F.sum(log_p).alias("more"), F.count("n").alias("more_known")
     )
+    joined = scored.select("row", F.explode("grams").alias("gram")).join(seldom, "gram").groupBy("row").agg(F.sum("weight").alias("weights"))
     plus = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return scored.drop("rare", "grams").join(more, "row", "left").join(joined, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + plus).alias("base_score"), (F.col("score") + plus).alias("score"),
+        (F.col("base_score") + plus).alias("base_score"), (F.col("score") + plus + F.coalesce("weights", F.lit(0.0))).alias("score"),
     )
+
+
+def _lists(owner: np.ndarray, names: np.ndarray, texts: int) -> pa.Array:
+    """The names of each text as one list."""
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=texts))])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(names[np.argsort(owner, kind="stable")].view(np.int64)))

@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from codelode.session import work_folder
 
 BITMAP_BITS = 26
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def kept(frame: DataFrame, purpose: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lost executors lose nothing."""
+    """The rows written to the shared folder and read again: lost executors lose nothing.
+
+    The shuffle files that led to them go as soon as they are written."""
     folder = work_folder(frame.sparkSession, purpose)
-    frame.write.parquet(folder)
+    conf = frame.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
@@ -28,9 +37,9 @@ def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """
     top = F.shiftrightunsigned(F.col(column), 64 - bits)
     words = keys.select(F.shiftright(top, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - bits}) & 63 AS INT))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     found = np.zeros(1 << (bits - 6), np.uint64)
-    found[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint64)
+    found[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return found
 
 

@@ -253,6 +253,38 @@ def test_language_model(documents, awkward, empty):
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("share", [1e-6, 1e-3])
+def test_language_model_keeps_every_ngram_seen_twice(spark, documents, awkward, share):
+    # 210,000 tokens, so that a share of 1e-5 would ask for three occurrences
+    filler = [(10_000 + k, " ".join(f"f{(k * 97 + j * j) % 5003}" for j in range(2100))) for k in range(100)]
+    twice = [(20_000 + k, f"a rare phrase {k % 2} was seen twice only") for k in range(4)]
+    training = documents.select("doc_id", "text").limit(100).unionByName(spark.createDataFrame(filler + twice, "doc_id long, text string"))
+    asked = training.where("doc_id < 10003 OR doc_id >= 20000").unionByName(awkward.where("doc_id <> 4 AND doc_id <> 15").select((F.col("doc_id") + 30_000).alias("doc_id"), "text"))
+    texts = [[*words(r.text), "</s>"] for r in training.collect()]
+    seen = [collections.Counter(g for t in texts for g in zip(*(["<s>", *t][k:] for k in range(n)))) for n in (1, 2, 3)]
+    tokens, distinct = sum(map(len, texts)), len({w for t in texts for w in t})
+    assert tokens > 200_000
+    mass = collections.Counter()
+    for kept in seen[1:]:
+        for g, c in kept.items():
+            if c > 1:
+                mass[g[:-1]] += c - lm.DISCOUNT
+
+    def p(w, h):
+        if not h:
+            return (seen[0][w,] + 0.1) / (tokens + 0.1 * (distinct + 1))
+        all_h = seen[len(h) - 1][h]
+        own = seen[len(h)][(*h, w)]
+        return ((own - lm.DISCOUNT) / all_h if own > 1 else 0) + (1 - mass[h] / all_h if all_h > 1 else 1) * p(w, h[1:])
+
+    want = {}
+    for r in asked.collect():
+        t = ["<s>", *words(r.text), "</s>"]
+        want[r.doc_id] = sum(math.log10(p(t[k], tuple(t[max(0, k - 2) : k]))) for k in range(1, len(t)))
+    got = {r.doc_id: r.score for r in lm.score(asked, training, lexicon_share=share).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(3000, 16)).astype(np.float32)
