@@ -42,6 +42,33 @@ EDGE = 48
 _LIFT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(64)], np.uint64)
 
 
+@dataclass
+class Rarity:
+    """A global order of word tokens: those that have not yet chained sets first, then rare ones first.
+
+    Counts are kept for 2^22 ranges of hashes; tokens that share a range only stand later.
+    """
+
+    ranks: np.ndarray
+    chained: np.ndarray
+
+    @staticmethod
+    def of(counts: DataFrame) -> Rarity:
+        """From (gram, n)."""
+        found = counts.groupBy(F.shiftrightunsigned("gram", 42).cast("int").alias("range")).agg(F.sum("n").alias("n")).toArrow()
+        ranks = np.zeros(1 << 22, np.uint8)
+        ranks[found["range"].to_numpy()] = np.minimum(31, 2 * np.log2(found["n"].to_numpy())).astype(np.uint8)
+        return Rarity(ranks, np.zeros(1 << (tables.BITMAP_BITS - 6), np.uint64))
+
+    def names(self, grams: np.ndarray) -> np.ndarray:
+        rank = self.ranks[grams >> np.uint64(42)].astype(np.uint64) | tables.has_bit(self.chained, grams).astype(np.uint64) << np.uint64(5)
+        return grams >> np.uint64(6) | rank << np.uint64(58)
+
+    def after(self, tied: DataFrame) -> Rarity:
+        """The order in which the tokens that chain sets in ``tied`` stand last."""
+        return Rarity(self.ranks, self.chained | tables.bitmap(tied.select(F.shiftleft("gram", 6).alias("gram")), "gram"))
+
+
 @dataclass
 class Sets:
     """Distinct n-grams of many units of text: sorted within a unit, with the n + 1 offsets of the units."""
@@ -62,9 +89,9 @@ class Sets:
             names[full] = spans.mix(sums + self.sizes[full].astype(np.uint64)) | np.uint64(1)
         return names.view(np.int64)
 
-    def ordered(self, common: np.ndarray) -> np.ndarray:
+    def ordered(self, common: np.ndarray | Rarity) -> np.ndarray:
         """Names of n-grams that sort in the global order, in this order: common ones last."""
-        names = (self.grams >> np.uint64(1)) | (tables.has_bit(common, self.grams).astype(np.uint64) << np.uint64(63))
+        names = common.names(self.grams) if not isinstance(common, np.ndarray) else (self.grams >> np.uint64(1)) | (tables.has_bit(common, self.grams).astype(np.uint64) << np.uint64(63))
         return names[_by_unit(np.repeat(np.arange(len(self.sizes)), self.sizes), names, len(self.sizes))]
 
     def pick(self, units: np.ndarray) -> Sets:
@@ -87,8 +114,9 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, text, number
 
 
-def ngram_sets(data: np.ndarray, offsets: np.ndarray, words: int, short: bool) -> Sets:
-    """The set of each unit.  ``short``: units with fewer words have one n-gram of all of them, else none."""
+def ngram_sets(data: np.ndarray, offsets: np.ndarray, words: int, short: bool, repeats: bool = False) -> Sets:
+    """The set of each unit.  ``short``: units with fewer words have one n-gram of all of them, else none.
+    ``repeats``: the second, third, ... occurrence of an n-gram in a unit is a member of its own."""
     hashes, at = spans.word_hashes(data, offsets)
     sizes, units = np.diff(at), len(at) - 1
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
@@ -105,11 +133,16 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, words: int, short: bool) -
     rolled, unit = rolled[order], unit[order]
     fresh = np.ones(len(rolled), bool)
     fresh[1:] = (rolled[1:] != rolled[:-1]) | (unit[1:] != unit[:-1])
+    if repeats and not fresh.all():
+        at = np.arange(len(rolled))
+        before = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        rolled = np.where(before > 0, spans.mix(rolled + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), rolled)
+        rolled, fresh = rolled[_by_unit(unit, rolled, units)], np.ones(len(rolled), bool)
     return Sets(rolled[fresh], np.concatenate([[0], np.cumsum(np.bincount(unit[fresh], minlength=units))]))
 
 
 def _units(data: np.ndarray, offsets: np.ndarray, words: int, by_line: bool) -> Sets:
-    return ngram_sets(data, line_offsets(data, offsets)[0] if by_line else offsets, words, not by_line)
+    return ngram_sets(data, line_offsets(data, offsets)[0] if by_line else offsets, words, not by_line, by_line and words == 1)
 
 
 def required(a: int, b: int, threshold: tuple[int, int]) -> int:
@@ -164,7 +197,7 @@ def _repeated(rows: DataFrame, words: int, by_line: bool) -> np.ndarray:
     return tables.bitmap(rows.mapInArrow(run, "gram long"), "gram")
 
 
-def chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray, wanted: np.ndarray | None, by_line: bool) -> DataFrame:
+def chains(rows: DataFrame, words: int, threshold: tuple[int, int], common: np.ndarray | Rarity, wanted: np.ndarray | None, by_line: bool) -> DataFrame:
     """(a, b, gram): sets that have an n-gram of their prefixes in common, as stars around one of them."""
     part, whole = threshold
     shared = rows.sparkSession.sparkContext.broadcast((common, wanted))
@@ -211,7 +244,7 @@ def candidates(rows: DataFrame, words: int, threshold: tuple[int, int], rounds:
     return found, used
 
 
-def members(rows: DataFrame, words: int, common: np.ndarray, wanted: np.ndarray, by_line: bool = False) -> DataFrame:
+def members(rows: DataFrame, words: int, common: np.ndarray | Rarity, wanted: np.ndarray, by_line: bool = False) -> DataFrame:
     """set_id and all ordered n-grams of the sets whose bit is set in ``wanted``."""
     shared = rows.sparkSession.sparkContext.broadcast((common, wanted))
 

@@ -91,7 +91,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), words=lines.TOKENS)
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 

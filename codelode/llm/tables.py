@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def kept(frame: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared folder and read again: lost executors lose nothing.
 
-    The shuffle files that led to them go as soon as they are written."""
+    The shuffle files that led to them go as soon as they are written, and what Spark sent
+    to tasks for jobs that are over with the next collection of the JVM's garbage."""
     folder = work_folder(frame.sparkSession, purpose)
     conf = frame.sparkSession.conf
     before = conf.get(CLEANUP, None)
@@ -27,6 +29,8 @@ def kept(frame: DataFrame, purpose: str) -> DataFrame:
         frame.write.parquet(folder)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 

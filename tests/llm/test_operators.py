@@ -226,6 +226,28 @@ def test_line_dedup(documents, awkward, empty, block_sets):
         assert lines.dedup_lines(awkward).count() == len(AWKWARD) and lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("block_sets", [2, 2000])
+def test_line_dedup_by_tokens(spark, documents, awkward, empty, block_sets):
+    twenty = [f"word{k}" for k in range(20)]
+    rows = sorted((r.doc_id, r.text) for r in documents.limit(60).collect())
+    rows += [(90_000, "Home\nHome | About\n\n" + " ".join(twenty)), (90_001, "home\n\nmore\n" + " ".join(["other" if w == "word9" else w for w in twenty]))]
+    rows += [(90_002, "a a a b\na a b\na b\nHome |  About"), (90_003, "x1 x2 x3 x4\nx1 x2 x3 x4 x5\nx1 x2 x3")]
+    gone, before = collections.defaultdict(list), []
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            own = collections.Counter(words(line))
+            n = own.total()
+            if any(5 * (both := (own & other).total()) >= 4 * (n + other.total() - both) and both for other in before):
+                gone[i].append(k)
+            if n:
+                before.append(own)
+    assert gone[90_001] == [0, 3] and gone[90_002] == [3] and gone[90_003] == [1]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=lines.TOKENS, block_sets=block_sets).collect()
+    assert {r.doc_id: list(r.removed) for r in found} == {i: gone[i] for i, _ in rows}
+    if block_sets > 2:
+        assert lines.dedup_lines(awkward, words=lines.TOKENS).count() == len(AWKWARD) and lines.dedup_lines(empty, words=lines.TOKENS).count() == 0
+
+
 def test_language_model(documents, awkward, empty):
     training = documents.where(classifier.fold(F.col("doc_id"), 10) != 0)
     texts = [words(r.text) + ["</s>"] for r in training.collect()]
