@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, neighbours, packing, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, merkle, neighbours, packing, pii, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -95,6 +95,61 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(
+    "op13_merkle_manifest",
+    r"""
+    WITH RECURSIVE crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+    ), hashed AS (
+        SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                                  lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295) % 2 = 0 AS cut
+        FROM documents, crc
+    ), leaves AS (
+        SELECT doc_id, source AS grp, cut, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY source) AS n,
+               coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+               || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text, replace(text, chr(10), '') AS short
+        FROM hashed
+    ), own AS (
+        SELECT doc_id, grp, place, len(list_filter(range(30), lambda k: pow(3, k) < n)) AS deep, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN cut THEN sha256(head || coalesce(strlen(short) || ':' || short, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS changed
+        FROM leaves
+    ), nodes(level, grp, place, deep, h) AS (
+        SELECT 0, grp, place, deep, leaf FROM own
+        UNION ALL
+        SELECT level + 1, grp, place // 3, any_value(deep), sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE level < deep GROUP BY level, grp, place // 3
+    ), subroots AS (
+        SELECT grp, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS place, len(list_filter(range(30), lambda k: pow(3, k) < count(*) OVER ())) AS deep FROM nodes WHERE level = deep
+    ), tops(level, place, deep, h) AS (
+        SELECT 0, place, deep, h FROM subroots
+        UNION ALL
+        SELECT level + 1, place // 3, any_value(deep), sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE level < deep GROUP BY level, place // 3
+    ), walk(level, id, grp, place, deep, h, proof) AS (
+        SELECT 0, doc_id, grp, place, deep, changed, '' FROM own
+        UNION ALL
+        SELECT w.level + 1, w.id, w.grp, w.place // 3, w.deep, sha256(string_agg(CASE WHEN n.place = w.place THEN w.h ELSE n.h END, '' ORDER BY n.place)),
+               w.proof || coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (WHERE n.place <> w.place), '')
+        FROM walk w JOIN nodes n ON n.level = w.level AND n.grp IS NOT DISTINCT FROM w.grp AND n.place // 3 = w.place // 3
+        WHERE w.level < w.deep GROUP BY w.level, w.id, w.grp, w.place, w.deep, w.h, w.proof
+    ), onward(level, id, place, deep, h, proof) AS (
+        SELECT 0, w.id, s.place, s.deep, w.h, w.proof FROM walk w JOIN subroots s ON w.grp IS NOT DISTINCT FROM s.grp WHERE w.level = w.deep
+        UNION ALL
+        SELECT w.level + 1, w.id, w.place // 3, w.deep, sha256(string_agg(CASE WHEN n.place = w.place THEN w.h ELSE n.h END, '' ORDER BY n.place)),
+               w.proof || coalesce(string_agg(n.h, '' ORDER BY n.place) FILTER (WHERE n.place <> w.place), '')
+        FROM onward w JOIN tops n ON n.level = w.level AND n.place // 3 = w.place // 3
+        WHERE w.level < w.deep GROUP BY w.level, w.id, w.place, w.deep, w.h, w.proof
+    )
+    SELECT o.doc_id, o.leaf, s.h AS subroot, t.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = t.h AS verified
+    FROM own o JOIN subroots s ON o.grp IS NOT DISTINCT FROM s.grp JOIN onward w ON w.id = o.doc_id AND w.level = w.deep JOIN tops t ON t.level = t.deep
+    """,
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    whole = merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    tampered = merkle.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.regexp_replace("text", "\\n", ""))
+    cut = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(documents.select("doc_id", F.col("source").alias("group"), whole.alias("leaf"), F.when(cut, tampered).alias("replacement")))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
