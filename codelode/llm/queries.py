@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, merkle, neighbours, packing, pii, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, merkle, neighbours, packing, pii, runs, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -95,8 +95,27 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(
-    "op13_merkle_manifest",
+def planted(documents: DataFrame) -> DataFrame:
+    """The documents whose id has a crc32 divisible by ten get a periodic end."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    listed = documents.select("doc_id", "text", F.expr("crc32(CAST(doc_id AS STRING)) DIV 10").alias("_g"), F.when(crc % 10 == 0, F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")).alias("_words"))
+    cut = listed.where("_words IS NOT NULL AND size(_words) > 0").withColumn("_a", F.expr("CAST(_g % size(_words) AS INT)")).withColumn("_p", F.expr("CAST(1 + (size(_words) - _a) DIV (3 + _g % 8) AS INT)"))
+    block = "slice(_words, _a + 1, _p)"
+    tail = f"slice(flatten(array_repeat({block}, CAST(ceil((size(_words) - _a) / _p) AS INT))), 1, size(_words) - _a)"
+    ended = cut.select("doc_id", F.expr(f"array_join(concat(slice(_words, 1, _a), {tail}), ' ')").alias("text"))
+    return listed.where("_words IS NULL OR size(_words) = 0").select("doc_id", "text").unionByName(ended)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.expr("aggregate(runs, get(runs, 0), (b, r) -> IF(r.length * b.period > b.length * r.period, r, b))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_merkle_manifest",
     r"""
     WITH RECURSIVE crc AS (
         SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
