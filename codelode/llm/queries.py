@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, merkle, neighbours, packing, pii, runs, token_counts
+from codelode.llm import classifier, encode, exact_dedup, jaccard, lines, lm, merkle, neighbours, packing, pii, runs, simhash, token_counts
 
 QUERIES = {}
 ORACLES = {}
@@ -95,6 +95,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def planted(documents: DataFrame) -> DataFrame:
     """The documents whose id has a crc32 divisible by ten get a periodic end."""
     crc = F.crc32(F.col("doc_id").cast("string"))
