@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode import catalog
-from codelode.sources import globs
+from codelode.sources import globs, listing
 
 
 def source_names(paths: list[str]) -> list[str]:
@@ -31,8 +31,8 @@ def full_path(spark: SparkSession, root: str) -> str:
 def read_gitignores(spark: SparkSession, root: str) -> list[str]:
     """Globs of every .gitignore below a root, in path order.
 
-    Spark's file sources skip hidden files, so these few configuration files are
-    read through the Hadoop file system, one glob per folder depth.
+    Only for stores that ``listing`` cannot open: the driver lists them through the
+    Hadoop file system, one glob per folder depth.
     """
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path
@@ -105,6 +105,26 @@ def stream_root(
     return _file_rows(reader, spark, root, source_name, includes, excludes)
 
 
+def list_files(
+    spark: SparkSession,
+    paths: list[str],
+    include: list[str] | None = None,
+    exclude: list[str] | None = None,
+    use_gitignore: bool = True,
+) -> DataFrame:
+    """``source_name, root, filename, modified, n_bytes`` of all matching files of all
+    roots, listed in tasks.  Hidden files are seen too."""
+    roots = {name: full_path(spark, path) for path, name in zip(paths, source_names(paths))}
+    skip = globs.gitignore_globs(exclude or [])
+    if not use_gitignore:
+        skip = [*catalog.DEFAULT_EXCLUDES, *skip]
+    tree = listing.list_tree(spark, roots, skip, use_gitignore)
+    includes, excludes = globs.choose_patterns(
+        catalog.DEFAULT_INCLUDES, catalog.DEFAULT_EXCLUDES, tree.ignored, include, exclude, use_gitignore
+    )
+    return tree.files.filter(globs.path_matches(F.col("filename"), includes, excludes))
+
+
 def scan(
     spark: SparkSession,
     paths: list[str],
@@ -112,7 +132,14 @@ def scan(
     exclude: list[str] | None = None,
     use_gitignore: bool = True,
 ) -> DataFrame:
-    """All matching files of all roots as one relation."""
+    """All matching files of all roots as one relation, with their content.
+
+    Roots in a store that only Spark's readers open are listed by Spark instead, on the
+    driver and without hidden files.
+    """
+    if all(listing.can_open(full_path(spark, p)) for p in paths):
+        found = list_files(spark, paths, include, exclude, use_gitignore)
+        return listing.with_content(found).select("filename", "content", "source_name", "modified", "n_bytes")
     ignored = [g for p in paths for g in read_gitignores(spark, p)] if use_gitignore else []
     includes, excludes = globs.choose_patterns(
         catalog.DEFAULT_INCLUDES, catalog.DEFAULT_EXCLUDES, ignored, include, exclude, use_gitignore

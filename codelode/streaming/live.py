@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codelode.plans.index_flow import IndexConfig, index_files
-from codelode.sources.files import scan
+from codelode.sources.files import full_path, list_files, scan
+from codelode.sources.listing import can_open, with_content
 from codelode.sources.store import FILE_KEY, ChunkStore, changes, snapshot
 
 
-def update(store: ChunkStore, files: DataFrame, config: IndexConfig = IndexConfig()) -> int:
+def update(
+    store: ChunkStore,
+    files: DataFrame,
+    config: IndexConfig = IndexConfig(),
+    load: Callable[[DataFrame], DataFrame] | None = None,
+) -> int:
     """Bring the store to the state of ``files``; returns the number of the last run.
 
     Only added and changed files are chunked and embedded; removed files lose
     their rows.  The list of changes is stored first, because chunk rows and
-    file states must follow the same decision.
+    file states must follow the same decision.  ``files`` may be a listing without
+    content: then ``load`` adds it to the rows of added and changed files.
     """
     spark = store.spark
     if config.rescan:
@@ -37,19 +44,22 @@ def update(store: ChunkStore, files: DataFrame, config: IndexConfig = IndexConfi
         return run - 1
     new = diff.filter(F.col("state").isin("added", "changed"))
     fresh = files.join(new, FILE_KEY, "left_semi")
-    if "modified" in files.columns:
+    if load is None and "modified" in files.columns:
         # A file scan skips the content of files older than every change.
         oldest = files.select(*FILE_KEY, "modified").join(new, FILE_KEY, "left_semi").agg(F.min("modified")).first()[0]
         if oldest is not None:
             fresh = files.filter(F.col("modified") >= F.lit(oldest)).join(new, FILE_KEY, "left_semi")
-    store.write_run(run, index_files(fresh, config), snapshot(fresh), diff.filter(F.col("state") == "removed"))
+    store.write_run(run, index_files(load(fresh) if load else fresh, config), snapshot(fresh), diff.filter(F.col("state") == "removed"))
     store.drop_work(decided)
     return run
 
 
 def update_paths(spark: SparkSession, store: ChunkStore, config: IndexConfig) -> int:
-    """One update from the configured folders."""
-    return update(store, scan(spark, config.paths, config.include, config.exclude, config.use_gitignore), config)
+    """One update from the configured folders; only new and changed files are opened."""
+    asked = config.paths, config.include, config.exclude, config.use_gitignore
+    if all(can_open(full_path(spark, p)) for p in config.paths):
+        return update(store, list_files(spark, *asked), config, with_content)
+    return update(store, scan(spark, *asked), config)
 
 
 def follow(

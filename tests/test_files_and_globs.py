@@ -75,7 +75,7 @@ def test_scan(spark, tmp_path):
     _write(two, {"main.rs": "fn main() {}\n"})
     found = files.scan(spark, [str(one), str(two)]).collect()
     assert sorted((r.source_name, r.filename) for r in found) == [
-        ("files_0", "bad.txt"), ("files_0", "keep/gen/z.py"), ("files_0", "src/a b.py"), ("files_1", "main.rs"),
+        ("files_0", ".gitignore"), ("files_0", "bad.txt"), ("files_0", "keep/gen/z.py"), ("files_0", "src/.gitignore"), ("files_0", "src/a b.py"), ("files_1", "main.rs"),
     ]
     by_name = {r.filename: r.content for r in found}
     assert by_name["src/a b.py"] == "x = 1\n"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codelode.session import work_folder
-from codelode.sources import store
+from codelode.sources import listing, store
+from codelode.sources.files import list_files
 from codelode.sources.vector_index import VectorIndex
 from codelode.streaming import live
 from workloads.registry import query
@@ -138,6 +140,61 @@ def stream_index(spark, sf_dir):
     return _shown(kept.table())
 
 
+def _write_files(folder: str):
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                store_of, path = listing.opened(f"{folder}/{name}")
+                store_of.create_dir(path.rpartition("/")[0], recursive=True)
+                with store_of.open_output_stream(path) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["written"])
+
+    return run
+
+
+_SITES_SQL = r"""
+  SELECT page_id, html, regexp_extract(url, 'https?://([^/]+)/', 1) AS host, page_id % 7 AS part,
+         CASE page_id % 5 WHEN 0 THEN 'drafts' WHEN 1 THEN 'build' ELSE 'docs' END AS folder,
+         CASE WHEN page_id % 11 = 0 THEN 'log' ELSE 'html' END AS ext
+  FROM pages WHERE url IS NOT NULL AND regexp_matches(url, 'https?://([^/]+)/')"""
+
+
+def _site_rows(spark, sf_dir):
+    """Each page as a file of its host's folder."""
+    pages = table(spark, sf_dir, "pages").filter(F.col("url").rlike("https?://([^/]+)/"))
+    kind = F.col("page_id") % 5
+    folder = F.when(kind == 0, "drafts").when(kind == 1, "build").otherwise("docs")
+    host = F.regexp_extract("url", "https?://([^/]+)/", 1)
+    name = F.format_string("%s/part%d/%s/page_%d.%s", host, F.col("page_id") % 7, folder, "page_id", F.when(F.col("page_id") % 11 == 0, "log").otherwise("html"))
+    return pages.select(host.alias("host"), name.alias("name"), F.coalesce("html", F.lit("")).alias("text"))
+
+
+@query(
+    "listed_tree",
+    rf"""WITH sites AS ({_SITES_SQL}), named AS (
+          SELECT host || '/part' || part || '/' || folder || '/page_' || page_id || '.' || ext AS filename, strlen(coalesce(html, '')) AS n_bytes,
+                 md5(coalesce(html, '')) AS hash, host, folder, part FROM sites WHERE ext = 'html')
+        SELECT filename, n_bytes, hash FROM named
+        WHERE folder <> 'build' AND NOT (folder = 'drafts' AND length(host) % 2 = 0) AND NOT (part = 3 AND length(host) % 3 = 0)""",
+)
+def listed_tree(spark, sf_dir):
+    """Pages written as a tree of files with .gitignore files in some folders, then listed and
+    read level by level: hosts of even length leave out ``drafts``, those of a length
+    divisible by three leave out ``part3``, and the top leaves out ``build``."""
+    rows = _site_rows(spark, sf_dir)
+    hosts = rows.select("host").distinct()
+    even = F.when(F.length("host") % 2 == 0, "drafts/\n").otherwise("# nothing\n")
+    third = F.when(F.length("host") % 3 == 0, "/part3/\n").otherwise("\n")
+    ignores = hosts.select(F.concat("host", F.lit("/.gitignore")).alias("name"), F.concat(even, third).alias("text"))
+    top = spark.range(1).select(F.lit(".gitignore").alias("name"), F.lit("build/\n*.log\n").alias("text"))
+    folder = work_folder(spark, "tree")
+    written = rows.select("name", "text").unionByName(ignores).unionByName(top).mapInArrow(_write_files(folder), "written long")
+    written.agg(F.sum("written")).collect()
+    found = listing.with_content(list_files(spark, [folder], include=["**/*.html"]))
+    return found.select("filename", "n_bytes", F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
 @query(
     "snapshot_versions",
     "SELECT source AS source_name, 'doc_' || doc_id || '.' || lang AS filename, substr(sha256(text), 1, 16) AS version FROM documents",
