@@ -13,6 +13,11 @@ nor hide any.  A commit may carry a token; a second one with the same token is
 refused, which makes a replayed batch of a stream a run that is already there.
 A run only appends, so its cost follows what changed.  ``compact`` makes one run
 of all current rows; readers start at the last such run.  One writer at a time.
+
+The states of files are kept in levels: once ``FAN`` of the latest segments are of like
+size they are merged into one, so readers open a number of segments that grows with the
+logarithm of the rows, and each row is merged as often.  A merged segment counts from the
+moment its marker in ``levels`` is there; until then the ones it was made of are read.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from codelode import catalog
 from codelode.functions.text import content_hash
 
 BASE = "base"
+FAN = 4
 FILE_KEY = ["source_name", "filename"]
 FILE_SCHEMA = "source_name string, filename string, version string, removed boolean, run bigint"
 STALE_SCHEMA = "source_name string, filename string, stale_run bigint, run bigint"
@@ -60,8 +66,10 @@ def snapshot(files: DataFrame) -> DataFrame:
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """What happened to each file between two snapshots:
-    ``added``, ``changed``, ``removed`` or ``unchanged``."""
-    old = before.select(*FILE_KEY, F.col("version").alias("_old"))
+    ``added``, ``changed``, ``removed`` or ``unchanged``.  Where the earlier one is
+    a manifest, ``stale_run`` tells which run holds the file's rows."""
+    held = [F.col("run").alias("stale_run")] if "run" in before.columns else []
+    old = before.select(*FILE_KEY, F.col("version").alias("_old"), *held)
     new = after.select(*FILE_KEY, F.col("version").alias("_new"))
     state = (
         F.when(F.col("_old").isNull(), "added")
@@ -69,7 +77,24 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("_old") != F.col("_new"), "changed")
         .otherwise("unchanged")
     )
-    return old.join(new, FILE_KEY, "full_outer").select(*FILE_KEY, state.alias("state"))
+    return old.join(new, FILE_KEY, "full_outer").select(*FILE_KEY, state.alias("state"), *(["stale_run"] if held else []))
+
+
+def to_merge(rows: list[int]) -> int:
+    """How many of the latest segments, given their rows, are to become one; 0 if none.
+
+    Size classes are powers of ``FAN``.  Older segments of a lower class than the latest
+    join it, so classes fall from old to new; ``FAN`` of one class become one of a higher."""
+    classes = [0] * len(rows)
+    for k, n in enumerate(rows):
+        while n >= FAN:
+            n, classes[k] = n // FAN, classes[k] + 1
+    older = list(reversed(classes[:-1]))
+    lower = next((k for k, c in enumerate(older) if c >= classes[-1]), len(older)) if rows else 0
+    if lower:
+        return lower + 1
+    equal = next((k for k, c in enumerate(reversed(classes)) if c != classes[-1]), len(classes))
+    return equal if equal >= FAN else 0
 
 
 class ChunkStore:
@@ -113,20 +138,63 @@ class ChunkStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/{attempt}" for attempt in attempts))
 
-    def manifest(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
-        """The latest state of every file ever seen, or of the files in ``only``,
-        optionally as it was before a run."""
+    def segments(self, before: int | None = None) -> list[tuple[int, int, int | None, str]]:
+        """(first run, last run, rows if known, folder) of the file states, oldest first,
+        optionally of the runs before one: the widest merged segments, else single runs."""
+        runs = {run: attempt for run, attempt, _ in self.commits() if before is None or run < before}
+        files, path = self._place("levels")
+        wide: dict[int, list[tuple[int, int, str]]] = {}
+        for status in files.listStatus(path) if files.exists(path) else []:
+            first, last, rows, place = status.getPath().getName().split(".", 3)
+            wide.setdefault(int(first), []).append((int(last), int(rows), place.replace("_", "/")))
+        found, after = [], -1
+        for run in sorted(runs):
+            if run <= after:
+                continue
+            after, rows, place = max((w for w in wide.get(run, []) if w[0] in runs), default=(run, None, f"files/{runs[run]}"))
+            found.append((run, after, rows, f"{self.folder}/{place}"))
+        return found
+
+    def _mark(self, first: int, last: int, rows: int, place: str) -> None:
+        files, path = self._place(f"levels/{first}.{last}.{rows}.{place.replace('/', '_')}")
+        files.create(path, True).close()
+
+    def merge_levels(self) -> None:
+        """Merge the latest segments of like size; called after each run."""
+        while True:
+            found = self.segments()
+            for k, (first, last, rows, place) in enumerate(found):
+                if rows is None:
+                    rows = self._states([place]).count()
+                    self._mark(first, last, rows, place.removeprefix(f"{self.folder}/"))
+                    found[k] = (first, last, rows, place)
+            count = to_merge([rows for _, _, rows, _ in found])
+            if not count:
+                return
+            chosen = found[-count:]
+            merged = self._latest(self._states([place for *_, place in chosen]))
+            if count == len(found):
+                merged = merged.filter("NOT removed")  # nothing older is left to hide
+            place = f"merged/{uuid.uuid4().hex}"
+            merged.hint("rebalance").sortWithinPartitions(*FILE_KEY).write.parquet(f"{self.folder}/{place}")
+            rows = self._states([f"{self.folder}/{place}"]).count()
+            self._mark(chosen[0][0], chosen[-1][1], rows, place)
+
+    def _states(self, places: list[str]) -> DataFrame:
+        return self.spark.read.schema(FILE_SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], FILE_SCHEMA)
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
         latest = F.max_by(F.struct("version", "removed"), "run")
-        rows = self._read("files", FILE_SCHEMA)
-        if before is not None:
-            rows = rows.filter(F.col("run") < before)
+        found = rows.groupBy(*FILE_KEY).agg(latest.alias("_s"), F.max("run").alias("run"))
+        return found.select(*FILE_KEY, "_s.version", "_s.removed", "run")
+
+    def manifest(self, only: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """The latest state of every file, or of the files in ``only``, optionally as it
+        was before a run.  Removed files are listed until nothing older needs to be hidden."""
+        rows = self._states([place for *_, place in self.segments(before)])
         if only is not None:
             rows = rows.join(only.select(*FILE_KEY), FILE_KEY, "left_semi")
-        return (
-            rows.groupBy(*FILE_KEY)
-            .agg(latest.alias("_s"), F.max("run").alias("run"))
-            .select(*FILE_KEY, "_s.version", "_s.removed", "run")
-        )
+        return self._latest(rows)
 
     def table(self) -> DataFrame:
         """The current chunk rows."""
@@ -140,8 +208,13 @@ class ChunkStore:
         files, path = self._place(f"commits/{run}.{attempt}.{token}")
         files.create(path, False).close()
 
-    def write_run(self, run: int, chunks: DataFrame, files: DataFrame, removed: DataFrame | None = None, token: str = "") -> None:
-        """Store one run: rows, what they replace, the file states, and last the commit."""
+    def write_run(
+        self, run: int, chunks: DataFrame, files: DataFrame, removed: DataFrame | None = None, token: str = "", replaced: DataFrame | None = None
+    ) -> None:
+        """Store one run: rows, what they replace, the file states, and last the commit.
+
+        ``replaced`` (file key and ``stale_run``) spares a look at the earlier states
+        where the caller knows which runs hold the files' present rows."""
         if run in self.runs():
             raise ValueError(f"run {run} is already there")
         attempt = uuid.uuid4().hex
@@ -151,8 +224,9 @@ class ChunkStore:
                 *FILE_KEY, F.lit(None).cast("string").alias("version"), F.lit(True).alias("removed")
             )
             states = states.unionByName(gone)
-        earlier = self.manifest(states, run).filter(~F.col("removed"))
-        replaced = earlier.select(*FILE_KEY, F.col("run").alias("stale_run"))
+        if replaced is None:
+            earlier = self.manifest(states, run).filter(~F.col("removed"))
+            replaced = earlier.select(*FILE_KEY, F.col("run").alias("stale_run"))
         number = F.lit(run).cast("bigint")
         # Spark splits large and joins small partitions here: few files, rows of a language together.
         rows = chunks.withColumn("run", number).hint("rebalance", "language", "embedding_model")
@@ -160,10 +234,11 @@ class ChunkStore:
         for name, part in (("chunks", rows), ("stale", replaced.withColumn("run", number)), ("files", states.withColumn("run", number))):
             part.write.parquet(f"{self.folder}/{name}/{attempt}")
         self._commit(run, attempt, token)
+        self.merge_levels()
 
     def clear(self) -> None:
         """Forget everything: the commits first, then the rows."""
-        for name in ("commits", "files", "stale", "chunks"):
+        for name in ("levels", "commits", "merged", "files", "stale", "chunks"):
             files, path = self._place(name)
             files.delete(path, True)
 

@@ -49,7 +49,7 @@ def update(
         oldest = files.select(*FILE_KEY, "modified").join(new, FILE_KEY, "left_semi").agg(F.min("modified")).first()[0]
         if oldest is not None:
             fresh = files.filter(F.col("modified") >= F.lit(oldest)).join(new, FILE_KEY, "left_semi")
-    store.write_run(run, index_files(load(fresh) if load else fresh, config), snapshot(fresh), diff.filter(F.col("state") == "removed"))
+    store.write_run(run, index_files(load(fresh) if load else fresh, config), snapshot(fresh), diff.filter(F.col("state") == "removed"), replaced=diff.filter("stale_run IS NOT NULL").select(*FILE_KEY, "stale_run"))
     store.drop_work(decided)
     return run
 

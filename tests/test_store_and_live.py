@@ -1,4 +1,6 @@
+import math
 import os
+import random
 import time
 
 import pytest
@@ -212,3 +214,50 @@ def test_stream_of_real_files(spark, tmp_path):
     run()
     assert [(r[1], r[3]) for r in rows_of(kept)] == [("a.py", "x = 1"), ("c.rs", "fn main() {}")]
     assert len(kept.runs()) == 2
+
+
+def test_merging_levels_is_logarithmic():
+    rng = random.Random(1)
+    for shape in (lambda k: 1, lambda k: rng.randrange(50), lambda k: 1_000_000 if k == 0 else 3, lambda k: 0, lambda k: k):
+        held, merged, total = [], 0, 0
+        for k in range(1000):
+            rows = shape(k)
+            held.append(rows)
+            total += rows
+            while count := storage.to_merge(held):
+                merged += sum(held[-count:])
+                held[-count:] = [sum(held[-count:])]
+            assert len(held) <= 3 * (1 + math.log(max(4, total), 4))
+        assert merged <= total * (2 + math.log(max(4, total), 4))
+
+
+def _state(spark, names, version):
+    return spark.createDataFrame([("s", n, version) for n in names], "source_name string, filename string, version string")
+
+
+def test_levels_of_states(spark, tmp_path):
+    kept, want = storage.ChunkStore(spark, str(tmp_path / "store")), {}
+    none = spark.createDataFrame([], storage.CHUNK_SCHEMA).drop("run")
+    for k in range(18):
+        names, gone = [f"f{k % 7}", f"g{k}"], [f"g{k - 3}"] if k % 4 == 3 else []
+        kept.write_run(k, none, _state(spark, names, str(k)), _state(spark, gone, ""))
+        want = {n: v for n, v in want.items() if n not in gone} | {n: (str(k), k) for n in names}
+        if k == 10:
+            middle = dict(want)
+    now = lambda rows: {r.filename: (r.version, r.run) for r in rows.filter("NOT removed").collect()}
+    assert now(kept.manifest()) == want
+    assert now(kept.manifest(before=11)) == middle
+    assert now(kept.manifest(_state(spark, ["f1", "none"], ""))) == {"f1": want["f1"]}
+    places = kept.segments()
+    assert len(places) <= 6 and places[0][0] == 0 and places[-1][1] == 17 and any("/merged/" in p for *_, p in places)
+    assert [a[1] + 1 for a in places[:-1]] == [b[0] for b in places[1:]]
+    # an attempt to merge that did not get to its marker is not seen, and made up for by the next
+    for marker in (tmp_path / "store" / "levels").iterdir():
+        marker.unlink()
+    assert len(kept.segments()) == 18 and now(kept.manifest()) == want
+    kept.merge_levels()
+    assert len(kept.segments()) < 6 and now(kept.manifest()) == want
+    kept.compact()
+    assert len(kept.segments()) == 1 and now(kept.manifest()).keys() == want.keys()
+    kept.clear()
+    assert kept.segments() == [] and kept.manifest().count() == 0

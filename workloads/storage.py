@@ -195,6 +195,26 @@ def listed_tree(spark, sf_dir):
     return found.select("filename", "n_bytes", F.md5(F.col("content").cast("binary")).alias("hash"))
 
 
+@query(
+    "tracking_state",
+    """SELECT source AS source_name, 'doc_' || doc_id || '.' || lang AS filename, CAST(max(k) AS VARCHAR) AS version, max(k) AS run
+       FROM documents, range(10) r(k) WHERE doc_id % 10 = k OR (doc_id % 3 = 0 AND (doc_id + 1) % 10 = k)
+       GROUP BY doc_id, source, lang HAVING NOT (max(k) = 8 AND doc_id % 2 = 0)""",
+)
+def tracking_state(spark, sf_dir):
+    """Ten runs of file states, each with a tenth of the documents and some of the run
+    before; run 8 removes every second of its files.  Read back from merged levels."""
+    documents = document_files(spark, sf_dir)
+    kept = store.ChunkStore(spark, work_folder(spark, "states"))
+    none = spark.createDataFrame([], store.CHUNK_SCHEMA).drop("run")
+    for k in range(10):
+        mine = documents.filter((F.col("doc_id") % 10 == k) | ((F.col("doc_id") % 3 == 0) & ((F.col("doc_id") + 1) % 10 == k)))
+        gone = mine.filter((F.lit(k) == 8) & (F.col("doc_id") % 2 == 0))
+        states = mine.join(gone.select(*store.FILE_KEY), store.FILE_KEY, "left_anti")
+        kept.write_run(k, none, states.withColumn("version", F.lit(str(k))), gone)
+    return kept.manifest().filter("NOT removed").drop("removed")
+
+
 @query(
     "snapshot_versions",
     "SELECT source AS source_name, 'doc_' || doc_id || '.' || lang AS filename, substr(sha256(text), 1, 16) AS version FROM documents",
