@@ -6,16 +6,14 @@ which Spark runs as one pass with a bounded top-k per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions.vectors import cosine_distance
+from codelode.operators import block_search
 from codelode.operators.keyword import keyword_filter
 from codelode.sources import globs
 
@@ -81,58 +79,14 @@ def vector_search(
 
 def multi_query_search(
     df: DataFrame,
-    queries: dict[int, list[float]],
+    requests: DataFrame,
     top_k: int = catalog.DEFAULT_TOP_K,
     embedding_model: str | None = None,
 ) -> DataFrame:
-    """The nearest rows of many query vectors in one pass over the table.
-
-    Each batch of rows is multiplied with all queries at once.  A task keeps k rows
-    per query, so what is merged grows with tasks and queries, not with the table.
-    Result: query_id, rank, the key columns, score.
-    """
-    ids = sorted(queries)
-    matrix = np.array([queries[i] for i in ids], np.float64)
-    lengths = np.sqrt((matrix**2).sum(axis=1))
-    if not len(ids) or not lengths.all():
-        raise ValueError("queries need a direction each")
-    matrix /= lengths[:, None]
+    """The nearest rows of many requests (query_id, embedding), both sides in blocks."""
     keys = [n for n in _TIES if n in df.columns]
-    rows = _of_model(df, embedding_model).filter(F.col("embedding").isNotNull()).select(*keys, "embedding")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-        for batch in batches:
-            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = matrix @ (vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]).T
-            scores[~np.isfinite(scores)] = -np.inf
-            # All rows at least as near as the k-th: ties are broken over the whole table later.
-            least = np.partition(scores, -min(top_k, scores.shape[1]), axis=1)[:, -min(top_k, scores.shape[1])] if batch.num_rows else None
-            if least is None:
-                continue
-            query, row = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-            columns = {k: batch.column(k).take(pa.array(row)) for k in keys}
-            own = pa.table({"query_id": pa.array(np.array(ids)[query], pa.int64()), **columns, "score": pa.array(scores[query, row])})
-            kept = own if kept is None else pa.concat_tables([kept, own])
-            if kept.num_rows > 4 * top_k * len(ids):
-                kept = _k_of_each(kept, top_k, keys)
-        if kept is not None:
-            yield from _k_of_each(kept, top_k, keys).to_batches()
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    found = rows.mapInArrow(best, f"query_id long, {kinds}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *_ties(found))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    return ranked.select("query_id", "rank", *keys, "score")
-
-
-def _k_of_each(rows: pa.Table, k: int, keys: list[str]) -> pa.Table:
-    order = [("query_id", "ascending"), ("score", "descending"), *((n, "ascending") for n in keys)]
-    rows = rows.sort_by(order)
-    query = rows["query_id"].to_numpy()
-    first = np.searchsorted(query, query, "left")
-    return rows.filter(pa.array(np.arange(len(query)) - first < k))
+    rows = _of_model(df, embedding_model).select(*keys, "embedding")
+    return block_search.multi_query_search(rows, requests, top_k, keys, _ties(df))
 
 
 def legacy_vector_search(df: DataFrame, query_vector: list[float], top_k: int = catalog.LEGACY_TOP_K) -> DataFrame:

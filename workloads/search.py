@@ -291,11 +291,10 @@ def results_complete(spark, sf_dir):
     f"""SELECT query_id, CAST(rank AS INT) AS rank, filename, round(score, 6) AS score FROM (
           SELECT q.vec_id AS query_id, c.filename, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
                  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, c.filename) AS rank
-          FROM ({CHUNKS_SQL}) c, (SELECT * FROM embeddings WHERE vec_id < 100) q WHERE c.embedding IS NOT NULL) WHERE rank <= 10""",
+          FROM ({CHUNKS_SQL}) c, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE c.embedding IS NOT NULL) WHERE rank <= 10""",
 )
 def multi_query_topk(spark, sf_dir):
-    """A hundred request vectors answered in one pass over the table."""
-    asked = table(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", "embedding").collect()
-    queries = {r.vec_id: [float(x) for x in r.embedding] for r in asked}
-    found = search.multi_query_search(chunk_rows(spark, sf_dir), queries, 10)
+    """Every vector whose id is divisible by 100 is a request against all rows."""
+    requests = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search.multi_query_search(chunk_rows(spark, sf_dir), requests, 10)
     return found.select("query_id", "rank", "filename", F.round("score", 6).alias("score"))
