@@ -24,12 +24,12 @@ NODE_KINDS = {
 }
 _TEXTS = pa.list_(pa.string())
 _ARROW = pa.list_(pa.struct([
-    ("kind", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()),
+    ("kind", pa.string()), ("place", pa.int32()), ("size", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()),
     ("returns", pa.string()), ("doc", pa.string()), ("decorators", _TEXTS), ("bases", _TEXTS),
     ("parameters", pa.list_(pa.struct([("name", pa.string()), ("type_annotation", pa.string()), ("default", pa.string())]))),
 ]))
 _SQL = (
-    "array<struct<kind:string,name:string,owner:string,line:int,end_line:int,returns:string,doc:string,"
+    "array<struct<kind:string,place:int,size:int,depth:int,name:string,owner:string,line:int,end_line:int,returns:string,doc:string,"
     "decorators:array<string>,bases:array<string>,parameters:array<struct<name:string,type_annotation:string,default:string>>>>"
 )
 
@@ -50,16 +50,29 @@ def _declaration(node: ast.AST) -> dict:
     return told | {"returns": _text(node.returns)}
 
 
+def _sizes(found: list[dict]) -> None:
+    """Place and number of nodes below each, from the depths in the order of the text."""
+    open_nodes: list[dict] = []
+    for place, node in enumerate(found):
+        while open_nodes and open_nodes[-1]["depth"] >= node["depth"]:
+            last = open_nodes.pop()
+            last["size"] = place - last["place"] - 1
+        node["place"] = place
+        open_nodes.append(node)
+    for node in open_nodes:
+        node["size"] = len(found) - node["place"] - 1
+
+
 def _nodes(code: str | None) -> list[dict] | None:
     if code is None:
         return None
     try:
         tree = ast.parse(code)
-        found = [{"kind": "module", "doc": ast.get_docstring(tree)}]
-        todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
+        found = [{"kind": "module", "doc": ast.get_docstring(tree), "depth": 0}]
+        todo: list[tuple[ast.AST, str | None, int]] = [(tree, None, 0)]
         while todo:  # in the order of the text, without recursion
-            node, owner = todo.pop()
-            kind = NODE_KINDS.get(type(node).__name__)
+            node, owner, depth = todo.pop()
+            kind, before = NODE_KINDS.get(type(node).__name__), len(found)
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 found.append({"kind": kind, "owner": owner} | _declaration(node))
             elif kind:
@@ -70,8 +83,11 @@ def _nodes(code: str | None) -> list[dict] | None:
                 found.append({"kind": "import", "name": node.module})
             elif isinstance(node, ast.Assign) and owner is None:
                 found += [{"kind": "variable", "name": t.id} for t in node.targets if isinstance(t, ast.Name)]
+            for one in found[before:]:
+                one["depth"] = depth + 1
             inside = node.name if isinstance(node, ast.ClassDef) else owner
-            todo += [(child, inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+            todo += [(child, inside, depth + bool(kind)) for child in reversed(list(ast.iter_child_nodes(node)))]
+        _sizes(found)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     return found
@@ -93,8 +109,10 @@ _PRIVATE = "startswith(n.name, '_')"
 _DUNDER = "(startswith(n.name, '__') AND endswith(n.name, '__'))"
 
 
-def findings_sql(nodes: str) -> str:
-    """SQL of a struct with all that is told about a text, from its column of nodes."""
+def findings_sql(nodes: str) -> dict[str, str]:
+    """SQL of each thing that is told about a text, from its column of nodes; NULL without nodes.
+
+    They are columns of their own, so Spark leaves out those that nobody asks for."""
 
     def those(condition: str) -> str:
         return f"filter({nodes}, n -> {condition})"
@@ -102,18 +120,19 @@ def findings_sql(nodes: str) -> str:
     def names(condition: str) -> str:
         return f"transform({those(condition)}, n -> n.name)"
 
-    kinds = f"transform({those('n.kind NOT IN (' + repr('module') + ', ' + repr('import') + ', ' + repr('variable') + ')')}, n -> n.kind)"
     functions = (
         f"transform({those(f'{_FUNCTION} AND n.owner IS NULL')}, n -> named_struct('name', n.name,"
         " 'type', IF(n.kind = 'async_function_definition', 'async_function', 'function'), 'class', n.owner,"
         " 'line', n.line, 'end_line', n.end_line, 'parameters', n.parameters, 'return_type', n.returns,"
         f" 'decorators', n.decorators, 'docstring', n.doc, 'is_private', {_PRIVATE}, 'is_dunder', {_DUNDER}))"
     )
-    methods = f"transform(filter({nodes}, m -> m.kind IN ('function_definition', 'async_function_definition') AND m.owner = n.name), m -> m.name)"
+    # nodes stand in the order of the text, a class before the n.size nodes in it
+    methods = f"transform(filter(slice({nodes}, n.place + 2, n.size), m -> m.kind IN ('function_definition', 'async_function_definition') AND m.owner = n.name), m -> m.name)"
     classes = (
         f"transform({those(_CLASS)}, n -> named_struct('name', n.name, 'line', n.line, 'end_line', n.end_line, 'bases', n.bases,"
         f" 'decorators', n.decorators, 'docstring', n.doc, 'is_private', {_PRIVATE}, 'methods', {methods}))"
     )
+    counts = ", ".join(f"'{k}', size(filter({nodes}, n -> n.kind = '{k}'))" for k in dict.fromkeys(NODE_KINDS.values()))
     hinted = "n.returns IS NOT NULL OR exists(n.parameters, p -> p.type_annotation IS NOT NULL)"
     fields = {
         "functions": names(f"{_FUNCTION} AND n.owner IS NULL"),
@@ -131,7 +150,6 @@ def findings_sql(nodes: str) -> str:
         "class_details": f"to_json({classes}, map('ignoreNullFields', 'false'))",
         "function_count": f"size({those(_FUNCTION)})",
         "decorated_count": f"size({those(f'{_FUNCTION} AND size(n.decorators) > 0')})",
-        "node_counts": f"map_from_arrays(array_distinct({kinds}), transform(array_distinct({kinds}), k -> size(filter({kinds}, o -> o = k))))",
+        "node_counts": f"map_filter(map({counts}), (kind, n) -> n > 0)",
     }
-    inside = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
-    return f"CASE WHEN {nodes} IS NOT NULL THEN named_struct({inside}) END"
+    return {name: f"CASE WHEN {nodes} IS NOT NULL THEN {sql} END" for name, sql in fields.items()}

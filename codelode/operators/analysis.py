@@ -56,35 +56,36 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
         return with_json(df.withColumns(columns(parts)), node_counts)
 
     python, known = f"{lang} = 'Python'", one_of(lang, METHODS)
-    parsed, broken = f"{python} AND _py IS NOT NULL", f"{python} AND _py IS NULL"
+    parsed, broken = f"{python} AND _nodes IS NOT NULL", f"{python} AND _nodes IS NULL"
     fallback = text.python_fallback_sql(source)
     listed = df.withColumn("_nodes", python_nodes(F.expr(f"CASE WHEN {python} THEN {source} END")))
-    staged = listed.withColumn("_py", F.expr(findings_sql("_nodes"))).drop("_nodes")
+    told = findings_sql("_nodes")
+    staged = listed.withColumns(columns({f"_py_{n}": sql for n, sql in told.items()}))
     staged = staged.withColumn("_bare", F.expr(case([(known, symbols.without_comments(source, lang))], "NULL")))
     staged = staged.withColumn("_strict", F.expr(case([(known, symbols.without_literals(source, lang))], "NULL")))
     found = symbols.declared_names("_bare", lang)
     staged = staged.withColumns(columns({f"_{n}": sql for n, sql in found.items()}))
 
     def choose(field: str, from_python: bool = False) -> str:
-        branches = [(parsed, f"_py.{field}" if from_python else EMPTY_LIST)]
+        branches = [(parsed, f"_py_{field}" if from_python else EMPTY_LIST)]
         branches.append((broken, fallback[field] if field in fallback else EMPTY_LIST))
         return case(branches, f"_{field}" if field in found else EMPTY_LIST)
 
     in_python = {"functions", "classes", "imports", "variables", "private_methods", "dunder_methods", "decorators"}
     lists = {n: choose(n, n in in_python) for n in [*_EMPTY_LISTS, *JSON_ONLY]}
     lists["decorators_used"] = case(
-        [(parsed, "_py.decorators"), (f"{lang} = 'Java'", "_annotations"), (one_of(lang, ["TypeScript", "TSX"]), "_decorators")],
+        [(parsed, "_py_decorators"), (f"{lang} = 'Java'", "_annotations"), (one_of(lang, ["TypeScript", "TSX"]), "_decorators")],
         EMPTY_LIST,
     )
     lists["_errors"] = case([(broken, "1L"), (known, symbols.bracket_errors("_strict"))], "0L")
     lists["nodes_with_errors"] = EMPTY_LIST
     counts = case(
-        [(parsed, "cast(_py.node_counts AS map<string,bigint>)")],
+        [(parsed, "cast(_py_node_counts AS map<string,bigint>)")],
         symbols.node_counts("_bare", lang, {n: f"_{n}" for n in found}),
     )
     staged = staged.withColumns(columns(lists | {"node_counts": counts}))
     counted = (
-        "cast(_py.function_count * 2 + size(_py.classes) * 3 + _py.decorated_count"
+        "cast(_py_function_count * 2 + size(_py_classes) * 3 + _py_decorated_count"
         f" + {text.count_sql(source, text.PYTHON_BRANCH_WORDS)} AS bigint)"
     )
     weighted = weighted_complexity("node_counts")
@@ -98,9 +99,9 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
             "0L",
         ),
         "has_type_hints": case(
-            [(parsed, "_py.has_type_hints"), (broken, fallback["has_type_hints"])], one_of(lang, TYPED_LANGUAGES)
+            [(parsed, "_py_has_type_hints"), (broken, fallback["has_type_hints"])], one_of(lang, TYPED_LANGUAGES)
         ),
-        "has_async": case([(parsed, "_py.has_async"), (broken, fallback["has_async"]), *has_async], "false"),
+        "has_async": case([(parsed, "_py_has_async"), (broken, fallback["has_async"]), *has_async], "false"),
         "has_classes": case(
             [
                 (f"{lang} = 'Java'", "size(classes) > 0 OR size(interfaces) > 0"),
@@ -112,9 +113,9 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
         "parse_errors": "_errors",
         "nodes_with_errors": case([("_errors > 0", "array(cast(_errors AS string))")], EMPTY_LIST),
         "tree_sitter_analyze_error": "_errors > 0",
-        "docstring": "coalesce(_py.docstring, '')",
-        "function_details": "coalesce(_py.function_details, '[]')",
-        "class_details": "coalesce(_py.class_details, '[]')",
+        "docstring": "coalesce(_py_docstring, '')",
+        "function_details": "coalesce(_py_function_details, '[]')",
+        "class_details": "coalesce(_py_class_details, '[]')",
         "analysis_method": case(
             [(parsed, literal(PYTHON_METHOD)), (broken, literal(PYTHON_REGEX))],
             f"coalesce(try_element_at({constant_map(METHODS)}, {lang}), {literal(DEFAULT_METHOD)})",
@@ -123,7 +124,7 @@ def analyze(df: DataFrame, code: str = "code", language: str = "language", basic
     staged = staged.withColumns({"_h": F.when(F.col(language) == "Haskell", F.col("_bare"))})
     staged = staged.withColumn("_d", text.haskell_details("_h")["data_type_details"])
     staged = staged.withColumn("data_type_details", F.expr(case([("size(_d) > 0", "to_json(_d)")], "'[]'"))).drop("_h", "_d")
-    return with_json(staged.drop("_py", "_bare", "_strict", "_errors", *[f"_{n}" for n in found]), node_counts)
+    return with_json(staged.drop("_nodes", *[f"_py_{n}" for n in told], "_bare", "_strict", "_errors", *[f"_{n}" for n in found]), node_counts)
 
 
 def with_json(df: DataFrame, node_counts: bool = False) -> DataFrame:

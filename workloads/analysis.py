@@ -150,7 +150,8 @@ _NODES = [
 def node_histogram(spark, sf_dir):
     """Syntax node kinds per language, summed over all files."""
     rows = analyze(source_files(spark, sf_dir), "content", node_counts=True)
-    nodes = rows.select("language", F.explode("node_counts").alias("kind", "c"))
+    # the outer form: for the other one Spark adds a filter that computes the map a second time
+    nodes = rows.select("language", F.explode_outer("node_counts").alias("kind", "c")).filter("kind IS NOT NULL")
     return nodes.groupBy("language", "kind").agg(F.sum("c").alias("n"))
 
 

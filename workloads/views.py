@@ -144,6 +144,9 @@ def _fill(text: Column, i: Column | None = None) -> Column:
     return text
 
 
+PARTS_PER_TASK = 256
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``filename, content, source_name, language, p_partkey, p_size`` per part."""
     number = F.pmod(F.col("p_partkey"), F.lit(len(LANGUAGES)))
@@ -158,8 +161,11 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One fill for head and tail, one per function for the body.
     body = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: _fill(F.col("_body"), i))
     damage = F.when((language == "Python") & (F.col("p_size") >= DAMAGED_FROM), DAMAGE).otherwise("")
+    # The narrow rows are dealt out before the texts are made: one row group is read by one task.
+    parts = table(spark, sf_dir, "part")
+    parts = parts.repartition(max(1, -(-parts.count() // PARTS_PER_TASK)), "p_partkey")
     return (
-        table(spark, sf_dir, "part")
+        parts
         .withColumns({"language": language, "_body": pick(2)})
         .select(
             F.concat(
