@@ -138,7 +138,7 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_co
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in spans.row_slices(whole, "text")):
             data, offsets = spans.flat(batch.column(1))
             scores = np.array([shared.value.score(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
@@ -151,7 +151,7 @@ def keep(documents: DataFrame, model: Model, text_column: str = "text") -> DataF
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in spans.row_slices(whole, text_column)):
             data, offsets = spans.flat(batch.column(batch.schema.names.index(text_column)))
             kept = [shared.value.score(data[a:b].tobytes()) >= 0.5 for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))

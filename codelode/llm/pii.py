@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm import spans
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE_KINDS = KINDS[:4]
 CUES = ("iban", "account", "acct", "a/c", "passport", "ssn", "social security", "routing", "member id", "customer id", "tax id")
@@ -31,6 +33,7 @@ _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | {"-"}
 _PHONE = _DIGIT | frozenset(" ().-")
 _SCHEME = _ALNUM | frozenset("+.-")
+_TRAILING = frozenset(".,;:!?)]")
 _URL_END = frozenset(" \t\n\r\x0b\x0c<>\"'`{}|\\^")
 
 
@@ -139,19 +142,31 @@ def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def _url(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
+    """What can fail is tested before the address is read to its end: the part tested
+    stops at the next anchor, and a match moves on past all it has read."""
+    if kind == "person":
+        if start and text[start - 1] in _ALNUM:
+            return None
+    else:
+        scheme = start
+        while start and text[start - 1] in _SCHEME:
+            start -= 1
+        host = end
+        while host < len(text) and text[host] != "/" and text[host] not in _URL_END:
+            host += 1
+        more = host < len(text) and text[host] == "/"
+        while not more and host > end and text[host - 1] in _TRAILING:
+            host -= 1
+        if start == scheme or "@" not in text[end:host].strip("@"):
+            return None
     stop = end
     while stop < len(text) and text[stop] not in _URL_END:
         stop += 1
-    while stop > end and text[stop - 1] in ".,;:!?)]":
+    while stop > end and text[stop - 1] in _TRAILING:
         stop -= 1
-    if kind == "person":
-        if (start and text[start - 1] in _ALNUM) or not any(c in _ALNUM for c in text[end:stop]):
-            return None
-        return start, stop
-    host = text[end:stop].split("/", 1)[0]
-    while start and text[start - 1] in _SCHEME:
-        start -= 1
-    return (start, stop) if "@" in host.strip("@") and start < end - 3 else None
+    if kind == "person" and not any(c in _ALNUM for c in text[end:stop]):
+        return None
+    return start, stop
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -188,10 +203,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
 
-def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
+def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     """Each span becomes its kind in angle brackets; spans that overlap become one."""
     parts, place = [], 0
-    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+    for kind, start, end in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
         if start >= place:
             parts += [text[place:start], f"<{kind}>"]
         place = max(place, end)
@@ -206,7 +221,7 @@ def find_pii(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in spans.row_slices(whole, "text")):
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t.as_py() or "")] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
@@ -216,7 +231,7 @@ def find_pii(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def summary(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and the spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    shown = lambda those: F.concat_ws(",", F.transform(those, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
@@ -229,7 +244,7 @@ def redacted(documents: DataFrame, text_column: str = "text", length_column: str
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in spans.row_slices(whole, text_column)):
             texts = [None if (t := v.as_py()) is None else redact(t, s) if (s := find(t)) else t for v in batch.column(names.index(text_column))]
             columns = list(batch.columns)
             columns[names.index(text_column)] = pa.array(texts, pa.string())

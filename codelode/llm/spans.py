@@ -46,6 +46,17 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         first = last
 
 
+def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``limit`` bytes of text, at least one row each; rows are not copied."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

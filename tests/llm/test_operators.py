@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -353,6 +355,50 @@ def test_pii(awkward, empty):
     assert ("account", 5, 32) in pii.find("IBAN DE89 3704 0044 0532 0130 00") and not pii.find("an account of 1999, see https://a.org/b")
 
 
+ANCHORS = ["http://", "a://@/", "://", "://@", "xmailto:", "mailto:", "tel:.", "a@", "@a.", "+1 ", "+", "1.1.", "1-", "iban ", "iban1 ", "account no. ", "a/c 1 "]
+
+
+def old_url(text, kind, start, end):
+    """The parser as first written, which reads every address to its end."""
+    stop = end
+    while stop < len(text) and text[stop] not in pii._URL_END:
+        stop += 1
+    while stop > end and text[stop - 1] in ".,;:!?)]":
+        stop -= 1
+    if kind == "person":
+        return None if (start and text[start - 1] in pii._ALNUM) or not any(c in pii._ALNUM for c in text[end:stop]) else (start, stop)
+    host = text[end:stop].split("/", 1)[0]
+    while start and text[start - 1] in pii._SCHEME:
+        start -= 1
+    return (start, stop) if "@" in host.strip("@") and start < end - 3 else None
+
+
+def test_url_parser():
+    rng = random.Random(12)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "://", "@", "/", ".", " ", "mailto:", "x+y", ")", "1"]) for _ in range(rng.randrange(14)))
+        for mark, kind in (("://", "scheme"), ("mailto:", "person")):
+            for m in re.finditer(mark, text):
+                assert pii._url(text, kind, m.start(), m.end()) == old_url(text, kind, m.start(), m.end())
+
+
+@pytest.mark.parametrize("anchor", ANCHORS)
+def test_pii_takes_linear_time(anchor):
+    def seconds(count):
+        begun = time.perf_counter()
+        pii.find(anchor * count)
+        return time.perf_counter() - begun
+
+    assert seconds(100_000) < 20 * max(0.05, seconds(10_000))  # a square would be a hundredfold
+
+
+def test_row_slices():
+    batch = pa.RecordBatch.from_pylist([{"k": k, "text": t} for k, t in enumerate(["a" * 30, None, "", "b" * 300, "c", "d" * 99])])
+    parts = list(spans.row_slices(batch, "text", 100))
+    assert [p.num_rows for p in parts] == [3, 1, 2] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert list(spans.row_slices(batch.slice(0, 0), "text")) == []
+
+
 def test_slices_keep_every_text():
     offsets = np.array([0, 0, 5, 5, 900, 901])
     seen = [(a, b) for a, b, _, _ in spans.slices(np.zeros(901, np.uint8), offsets, 100)]
