@@ -8,7 +8,11 @@ A query visits buckets in the order of their estimated success.  A neighbour's
 projection differs from the query's by a normal variable whose spread is the distance
 ``r`` of a k-th neighbour, so each cell of each projection has a probability, and a
 bucket their product.  Visiting ends when the visited buckets hold ``success`` of it.
-Close neighbours thus need few buckets, and no bucket count is fixed.  The candidates of
+Close neighbours thus need few buckets, and no bucket count is fixed.
+
+``r`` is the query's own.  The first round takes the median of a sample; a query whose
+k-th neighbour found is farther away than that is asked again with the distance found, so
+in the end every query's visits hold ``success`` for its own k-th neighbour.  The candidates of
 all tables are merged and ranked by the exact inner product.
 
 ``r`` and the cell width are fitted on ``SAMPLE`` vectors (those with the least hash of
@@ -16,7 +20,8 @@ their id); every vector is indexed.  Equal vectors are one index entry with its
 ids: of equal scores no more than k + 1 of them can ever be in a result.  Buckets above
 ``heavy`` entries are cut by a hash of the vector and queried in all parts, so no task
 gets a whole hot bucket; at most ``HEAVY_BUCKETS`` can exist, which bounds their list.
-A query with fewer than k results visits every bucket in a second round.
+A query with fewer than k results is asked again with the distance its k-th neighbour
+should have by the sample, and if they are still fewer, in every bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,7 @@ SHARD_ROWS = 16_384
 HEAVY_BUCKETS = 100_000
 SAMPLE = 4096
 QUERIES_AT_ONCE = 512
+QUERIES_PER_TASK = 64
 
 
 @dataclass
@@ -55,6 +62,8 @@ class Index:
     norm: float
     shards: int
     heavy: int
+    sample: np.ndarray  # some vectors
+    near: int  # the place among them that a k-th neighbour of all would have
 
     def positions(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """Projections in units of cells: tables x rows x hashes."""
@@ -65,12 +74,20 @@ class Index:
             longer = np.column_stack([vectors, np.sqrt(np.maximum(0.0, self.norm**2 - norms**2))])
         return np.einsum("rd,tdh->trh", longer, self.projections) / self.width + self.shifts[:, None, :]
 
-    def probes(self, position: np.ndarray, success: float) -> list[tuple[int, ...]]:
-        """Cells of the buckets to visit, most probable first."""
-        unit = self.spread / self.width * math.sqrt(2)
+    def estimate(self, vectors: np.ndarray) -> np.ndarray:
+        """How far the k-th neighbour of each query may be, judged by the sample."""
+        longer = vectors * (self.norm / np.sqrt((vectors**2).sum(axis=1)))[:, None]
+        apart = np.maximum(0.0, 2 * self.norm**2 - 2 * longer @ self.sample.T)
+        apart[apart <= 1e-12 * self.norm**2] = np.inf  # the query itself, and its copies
+        nearest = np.partition(apart, min(self.near, apart.shape[1] - 1), axis=1)[:, min(self.near, apart.shape[1] - 1)]
+        return np.sqrt(np.where(np.isfinite(nearest), nearest, 2 * self.norm**2))
+
+    def probes(self, position: np.ndarray, success: float, spread: float) -> list[tuple[int, ...]]:
+        """Cells of the buckets to visit, most probable first, for neighbours ``spread`` away."""
+        unit = spread / self.width * math.sqrt(2)
         options = []
         for x in position.tolist():
-            reach = max(2, math.ceil(4 * self.spread / self.width))
+            reach = max(2, math.ceil(4 * spread / self.width))
             cells = range(math.floor(x) - reach, math.floor(x) + reach + 1)
             chance = [(0.5 * (math.erf((c + 1 - x) / unit) - math.erf((c - x) / unit)), c) for c in cells]
             options.append([(math.log(max(p, 1e-12)), c) for p, c in sorted(chance, reverse=True)])
@@ -116,7 +133,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def _entries(fine: DataFrame, k: int) -> DataFrame:
     """One entry per distinct vector with its k + 1 smallest ids."""
     order = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    least = fine.withColumn("place", order).where(F.col("place") <= k + 1)
+    least = fine.distinct().withColumn("place", order).where(F.col("place") <= k + 1)
     return least.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("gid", F.col("ids")[0])
 
 
@@ -140,7 +157,7 @@ def _fit(entries: DataFrame, rows: int, k: int, count_tables: int, seed: int = 7
     width = CELL * max(float((stored @ rng.normal(size=(stored.shape[1], 16))).std()), spread)
     return Index(
         rng.normal(size=(count_tables, stored.shape[1], hashes)), rng.uniform(0, 1, (count_tables, hashes)), width, spread, float(norm),
-        max(1, math.ceil(rows * count_tables / SHARD_ROWS)), max(SHARD_ROWS // 2, math.ceil(rows * count_tables / HEAVY_BUCKETS)),
+        max(1, math.ceil(rows * count_tables / SHARD_ROWS)), max(SHARD_ROWS // 2, math.ceil(rows * count_tables / HEAVY_BUCKETS)), some, near,
     )
 
 
@@ -218,14 +235,17 @@ def _round(entries: DataFrame, queries: DataFrame, index: Index, heavy: dict[int
         index, heavy = shared.value
         for batch in batches:
             rows, shards, probes = [], [], []
-            positions = index.positions(_matrix(batch.column("vector"), dimension), True)
+            asking = _matrix(batch.column("vector"), dimension)
+            positions = index.positions(asking, True)
+            spread = batch.column("reach").to_numpy(zero_copy_only=False)
+            spread = np.maximum(np.where(spread < 0, index.estimate(asking), spread), index.spread) if batch.num_rows else spread
             for row in range(batch.num_rows):
                 if success >= 1:
                     visits: dict[int, list[int] | None] = dict.fromkeys(range(index.shards))
                 else:
                     visits = {}
                     for table in range(len(positions)):
-                        cells = index.probes(positions[table, row], success)
+                        cells = index.probes(positions[table, row], success, float(spread[row]))
                         names = _bucket(table, np.array(cells, np.int64).reshape(len(cells), positions.shape[2]))
                         for name in names.tolist():
                             for part in range(heavy.get(name, 1)):
@@ -239,7 +259,9 @@ def _round(entries: DataFrame, queries: DataFrame, index: Index, heavy: dict[int
 
     schema = f"shard long, query boolean, gid long, vector {vector}, bucket long, probes array<long>"
     stored = entries.select("gid", "vector").mapInArrow(store, schema)
-    asked = queries.select(F.col("id").alias("gid"), "vector").mapInArrow(ask, schema)
+    # ordering the probes is the work of a query: queries are dealt out first
+    dealt_out = queries.repartition(max(1, -(-queries.count() // QUERIES_PER_TASK)), "id")
+    asked = dealt_out.select(F.col("id").alias("gid"), "vector", "reach").mapInArrow(ask, schema)
     dealt = stored.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "query")
     return dealt.mapInArrow(_shard_hits(dimension, k + 1), _HITS)
 
@@ -279,11 +301,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, success: float
 
     counts = entries.select("vector").mapInArrow(names, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     heavy = {r["bucket"]: -(-r["n"] // index.heavy) for r in counts.where(F.col("n") > index.heavy).collect()}
-    hits = tables.kept(_round(entries, asked, index, heavy, k, dimension, success), "hits")
-    found = tables.kept(_ranked(hits, entries, k), "found")
-    complete = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    few = tables.kept(asked.join(complete, "id", "left_anti"), "few")
-    if few.isEmpty():
-        return found
-    everywhere = _ranked(_round(entries, few, index, heavy, k, dimension, 1.0), entries, k)
-    return found.join(complete.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(everywhere)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+    waiting = asked.withColumn("reach", F.lit(index.spread))
+    hits, done = None, []
+    while True:  # at most with the fitted distance, then the one found or estimated, then the one found
+        new = tables.kept(_round(entries, waiting, index, heavy, k, dimension, success), "hits")
+        ids = waiting.select(F.col("id").alias("query_id")).distinct()
+        hits = new if hits is None else tables.kept(new.unionByName(hits.join(ids, "query_id", "left_semi")), "hits")
+        found = tables.kept(_ranked(hits, entries, k), "found")
+        # the visits must suffice for the distance of the k-th neighbour found so far
+        last = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+        apart = F.sqrt(F.greatest(F.lit(0.0), 2 * index.norm**2 - 2 * index.norm * F.col("score") / length))
+        judged = waiting.join(last, "id", "left").where(F.col("score").isNull() | (apart > F.col("reach") * (1 + 1e-9)))
+        again = judged.select("id", "vector", F.coalesce(apart, F.lit(-1.0)).alias("reach"), (F.col("score").isNull() & (F.col("reach") < 0)).alias("lost"))
+        again = tables.kept(again, "again")
+        done.append(found.join(again.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti"))
+        lost, waiting = again.where("lost").drop("lost"), again.where("NOT lost").drop("lost")
+        if not lost.isEmpty():  # fewer than k in reach of the sample's estimate: every bucket is visited
+            done.append(_ranked(_round(entries, lost, index, heavy, k, dimension, 1.0), entries, k))
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, done)

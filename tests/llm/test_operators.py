@@ -331,6 +331,47 @@ def test_nearest(spark):
     assert [r.vec_id for r in neighbours.nearest(same, same.where("vec_id = 3"), 5).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
 
 
+def test_nearest_with_repeated_rows(spark):
+    rows = [(3, [1.0, 0.0])] * 30 + [(k, [1.0, 0.0]) for k in range(10, 20)] + [(40, [0.9, 0.1])] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, table.where("vec_id = 40"), 5).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in found] == [(1, 3), (2, 10), (3, 11), (4, 12), (5, 13)]
+
+
+def tight_groups(rng, n):
+    """Five eighths of the rows in groups of fifty near copies, the others apart."""
+    centres = rng.normal(size=(n // 80, 64))
+    grouped = np.repeat(centres, 50, axis=0) / 8 + rng.normal(size=(n // 80 * 50, 64)) * 0.01
+    return np.concatenate([grouped, rng.normal(size=(n - len(grouped), 64)) / 8]), len(grouped)
+
+
+@pytest.mark.parametrize("kind", ["groups", "uniform", "copies"])
+def test_recall_of_each_kind_of_table(spark, kind):
+    rng = np.random.default_rng(11)
+    if kind == "groups":
+        vectors, inside = tight_groups(rng, 8000)
+    elif kind == "uniform":
+        vectors, inside = rng.normal(size=(6000, 16)), 0
+    else:  # unit vectors along few axes with very small differences
+        vectors, inside = np.eye(32)[rng.integers(0, 32, 6000)] + rng.normal(size=(6000, 32)) * 1e-3, 0
+    vectors = vectors.astype(np.float32).astype(np.float64)
+    order = rng.permutation(len(vectors))
+    table = spark.createDataFrame([(int(k), vectors[j].tolist()) for k, j in enumerate(order)], "vec_id long, embedding array<double>").repartition(4)
+    found = neighbours.nearest(table, table.where("vec_id % 20 = 0"), 20).toPandas()
+    placed = vectors[order]
+    shares, apart = [], []
+    for q, own in found.groupby("query_id"):
+        scores = placed @ placed[q]
+        scores[q] = -np.inf
+        kth = np.partition(scores, -20)[-20]
+        share = float((own.score >= kth - 1e-9).sum()) / 20
+        shares.append(share)
+        if order[q] >= inside:
+            apart.append(share)
+    assert len(shares) == len(placed[::20]) and np.mean(shares) >= 0.9 and np.mean(apart) >= 0.9
+    assert np.quantile(shares, 0.05) >= 0.6
+
+
 def plain_pii(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
