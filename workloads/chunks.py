@@ -8,7 +8,7 @@ from codelode import catalog
 from codelode.functions import languages, text
 from codelode.functions.let import unnest
 from codelode.functions.packing import running_totals
-from codelode.operators import chunking, ordered
+from codelode.operators import chunking, layout, ordered
 from codelode.plans.index_flow import IndexConfig, index_files
 from workloads.registry import query
 from workloads.views import SOURCES_SQL, document_files, source_files, table
@@ -282,3 +282,36 @@ def index_sources(spark, sf_dir):
     return per_file.groupBy("language", "embedding_model").agg(
         F.count(F.lit(1)).alias("files"), F.sum("solid").alias("solid"), F.sum("without_vector").alias("without_vector")
     )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _layout_sql() -> str:
+    kinds = " ".join(f"WHEN regexp_matches(line, {_quoted(p)}) THEN {n}" for n, _, p in layout.FORMS)
+    names = " ".join(f"WHEN {n} THEN '{c}'" for n, c in {n: c for n, c, _ in layout.FORMS}.items())
+    return f"""
+      WITH files AS (SELECT filename, content FROM ({SOURCES_SQL}) WHERE language = 'Haskell'
+                     UNION ALL SELECT 'doc_' || doc_id, text FROM documents WHERE text IS NOT NULL),
+      lines AS (SELECT filename, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT filename, string_split(content, chr(10)) AS l FROM files)),
+      inked AS (SELECT filename, i, line, length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '        ')) AS indent FROM lines WHERE NOT regexp_matches(line, '^\\s*$')),
+      least AS (SELECT *, coalesce(min(indent) OVER (PARTITION BY filename ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), indent) AS before FROM inked),
+      tops AS (SELECT filename, i, CASE WHEN indent > 0 THEN 0 {kinds} ELSE 0 END AS kind, regexp_extract(line, {_quoted(layout.NAME)}, 1) AS name FROM least WHERE indent <= before),
+      parts AS (SELECT *, lag(kind) OVER w AS k, lag(name) OVER w AS n FROM tops WINDOW w AS (PARTITION BY filename ORDER BY i)),
+      opens AS (SELECT *, NOT coalesce((k IN (2, 3) AND kind IN (2, 3) AND n = name) OR (k = 1 AND kind <> 0) OR (k = 0 AND kind = 0), false) AS opens FROM parts),
+      placed AS (SELECT l.filename, l.i, l.line, o.kind, greatest(1, coalesce(sum(o.opens::INT) OVER (PARTITION BY l.filename ORDER BY l.i), 0)) AS chunk
+                 FROM lines l LEFT JOIN opens o ON o.filename = l.filename AND o.i = l.i)
+      SELECT filename, min(i) AS start, max(i) AS "end", CASE arg_max(kind, i) {names} END AS category, md5(string_agg(line, chr(10) ORDER BY i)) AS hash
+      FROM placed GROUP BY filename, chunk HAVING count(kind) > 0"""
+
+
+@query("haskell_layout", _layout_sql())
+def haskell_layout(spark, sf_dir):
+    """Exact cuts at declarations and recovery chunks, of Haskell files and of plain text
+    read as (badly damaged) Haskell; no size limit, so that SQL can state the cuts."""
+    sources = source_files(spark, sf_dir).filter(F.col("language") == "Haskell").select("filename", "content")
+    texts = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.concat(F.lit("doc_"), "doc_id").alias("filename"), F.col("text").alias("content"))
+    cut = layout.layout_chunks(sources.unionByName(texts), chunking.HASKELL, limit=2_000_000_000, least=0)
+    rows = cut.select("filename", F.explode_outer("chunks").alias("c")).filter("c IS NOT NULL")
+    return rows.select("filename", "c.start", "c.end", "c.category", F.md5(F.col("c.content").cast("binary")).alias("hash"))
