@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SQL = "array<struct<first:int,last:int,kind:int>>"
-_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "kind")]))
+_SQL = "array<struct<first:int,last:int,kind:int,start:int,end:int>>"
+_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "kind", "start", "end")]))
 LOST, COMMENT, SIGNATURE, FUNCTION = 0, 1, 2, 3
 
 
@@ -99,12 +99,18 @@ def _outside(indents: list[int], opened: list[int]) -> list[int]:
     return found
 
 
-def layout_spans(indents: Column, opened: Column, sizes: Column, kinds: Column, names: Column, limit: int, least: int) -> Column:
-    """First and last line (from 1) and kind of each chunk of a text."""
+def layout_spans(indents: Column, opened: Column, sizes: Column, breaks: Column, kinds: Column, names: Column, limit: int, least: int) -> Column:
+    """First and last segment (from 1), kind, first and last line of each chunk of a text.
+
+    ``breaks`` is 1 for segments that end their line."""
+
+    def one(indents, opened, sizes, breaks, kinds, names):
+        line = list(accumulate(breaks, initial=1))
+        return [(a + 1, b, kind, line[a], line[b - 1]) for a, b, kind in spans(_outside(indents, opened), sizes, kinds, names, limit, least)]
 
     @F.arrow_udf(_SQL)
-    def cut(indents: pa.Array, opened: pa.Array, sizes: pa.Array, kinds: pa.Array, names: pa.Array) -> pa.Array:
-        rows = zip(*(a.to_pylist() for a in (indents, opened, sizes, kinds, names)))
-        return pa.array([None if r[0] is None else [(a + 1, b, k) for a, b, k in spans(_outside(r[0], r[1]), *r[2:], limit, least)] for r in rows], _ARROW)
+    def cut(indents: pa.Array, opened: pa.Array, sizes: pa.Array, breaks: pa.Array, kinds: pa.Array, names: pa.Array) -> pa.Array:
+        rows = zip(*(a.to_pylist() for a in (indents, opened, sizes, breaks, kinds, names)))
+        return pa.array([None if r[0] is None else one(*r) for r in rows], _ARROW)
 
-    return cut(indents, opened, sizes, kinds, names)
+    return cut(indents, opened, sizes, breaks, kinds, names)

@@ -15,6 +15,7 @@ from codelode.functions.let import let, unnest
 from codelode.functions.packing import merge_runs, pack, unique_names
 from codelode.functions.sqltext import case, literal, name, one_of
 from codelode.functions.symbols import bracket_errors, without_literals
+from codelode.operators.layout import layout_chunks
 
 # --- Fixed values: names of the chunking methods -----------------------------
 SPLIT_RECURSIVELY = "split_recursively"
@@ -155,8 +156,8 @@ def chunk_arrays(
 
     With ``default_chunking`` every language uses the sized separator splitter
     (per-language sizes, overlap).  Otherwise structural languages and Haskell
-    are cut at definitions and the rest into fixed line blocks; Haskell text with
-    many unmatched brackets gets a chunk per declaration-like line.
+    are cut at definitions and the rest into fixed line blocks; Haskell text is cut
+    by its layout, and with many unmatched brackets into a chunk per declaration-like line.
     """
     lang = F.col(language)
     code = F.col(content)
@@ -174,7 +175,8 @@ def chunk_arrays(
         least = F.when(haskell, catalog.HASKELL_MIN).otherwise(0)
         overlap = F.lit(0)
         method = F.when(damaged, HASKELL_REGEX).when(haskell, HASKELL).otherwise(STRUCTURAL)
-    source = F.when(packs, code)
+    by_layout = F.lit(False) if default_chunking else haskell & ~damaged
+    source = F.when(packs & ~by_layout, code)
     starts = {**catalog.LINE_SEPARATORS, **STRUCTURE_STARTS, "Maven": MAVEN_STARTS}
     starts |= {extension: starts[kind] for extension, kind in SEPARATED_EXTENSIONS.items()}
     levels = F.expr(_levels("_seg", name(language), starts))
@@ -184,8 +186,10 @@ def chunk_arrays(
     )
     chunks = F.when(packs, F.col("_packed"))
     if not default_chunking:
-        chunks = chunks.otherwise(fixed_lines(code))
-    return wide.withColumn("chunks", chunks).drop("_seg", "_spans", "_packed")
+        wide = layout_chunks(wide.withColumn("_haskell", F.when(by_layout, code)), HASKELL, "_haskell", "_layout")
+        shown = F.expr(f"cast(transform(_layout, c -> struct(c.content, c.location, c.start, c.end, c.chunking_method)) AS {CHUNK_TYPE})")
+        chunks = F.when(by_layout, shown).when(packs, F.col("_packed")).otherwise(fixed_lines(code))
+    return wide.withColumn("chunks", chunks).drop("_seg", "_spans", "_packed", "_haskell", "_layout")
 
 
 def _explode(df: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Spark expressions tell of each line how far it is indented, what it begins and whose name
 it gives; a numeric helper turns that into spans; the text is cut by them again in Spark.
-Joined by line breaks the chunks are the text: what no declaration covers becomes a
+Joined by line breaks the chunks are the text but for a last line break (a line wider
+than the limit is cut, and its parts then join without one): what no declaration covers becomes a
 recovery chunk, so a damaged file keeps the structure of its sound parts.
 """
 
@@ -31,6 +32,7 @@ FORMS = [
     (SIGNATURE, "function", r"^(?:[a-z_][A-Za-z0-9_']*|\([^A-Za-z0-9() ]+\))(?:\s*,\s*(?:[a-z_][A-Za-z0-9_']*|\([^A-Za-z0-9() ]+\)))*\s*::"),
     (FUNCTION, "function", r"^(?:[a-z_][A-Za-z0-9_']*|\([^A-Za-z0-9() ]+\))"),
 ]
+CONTINUED = 1_000_000
 NAME = r"^([a-z_][A-Za-z0-9_']*|\([^A-Za-z0-9() ]+\))"
 _WHOLE = "array<struct<content:string,location:string,start:bigint,end:bigint,category:string,chunking_method:string>>"
 
@@ -39,8 +41,13 @@ def _numbers(lines: str) -> dict[str, Column]:
     kind = "CASE " + " ".join(f"WHEN l RLIKE {literal(p)} THEN {n}" for n, _, p in FORMS) + f" ELSE {LOST} END"
     return {
         "_opened": F.expr(f"transform({lines}, l -> IF(contains(l, '{{-') OR contains(l, '-}}'), regexp_count(l, '\\\\{{-') - regexp_count(l, '-\\\\}}'), 0))"),
-        "_indents": F.expr(f"transform({lines}, l -> IF(l RLIKE '^\\\\s*$', -1, length(replace(regexp_extract(l, '^[ \\\\t]*', 0), '\\t', '        '))))"),
-        "_sizes": F.expr(f"transform({lines}, l -> length(l) + 1)"),
+        # what continues a line cut for its width is nested in it
+        "_indents": F.expr(
+            f"transform({lines}, (l, i) -> CASE WHEN i > 0 AND NOT endswith(element_at({lines}, greatest(i, 1)), '\\n') THEN {CONTINUED}"
+            " WHEN l RLIKE '^\\\\s*$' THEN -1 ELSE length(replace(regexp_extract(l, '^[ \\\\t]*', 0), '\\t', '        ')) END)"
+        ),
+        "_sizes": F.expr(f"transform({lines}, l -> length(l))"),
+        "_breaks": F.expr(f"transform({lines}, l -> CAST(endswith(l, '\\n') AS INT))"),
         "_kinds": F.expr(f"transform({lines}, l -> {kind})"),
         "_names": F.expr(f"transform({lines}, l -> xxhash64(regexp_extract(l, {literal(NAME)}, 1)))"),
     }
@@ -50,12 +57,13 @@ def layout_chunks(df: DataFrame, method: str, content: str = "content", out: str
     """Add the array column ``out``: content, location, start, end, category, chunking_method.
 
     A NULL text has NULL; an empty or blank one has no chunk."""
-    wide = df.withColumn("_lines", F.split(F.col(content), "\n", -1))
+    pattern = rf"[^\n]{{1,{limit}}}\n?|\n"
+    wide = df.withColumn("_lines", F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(0)))
     wide = wide.withColumns(_numbers("_lines"))
-    wide = wide.withColumn("_cuts", layout_spans(F.col("_indents"), F.col("_opened"), F.col("_sizes"), F.col("_kinds"), F.col("_names"), limit, least))
+    wide = wide.withColumn("_cuts", layout_spans(F.col("_indents"), F.col("_opened"), F.col("_sizes"), F.col("_breaks"), F.col("_kinds"), F.col("_names"), limit, least))
     category = "CASE s.kind " + " ".join(f"WHEN {n} THEN {literal(c)}" for n, c in {n: c for n, c, _ in FORMS}.items()) + " END"
     pieces = F.expr(
-        f"cast(transform(_cuts, (s, i) -> struct(array_join(slice(_lines, s.first, s.last - s.first + 1), '\\n'), concat('line:', s.first, '#', i),"
-        f" s.first, s.last, {category}, IF(s.kind = {LOST}, {literal(RECOVERY_METHOD)}, {literal(method)}))) AS {_WHOLE})"
+        f"cast(transform(_cuts, (s, i) -> struct(regexp_replace(array_join(slice(_lines, s.first, s.last - s.first + 1), ''), '\\\\n\\\\z', ''),"
+        f" concat('line:', s.start, '#', i), s.start, s.end, {category}, IF(s.kind = {LOST}, {literal(RECOVERY_METHOD)}, {literal(method)}))) AS {_WHOLE})"
     )
-    return wide.withColumn(out, pieces).drop("_lines", "_opened", "_indents", "_sizes", "_kinds", "_names", "_cuts")
+    return wide.withColumn(out, pieces).drop("_lines", "_opened", "_indents", "_sizes", "_breaks", "_kinds", "_names", "_cuts")

@@ -16,6 +16,7 @@ from codelode.functions import languages
 from codelode.functions.embedding import embed
 from codelode.operators.analysis import analyze
 from codelode.operators.chunking import HASKELL_REGEX, chunk_files
+from codelode.operators.layout import RECOVERY_METHOD
 from codelode.sources.files import scan
 
 
@@ -47,7 +48,7 @@ def index_files(files: DataFrame, config: IndexConfig = IndexConfig(), with_vect
     kept = files.select("filename", "language", "source_name", F.coalesce("content", F.lit("")).alias("content"))
     chunks = chunk_files(kept, config.default_chunking, config.chunk_factor_percent).drop("content")
     rows = chunks.withColumnRenamed("chunk_content", "code")
-    rows = rows.withColumn("tree_sitter_chunking_error", F.col("chunking_method") == HASKELL_REGEX)
+    rows = rows.withColumn("tree_sitter_chunking_error", F.col("chunking_method").isin(HASKELL_REGEX, RECOVERY_METHOD))
     rows = analyze(rows, basic=config.default_language_handler)
     model = (
         F.lit(catalog.MODEL_NAMES["fallback"])

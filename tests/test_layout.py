@@ -49,6 +49,8 @@ def test_declarations_and_recovery(spark):
     ]
     joined = chunks(spark, TEXT, limit=10_000, least=20)
     assert (5, 7, "import") in [(c.start, c.end, c.category) for c in joined]
+    wide = chunks(spark, "f = " + "x" * 5000 + "\ng = 1\n", limit=1800, least=0)
+    assert [(c.start, c.end, len(c.content)) for c in wide] == [(1, 1, 1800), (1, 1, 1800), (1, 1, 1404), (2, 2, 5)]
     assert chunks(spark, "  \n\t\n") == [] and chunks(spark, "") == [] and chunks(spark, None) is None
     assert [(c.start, c.end) for c in chunks(spark, "\n\n  indented first\nf = 1")] == [(1, 3), (4, 4)]
 

@@ -294,7 +294,7 @@ def _layout_sql() -> str:
     return f"""
       WITH files AS (SELECT filename, content FROM ({SOURCES_SQL}) WHERE language = 'Haskell'
                      UNION ALL SELECT 'doc_' || doc_id, text FROM documents WHERE text IS NOT NULL),
-      lines AS (SELECT filename, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT filename, string_split(content, chr(10)) AS l FROM files)),
+      lines AS (SELECT filename, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT filename, string_split(CASE WHEN ends_with(content, chr(10)) THEN left(content, -1) ELSE content END, chr(10)) AS l FROM files)),
       inked AS (SELECT filename, i, line, length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '        ')) AS indent FROM lines WHERE NOT regexp_matches(line, '^\\s*$')),
       least AS (SELECT *, coalesce(min(indent) OVER (PARTITION BY filename ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), indent) AS before FROM inked),
       tops AS (SELECT filename, i, CASE WHEN indent > 0 THEN 0 {kinds} ELSE 0 END AS kind, regexp_extract(line, {_quoted(layout.NAME)}, 1) AS name FROM least WHERE indent <= before),
