@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from codelode.functions import metadata, text
 from codelode.operators.analysis import analyze, precision_recall, roll_up
+from codelode.operators import records
 from codelode.operators.chunking import fixed_lines
 from workloads.registry import query
-from workloads.views import DAMAGED_FROM, SOURCES_SQL, source_files
+from workloads.views import DAMAGED_FROM, SOURCES_SQL, source_files, table
 
 _BAD = f"(language = 'Python' AND n >= {DAMAGED_FROM})"
 # What the texts in views.SOURCE_TEXT declare, by construction: n functions
@@ -242,3 +243,65 @@ def haskell_details(spark, sf_dir):
         "modules": "array_join(module_details.name, ' ')",
     }
     return found.selectExpr("filename", *[f"{sql} AS {n}" for n, sql in shown.items()])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_STRIP = "regexp_replace({}, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g')"
+
+
+@query(
+    "haskell_signatures",
+    f"""WITH files AS (SELECT filename, content FROM ({SOURCES_SQL}) WHERE language = 'Haskell'
+                       UNION ALL SELECT 'doc_' || doc_id, text FROM documents),
+        blocks AS (SELECT filename, unnest(b) AS block, unnest(range(0, len(b))) AS ordinal
+                   FROM (SELECT filename, regexp_extract_all(content, {_quoted(records.BLOCK)}) AS b FROM files)),
+        kinds AS (SELECT *, regexp_matches(block, {_quoted(dict((n, p) for n, _, p in records.FORMS)[2])}) AS signed FROM blocks
+                  WHERE NOT regexp_matches(block, {_quoted(records.NOT_A_FUNCTION)}) AND regexp_matches(block, {_quoted(records.NAME)})),
+        named AS (SELECT filename, ordinal, NOT signed AS defined,
+                         CASE WHEN signed THEN regexp_replace(trim(regexp_extract(block, {_quoted(records.TYPE)}, 1)), '\\s+', ' ', 'g') END AS type,
+                         unnest(CASE WHEN signed THEN regexp_extract_all(regexp_extract(block, {_quoted(records.SIGNED_NAMES)}, 1), {_quoted(records.ANY_NAME)})
+                                ELSE [regexp_extract(block, {_quoted(records.NAME)}, 1)] END) AS name FROM kinds),
+        told AS (SELECT *, last_value(type IGNORE NULLS) OVER (PARTITION BY filename, name ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS signature FROM named),
+        found AS (SELECT filename, name, min(ordinal) AS ordinal, count(*) AS clauses, arg_min_null(signature, ordinal) AS signature FROM told WHERE defined GROUP BY ALL)
+        SELECT *, (length(bare) - length(replace(bare, '->', ''))) // 2 AS arity FROM (SELECT *, regexp_replace({_STRIP.format(_STRIP.format(_STRIP.format(_STRIP.format('signature'))))}, '^(?s).*=>', '') AS bare FROM found)""".replace(
+        "SELECT *, (length(bare)", "SELECT filename, name, ordinal, clauses, signature, (length(bare)"
+    ),
+)
+def haskell_signatures(spark, sf_dir):
+    """Every function of the Haskell files, and of plain text read as Haskell, with the
+    nearest signature before it that lists its name."""
+    sources = source_files(spark, sf_dir).filter(F.col("language") == "Haskell").select("filename", "content")
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("filename"), F.col("text").alias("content"))
+    return records.signed_functions(sources.unionByName(texts))
+
+
+_SIDES = """SELECT o_custkey, o_orderpriority AS name, {0} AS best, {1} AS note, {2} AS years FROM orders WHERE o_orderstatus {3} GROUP BY ALL"""
+
+
+@query(
+    "merge_by_name",
+    f"""WITH l AS ({_SIDES.format("max(o_totalprice)", "CASE WHEN count(*) > 1 THEN 'many' ELSE '' END", "CASE WHEN min(o_totalprice) > 1000 THEN list_sort(list_distinct(list(year(o_orderdate)))) ELSE [] END", "= 'O'")}),
+             r AS ({_SIDES.format("CASE WHEN count(*) > 1 THEN max(o_totalprice) END", "'other'", "list_sort(list_distinct(list(year(o_orderdate))))", "<> 'O'")})
+        SELECT o_custkey, name, coalesce(l.best, r.best) AS best, coalesce(nullif(l.note, ''), r.note, l.note) AS note,
+               array_to_string(CASE WHEN coalesce(len(r.years), 0) > 0 THEN r.years ELSE l.years END, ' ') AS years
+        FROM l FULL OUTER JOIN r USING (o_custkey, name)""",
+)
+def merge_by_name(spark, sf_dir):
+    """Two lists of records per customer, of open and of other orders by priority, merged field by field."""
+
+    def side(status, best, note, years):
+        of = table(spark, sf_dir, "orders").filter(status).groupBy("o_custkey", F.col("o_orderpriority").alias("name"))
+        rows = of.agg(best.alias("best"), note.alias("note"), years.alias("years"))
+        return rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("name", "best", "note", "years"))).alias("records"))
+
+    years = F.array_sort(F.collect_set(F.year("o_orderdate")))
+    none = F.array().cast("array<int>")
+    left = side(F.col("o_orderstatus") == "O", F.max("o_totalprice"), F.when(F.count("*") > 1, "many").otherwise(""), F.when(F.min("o_totalprice") > 1000, years).otherwise(none))
+    right = side(F.col("o_orderstatus") != "O", F.when(F.count("*") > 1, F.max("o_totalprice")), F.lit("other"), years)
+    both = left.withColumnRenamed("records", "l").join(right.withColumnRenamed("records", "r"), "o_custkey", "full_outer")
+    merged = records.merge_by_name("l", "r", {"best": "double", "note": "string", "years": "array<int>"}, prefer_right=("years",))
+    rows = both.select("o_custkey", F.expr(merged).alias("m")).select("o_custkey", F.explode_outer("m").alias("x"))
+    return rows.select("o_custkey", "x.name", "x.best", "x.note", F.array_join("x.years", " ").alias("years"))
