@@ -463,6 +463,20 @@ def test_pipeline(spark, documents, library):
         assert zlib.crc32(np.array(want[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
 
 
+def test_pipeline_stages_on_no_rows_and_awkward_ones(spark, documents):
+    odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, " \n", None, "b", 2), (3, "word " * 30_000, "en", "a", 150_000), (4, BASE, "en", "c", 90), (5, BASE, "de", None, 90)]
+    awkward_docs = spark.createDataFrame(odd, documents.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, documents.limit(0), SF_DIR)
+        assert none.count() == 0
+        kept = stage(spark, awkward_docs, SF_DIR)
+        if name != "packing":
+            assert none.columns == documents.columns and kept.columns == documents.columns
+        else:
+            assert kept.agg(F.sum("length")).first()[0] >= len(odd)  # an empty text still has its last id
+        kept.collect()
+
+
 _CACHE: dict[int, list[int]] = {}
 
 
