@@ -1,4 +1,4 @@
-"""Language-model scoring by a weighted backoff model that grows with the corpus.
+"""Language-model scoring by a weighted backoff automaton that grows with the corpus.
 
 Counting.  Words and n-grams are counted over all training texts.  An n-gram is kept if
 it occurs at least ``LEAST`` times, whatever the size of the corpus; only n-grams whose
@@ -9,24 +9,29 @@ Model.  One word:  p(w) = (c + 0.1) / (N + 0.1 (V + 1)).  After a history h:
     p(w | h) = (c(h w) - D) / c(h)  for a kept n-gram  +  b(h) p(w | h without its first word)
     b(h)     = 1 - sum of (c(h w) - D) / c(h) over the kept n-grams of h
 
-so probabilities after each history add up to 1.  In logarithms each kept n-gram has one
-weight: what it adds to the probability of its last word over that without the n-gram,
-and log b of it as the history of the next word.  The score of a text is the sum of
-log p of its words and of the weights of all n-grams in it; n-grams that are not kept
-weigh 0, so one sum over n-grams replaces the walk through the states of
-:class:`Automaton`, the plain form of the same model.
-
-Words and n-grams with a share of at least ``LEXICON_SHARE`` of the tokens (1 / share of
-each length at most) are sent to the tasks and summed there.  The others are joined from
-the tables of counts and of weights; none of them is frequent, so no key of these joins
-is hot.  A bitmap of fixed size says which n-grams may be in the table; once it is full
-of bits more n-grams are joined in vain and the result stays the same.
+so probabilities after each history add up to 1.
+
+Automaton.  Kept histories are states, kept n-grams are arcs, and each state has a failure
+arc of weight log b(h) to the history without its first word.  What defines a state or an
+arc are two numbers, the count of its n-gram and the mass ``sum of (c(h w) - D)`` of the
+n-grams that go on from it.  A text can only meet states and arcs whose words stand in it,
+so each slice of texts asks once for each of its distinct n-grams, gets those two numbers,
+builds the part of the automaton that it can meet and walks each text from left to right.
+
+N-grams with a share of at least ``LEXICON_SHARE`` of the tokens (1 / share of each length
+at most) are sent to the tasks.  The others are asked for in sorted blocks: a block holds
+what one slice wants of one range of hashes, and a range of requests meets the same range
+of states in one task.  None of these n-grams is frequent and a slice names each once, so
+ranges are alike in size; their number grows with the tokens.  A bitmap of fixed size says
+which n-grams may be in the table; once it is full of bits more are asked for in vain and
+the result stays the same.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,74 +46,71 @@ LEXICON_SHARE = 1e-6
 LEAST = 2
 DISCOUNT = 0.75
 COUNT_BYTES = 16 << 20
-RARE, END, FIRST = 0, 1, 2  # numbers of word kinds; known words follow; FIRST stands before a text
+WALK_BYTES = 4 << 20
+RANGE_TOKENS = 1 << 18
 FIRST_NAME, END_NAME = (int(x) for x in spans.mix(np.array([0x5EED1, 0x5EED2], np.uint64)))
 
+#: Count and mass of each of some n-grams; zeros for those that are not kept.
+Facts = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-class Lexicon:
-    """The frequent words with their training counts, and the totals."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int):
-        order = np.argsort(hashes)
-        self.hashes, self.tokens, self.distinct, self.texts = hashes[order], tokens, distinct, texts
-        self.counts = np.concatenate([[0, texts, texts], counts[order]])
+class Totals(NamedTuple):
+    """Training tokens (words and ends), distinct ones, and texts."""
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 3, RARE)
-
-    def log_p(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
+    tokens: int
+    distinct: int
+    texts: int
 
 
 class Automaton:
-    """States are kept histories; state 0 is the empty one."""
-
-    def __init__(self, lexicon: Lexicon, grams: list[dict[tuple, int]]):
-        self.lexicon = lexicon
-        counts = lexicon.counts
-        one = 10 ** lexicon.log_p(counts)
-        one[RARE] = one[FIRST] = 0.0
-        state = {(): 0}
-        for kept in grams:
-            for gram in kept:
-                state.setdefault(gram[:-1], len(state))
-        followed = {h: int(counts[h[0]]) if len(h) == 1 else grams[len(h) - 2][h] for h in state if h}
-        mass: dict[tuple, float] = dict.fromkeys(state, 0.0)
-        for kept in grams:
-            for gram, c in kept.items():
-                mass[gram[:-1]] += (c - DISCOUNT) / followed[gram[:-1]]
-        back = {h: max(1e-12, 1 - mass[h]) for h in state}
-
-        def probability(word: int, history: tuple) -> float:
-            if not history:
-                return float(one[word])
-            if history not in state:
-                return probability(word, history[1:])
-            c = grams[len(history) - 1].get((*history, word)) if len(history) <= len(grams) else None
-            own = (c - DISCOUNT) / followed[history] if c else 0.0
-            return own + back[history] * probability(word, history[1:])
-
-        def settle(history: tuple) -> tuple:
-            history = history[-len(grams) :] if grams else ()
-            while history not in state:
-                history = history[1:]
-            return history
-
-        self.arcs = {state[g[:-1]] << 32 | g[-1]: (math.log10(probability(g[-1], g[:-1])), state[settle(g)]) for kept in grams for g in kept}
-        self.fail = [(0.0, 0)] * len(state)
-        for history, number in state.items():
-            if history:
-                self.fail[number] = (math.log10(back[history]), state[settle(history[1:])])
-        self.start = state[settle((FIRST,))]
-        self.log_one = np.where(one > 0, np.log10(np.maximum(one, 1e-300)), 0.0)
-        self.after = [state.get((w,), 0) for w in range(len(counts))]
-        self.ones = self.log_one.tolist()
+    """The states and arcs that the words of some texts can meet; state 0 is the empty history.
+
+    ``names`` and ``whole`` are those of :func:`_names`.  ``numbers`` are the words by
+    position, numbered within these texts.
+    """
+
+    def __init__(self, names: list[np.ndarray], whole: list[np.ndarray], facts: Facts, totals: Totals, least: int):
+        grams, self.numbers = np.unique(names[0], return_inverse=True)
+        count, mass = facts(grams)
+        self.known = count > 0
+        p = (count + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1))
+        self.log_one = np.log10(p)
+        kept = count >= least
+        state = np.where(kept, np.cumsum(kept), 0)
+        back = np.maximum(1e-12, 1 - mass / np.maximum(count, 1))
+        self.ones, self.after = self.log_one.tolist(), state.tolist()
+        fail_weights, fail_states = [np.zeros(1), np.log10(back[kept])], [np.zeros(1 + kept.sum(), np.int64)]
+        self.start = int(state[np.searchsorted(grams, np.uint64(FIRST_NAME))])
+        self.arcs: dict[int, tuple[float, int]] = {}
+        of_place, states = self.numbers, 1 + int(kept.sum())
+        for size in range(2, len(names) + 1):
+            place = np.flatnonzero(whole[size - 1])
+            gram, first, inverse = np.unique(names[size - 1][place], return_index=True, return_inverse=True)
+            longer, longer_mass = facts(gram)
+            fine = longer >= least
+            at = place[first[fine]]
+            left, right, word = of_place[at], of_place[at + 1], self.numbers[at + size - 1]
+            own = np.zeros(len(gram))
+            own[fine] = (longer[fine] - DISCOUNT) / count[left] + back[left] * p[right]
+            if size < len(names):
+                reached = np.where(fine, states - 1 + np.cumsum(fine), 0)
+                goal = reached[fine]
+            else:
+                goal = state[right]
+            self.arcs.update(zip((state[left] << 32 | word).tolist(), zip(np.log10(own[fine]).tolist(), goal.tolist(), strict=True), strict=True))
+            if size == len(names):
+                break
+            fail_states.append(state[right])
+            states += int(fine.sum())
+            of_place = np.zeros(len(names[0]), np.int64)
+            of_place[place] = inverse
+            count, state, p = longer, reached, own
+            back = np.maximum(1e-12, 1 - longer_mass / np.maximum(longer, 1))
+            fail_weights.append(np.log10(back[fine]))
+        self.fail = list(zip(np.concatenate(fail_weights).tolist(), np.concatenate(fail_states).tolist(), strict=True))
 
     def score(self, words: list[int]) -> float:
-        """Log10 probability of words (the last is END), without log p of rare words."""
+        """Log10 probability of the words that follow the mark before a text, its end included."""
         arcs, fail, ones, after, state, total = self.arcs.get, self.fail, self.ones, self.after, self.start, 0.0
         for word in words:
             while state:
@@ -116,27 +118,16 @@ class Automaton:
                     total += arc[0]
                     state = arc[1]
                     break
-                total += fail[state][0]
-                state = fail[state][1]
+                weight, state = fail[state]
+                total += weight
             else:
                 total += ones[word]
                 state = after[word]
         return total
 
 
-def _numbered(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of each text with FIRST before and END behind it, offsets; word hashes, offsets."""
-    hashes, at = spans.word_hashes(data, offsets)
-    texts = np.arange(len(at) - 1)
-    numbers = np.full(len(hashes) + 2 * len(texts), FIRST, np.int64)
-    bounds = at + 2 * np.arange(len(at))
-    numbers[spans.spread_positions(bounds[:-1] + 1, np.diff(at))] = lexicon.numbers(hashes)
-    numbers[bounds[1:] - 1] = END
-    return numbers, bounds, hashes, at
-
-
 def _word_counts(training: DataFrame) -> DataFrame:
-    """(word, n): counts of word hashes, summed up per slice before they are shuffled."""
+    """(gram, n): counts of word hashes, summed up per slice before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,54 +135,9 @@ def _word_counts(training: DataFrame) -> DataFrame:
             for _, _, outer, bounds in spans.slices(data, offsets, COUNT_BYTES):
                 hashes = [spans.word_hashes(part, at)[0] for _, _, part, at in spans.slices(outer, bounds)]
                 word, n = np.unique(np.concatenate(hashes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
-    return training.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _gram_counts(training: DataFrame, lexicon: Lexicon, common: np.ndarray, kept: list[dict[tuple, int]], least: float) -> dict[tuple, int]:
-    """The n-grams one longer than those kept whose two shorter parts are kept, with a count of at least ``least``."""
-    spark = training.sparkSession
-    parts = sorted(kept[-1]) if kept else []
-    shared = spark.sparkContext.broadcast((lexicon, common, parts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, common, parts = shared.value
-        for batch in batches:
-            data, offsets = spans.flat(batch.column(0))
-            for _, _, part, at in spans.slices(data, offsets):
-                numbers, bounds, _, _ = _numbered(part, at, lexicon)
-                last = np.zeros(len(numbers), bool)
-                last[bounds[1:] - 1] = True
-                if not parts:
-                    fine = common[numbers[:-1]] & common[numbers[1:]] & ~last[:-1]
-                    left, right = numbers[:-1][fine], numbers[1:][fine]
-                else:  # numbers of the shorter n-grams, and the word behind each
-                    size = len(parts[0])
-                    place = _places(numbers, last, parts)
-                    fine = (place[:-1] >= 0) & (place[1:] >= 0)
-                    left, right = place[:-1][fine], numbers[size : size + len(fine)][fine]
-                key, n = np.unique(left << 32 | right, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], ["gram", "n"])
-
-    rows = training.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least)).collect()
-    return {((*parts[r["gram"] >> 32], r["gram"] & 0xFFFFFFFF) if parts else (r["gram"] >> 32, r["gram"] & 0xFFFFFFFF)): r["n"] for r in rows}
-
-
-def _places(numbers: np.ndarray, last: np.ndarray, parts: list[tuple]) -> np.ndarray:
-    """For each position the rank among ``parts`` of the n-gram that begins there; -1 without one."""
-    size = len(parts[0])
-    table = np.array(parts, np.int64)
-    known, rank = np.unique(table[:, 0]), None
-    code = np.searchsorted(known, table[:, 0])
-    at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
-    rank = np.where(known[at] == numbers, at, -1)[: len(numbers) - size + 1]
-    for k in range(1, size):
-        keys, code = np.unique(code << 32 | table[:, k], return_inverse=True)
-        mine = np.where((rank >= 0) & ~last[k - 1 : len(numbers) - size + k], rank << 32 | numbers[k : len(numbers) - size + 1 + k], -1)
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        rank = np.where(keys[at] == mine, at, -1)
-    return rank
+    return training.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _names(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -218,86 +164,109 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int) -> DataFrame:
-    """(gram, left, right, n): all n-grams of ``size`` words with a count of at least ``least``;
-    ``parts`` is a bitmap of the kept ones of one word less."""
+    """(gram, left, n): all n-grams of ``size`` words with a count of at least ``least``, and
+    their histories; ``parts`` is a bitmap of the kept ones of one word less."""
     shared = training.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = spans.flat(batch.column(0))
             for _, _, outer, outer_at in spans.slices(data, offsets, COUNT_BYTES):
-                held: list[list[np.ndarray]] = [[], [], []]
+                held: list[list[np.ndarray]] = [[], []]
                 for _, _, part, at in spans.slices(outer, outer_at):
                     names, whole, _ = _names(part, at, size)
                     fine = tables.has_bit(shared.value, names[-2])
                     at_gram = np.flatnonzero(whole[-1] & fine[:-1] & fine[1:])
-                    for column, values in zip(held, (names[-1][at_gram], names[-2][at_gram], names[-2][at_gram + 1]), strict=True):
-                        column.append(values)
-                gram, left, right = map(np.concatenate, held)
-                _, first, n = np.unique(gram, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(n, pa.int64())], ["left", "right", "n"])
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_joined(left, right).view(np.int64)), *batch.columns], ["gram", "left", "right", "n"])
+                    held[0].append(names[-1][at_gram])
+                    held[1].append(names[-2][at_gram])
+                gram, left = map(np.concatenate, held)
+                gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(left[first].view(np.int64)), pa.array(n, pa.int64())], ["gram", "left", "n"])
 
-    counted = training.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return tables.kept(counted.mapInArrow(name, "gram long, left long, right long, n long"), "grams")
+    counted = training.mapInArrow(run, "gram long, left long, n long").groupBy("gram", "left").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return tables.kept(counted, "grams")
 
 
-def _weights(training: DataFrame, words: DataFrame, lexicon: Lexicon, order: int, least: int) -> DataFrame:
-    """(gram, n, weight): weights of kept n-grams; that of a single word is only log b, as log p is summed apart."""
-    marks = training.sparkSession.createDataFrame([(int(np.uint64(m).view(np.int64)), lexicon.texts) for m in (FIRST_NAME, END_NAME)], "gram long, n long")
-    seen = words.select(F.col("word").alias("gram"), "n").unionByName(marks).where(F.col("n") >= least)
-    log_p = F.log10((F.col("n") + 0.1) / F.lit(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
-    level = seen.select("gram", "n", log_p.alias("log_p"), F.lit(0.0).alias("more"))
-    parts, done = tables.bitmap(level, "gram"), []
+def _model(training: DataFrame, order: int, least: int) -> tuple[Totals, DataFrame, DataFrame]:
+    """The totals, (gram, n) of all words and kept n-grams, (gram, mass) of the histories."""
+    words = tables.kept(_word_counts(training), "word-counts")
+    seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    texts = training.count()
+    marks = training.sparkSession.createDataFrame([(int(np.uint64(m).view(np.int64)), texts) for m in (FIRST_NAME, END_NAME)], "gram long, n long")
+    counts, masses = [words.unionByName(marks.where("n > 0"))], []
+    parts = tables.bitmap(counts[0].where(F.col("n") >= least), "gram")
     for size in range(2, order + 1):
-        counted = _grams(training, size, parts, least)
-        mass = counted.groupBy(F.col("left").alias("gram")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-        back = F.log10(F.greatest(F.lit(1e-12), 1 - F.coalesce("mass", F.lit(0.0)) / F.col("n")))
-        level = tables.kept(level.join(mass, "gram", "left").select("gram", "n", "log_p", "more", back.alias("back")), "gram-level")
-        done.append(level.select("gram", "n", (F.col("more") + F.col("back")).alias("weight")))
-        left = level.select(F.col("gram").alias("left"), F.col("n").alias("n_left"), "back")
-        right = level.select(F.col("gram").alias("right"), F.col("log_p").alias("shorter"))
-        fell = F.col("back") + F.col("shorter")
-        found = counted.join(left, "left").join(right, "right").withColumn("log_p", F.log10((F.col("n") - DISCOUNT) / F.col("n_left") + F.pow(F.lit(10.0), fell)))
-        level = found.select("gram", "n", "log_p", (F.col("log_p") - fell).alias("more"))
-        parts = tables.bitmap(counted, "gram")
         if not parts.any():
             break
-    weights = tables.kept(level.select("gram", "n", F.col("more").alias("weight")), "gram-weights")
-    for more in done:
-        weights = weights.unionByName(more)
-    return weights.where("weight <> 0")
+        counted = _grams(training, size, parts, least)
+        counts.append(counted.select("gram", "n"))
+        masses.append(counted.groupBy(F.col("left").alias("gram")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass")))
+        parts = tables.bitmap(counted, "gram")
+    none = marks.select("gram", F.lit(0.0).alias("mass")).where("false")
+    mass = tables.kept(reduce(DataFrame.unionByName, masses, none), "masses")
+    return Totals(seen["n"] + texts, seen["v"] + (texts > 0), texts), reduce(DataFrame.unionByName, counts), mass
 
 
-def _lexicon(training: DataFrame, lexicon_share: float) -> tuple[DataFrame, Lexicon]:
-    words = tables.kept(_word_counts(training), "word-counts")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    texts = training.count()
-    tokens = totals["n"] + texts
-    frequent = words.where(F.col("n") >= max(1.0, lexicon_share * tokens)).toArrow()
-    lexicon = Lexicon(frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), tokens, totals["v"] + (texts > 0), texts)
-    return words, lexicon
-
-
-def _fit(training: DataFrame, order: int, lexicon_share: float, ngram_share: float) -> tuple[DataFrame, Automaton]:
-    """The model as one automaton in memory, of n-grams with a share of at least ``ngram_share``
-    (0: all that are kept); :func:`score` is held against it."""
-    words, lexicon = _lexicon(training, lexicon_share)
-    texts, tokens = lexicon.texts, lexicon.tokens
-    common = lexicon.counts >= max(2.0, ngram_share * tokens)
-    common[RARE] = False
-    common[[END, FIRST]] = texts > 0
-    grams: list[dict[tuple, int]] = []
-    while len(grams) < order - 1:
-        more = _gram_counts(training, lexicon, common, grams, ngram_share * tokens)
-        if not more:
-            break
-        grams.append(more)
-    return words, Automaton(lexicon, grams)
+class _Frequent(NamedTuple):
+    """Counts and masses of the n-grams that tasks have, by name, and a bitmap of the others."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    masses: np.ndarray
+    others: np.ndarray
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams, and whether they are there."""
+        return _find(self.grams, grams)
+
+    def wanted(self, names: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
+        """The distinct n-grams, in order, that must be asked for."""
+        grams = np.unique(np.concatenate([n[w] for n, w in zip(names, whole, strict=True)]))
+        grams = grams[tables.has_bit(self.others, grams)]
+        return grams[~self.find(grams)[1]]
+
+
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
+
+
+def _split(rows: DataFrame, shared, order: int, bits: int) -> DataFrame:
+    """Slices of texts (slice, doc_id, text), and what they ask for (slice, range, grams)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            data, offsets = spans.flat(batch.column(1))
+            for first, last, part, at in spans.slices(data, offsets, WALK_BYTES):
+                names, whole, _ = _names(part, at, order)
+                grams = shared.value.wanted(names, whole)
+                ranges = (grams >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+                blocks = pa.array([b.tobytes() for b in np.split(grams, cuts[1:])] if len(cuts) else [], pa.binary())
+                own, texts = batch.slice(first, last - first), last - first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(texts, number)), *own.columns, pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.binary())], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), number)), *(pa.nulls(len(cuts), c.type) for c in own.columns), pa.array(ranges[cuts]), blocks], columns)
+                number += 1
+
+    columns = ["slice", "doc_id", "text", "range", "grams"]
+    return tables.kept(rows.mapInArrow(run, f"slice long, doc_id {kind}, text string, range long, grams binary"), "slices")
+
+
+def _answer(asked: pa.Table, states: pa.Table) -> pa.Table:
+    """Counts and masses of the n-grams asked for in a range of hashes, in the order asked."""
+    known, row = np.unique(states["gram"].to_numpy().view(np.uint64), return_inverse=True)
+    count = np.bincount(row, states["n"].to_numpy(), len(known)).astype(np.int64)
+    mass = np.bincount(row, states["mass"].to_numpy(), len(known))
+    counts, masses = [], []
+    for block in asked["grams"].to_pylist():
+        at, there = _find(known, np.frombuffer(block, np.uint64))
+        counts.append((count[at] * there if len(known) else np.zeros(len(at), np.int64)).tobytes())
+        masses.append((mass[at] * there if len(known) else np.zeros(len(at))).tobytes())
+    return pa.table({"slice": asked["slice"], "range": asked["range"], "counts": pa.array(counts, pa.binary()), "masses": pa.array(masses, pa.binary())})
 
 
 def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon_share: float = LEXICON_SHARE, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -307,63 +276,43 @@ def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon
     end of the text; NULL text is empty and has only its end.  Without training texts
     every token has probability 1, as V and N are 0.  Rows with equal ids stay apart.
     """
-    training = training.select(F.col(text_column))
-    words, lexicon = _lexicon(training, lexicon_share)
-    weights = _weights(training, words, lexicon, order, least)
-    often = F.col("n") >= max(1.0, lexicon_share * lexicon.tokens)
-    hot = weights.where(often).select("gram", "weight").toArrow()
-    known_grams, known_weights = hot["gram"].to_numpy().view(np.uint64), hot["weight"].to_numpy()
-    by_name = np.argsort(known_grams)
-    seldom = weights.where(~often).select("gram", "weight")
+    totals, counts, mass = _model(training.select(F.col(text_column)), order, least)
+    often = F.col("n") >= max(1.0, lexicon_share * totals.tokens)
+    hot = counts.where(often).join(mass, "gram", "left").select("gram", "n", F.coalesce("mass", F.lit(0.0)).alias("mass")).toArrow()
+    grams = hot["gram"].to_numpy().view(np.uint64)
+    by_name = np.argsort(grams)
+    frequent = _Frequent(grams[by_name], hot["n"].to_numpy()[by_name], hot["mass"].to_numpy()[by_name], tables.bitmap(counts.where(~often), "gram"))
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)
+    bits = max(1, (totals.tokens // RANGE_TOKENS).bit_length())
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast((lexicon, known_grams[by_name], known_weights[by_name], tables.bitmap(seldom, "gram")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (lexicon, grams, weight, maybe), row = shared.value, TaskContext.get().partitionId() << 40
-        log_one, known = lexicon.log_p(lexicon.counts), lexicon.counts > 0
-        log_one[[RARE, FIRST]], known[FIRST] = 0.0, False
-        for batch in batches:
-            data, offsets = spans.flat(batch.column(1))
-            for first, last, part, at in spans.slices(data, offsets):
-                names, whole, bounds = _names(part, at, order)
-                texts = last - first
-                owner = np.repeat(np.arange(texts), np.diff(bounds))
-                numbers = lexicon.numbers(names[0])
-                numbers[bounds[:-1]], numbers[bounds[1:] - 1] = FIRST, END
-                base, more = np.bincount(owner, log_one[numbers], texts), np.zeros(texts)
-                of_gram, asked = [], []
-                for name, fine in zip(names, whole, strict=True):
-                    place = np.flatnonzero(fine)
-                    name = name[place]
-                    there = np.zeros(len(name), bool)
-                    if len(grams):
-                        found = np.minimum(np.searchsorted(grams, name), len(grams) - 1)
-                        there = grams[found] == name
-                        more += np.bincount(owner[place[there]], weight[found[there]], texts)
-                    there = ~there & tables.has_bit(maybe, name)
-                    of_gram.append(owner[place[there]])
-                    asked.append(name[there])
-                rare = np.flatnonzero(numbers == RARE)
-                columns = [pa.array(np.arange(row, row + texts)), pa.array(np.diff(bounds) - 1), pa.array(np.bincount(owner, known[numbers], texts).astype(np.int64)), pa.array(base), pa.array(base + more)]
-                lists = _lists(owner[rare], names[0][rare], texts), _lists(np.concatenate(of_gram), np.concatenate(asked), texts)
-                row += texts
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, texts), *columns, *lists], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare", "grams"])
-
-    scored = tables.kept(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, rare array<long>, grams array<long>"), "scored")
-    log_p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(lexicon.tokens + 0.1 * (lexicon.distinct + 1)))
-    more = scored.select("row", F.explode("rare").alias("word")).join(words.where(F.col("n") < max(1.0, lexicon_share * lexicon.tokens)), "word", "left").groupBy("row").agg(
-        F.sum(log_p).alias("more"), F.count("n").alias("more_known")
-    )
-    joined = scored.select("row", F.explode("grams").alias("gram")).join(seldom, "gram").groupBy("row").agg(F.sum("weight").alias("weights"))
-    plus = F.coalesce("more", F.lit(0.0))
-    return scored.drop("rare", "grams").join(more, "row", "left").join(joined, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + plus).alias("base_score"), (F.col("score") + plus + F.coalesce("weights", F.lit(0.0))).alias("score"),
-    )
-
-
-def _lists(owner: np.ndarray, names: np.ndarray, texts: int) -> pa.Array:
-    """The names of each text as one list."""
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=texts))])
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(names[np.argsort(owner, kind="stable")].view(np.int64)))
+    def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, answers = texts.combine_chunks(), answers.sort_by("range")
+        data, offsets = spans.flat(texts["text"].combine_chunks())
+        names, whole, bounds = _names(data, offsets, order)
+        asked = shared.value.wanted(names, whole)
+        counts = np.frombuffer(b"".join(answers["counts"].to_pylist()), np.int64)
+        masses = np.frombuffer(b"".join(answers["masses"].to_pylist()), np.float64)
+
+        def facts(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            count, mass = np.zeros(len(grams), np.int64), np.zeros(len(grams))
+            for known, n, m in ((shared.value.grams, shared.value.counts, shared.value.masses), (asked, counts, masses)):
+                at, there = _find(known, grams)
+                count[there], mass[there] = n[at[there]], m[at[there]]
+            return count, mass
+
+        machine = Automaton(names, whole, facts, totals, least)
+        sums = [np.zeros(texts.num_rows), np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows)]
+        for k, (first, last) in enumerate(zip(bounds[:-1] + 1, bounds[1:], strict=True)):
+            words = machine.numbers[first:last]
+            sums[0][k], sums[1][k], sums[2][k] = machine.log_one[words].sum(), machine.known[words].sum(), machine.score(words.tolist())
+        return pa.table({"doc_id": texts["doc_id"], "n_tokens": np.diff(bounds) - 1, "n_known": sums[1], "train_tokens": np.full(texts.num_rows, totals.tokens), "base_score": sums[0], "score": sums[2]})
+
+    parts = _split(rows, shared, order, bits)
+    states = counts.where(~often).select("gram", "n", F.lit(0.0).alias("mass")).unionByName(mass.select("gram", F.lit(0).cast("long").alias("n"), "mass"))
+    ranged = states.select(F.shiftrightunsigned("gram", 64 - bits).alias("range"), "gram", "n", "mass")
+    asked = parts.where("grams IS NOT NULL").select("slice", "range", "grams")
+    answers = tables.kept(asked.groupBy("range").cogroup(ranged.groupBy("range")).applyInArrow(_answer, "slice long, range long, counts binary, masses binary"), "answers")
+    texts = parts.where("grams IS NULL").select("slice", "doc_id", "text")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(walk, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

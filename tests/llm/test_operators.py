@@ -261,19 +261,23 @@ def test_language_model(documents, awkward, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n) and math.isclose(r.base_score, base, rel_tol=1e-9)
     assert lm.score(empty, training).count() == 0
     assert {(r.base_score, r.train_tokens) for r in lm.score(awkward, empty).collect()} == {(0.0, 0)}
-    _, machine = lm._fit(training.select("text"), 3, 1e-6, 1e-4)
+    totals, grams, masses = lm._model(training.select("text"), 3, 2)
+    known, mass = ({r.gram & 2**64 - 1: r[1] for r in rows.collect()} for rows in (grams, masses))
+    names, whole, _ = lm._names(*spans.flat(pa.array([r.text for r in training.collect()])), 3)
+    machine = lm.Automaton(names, whole, lambda g: (np.array([known.get(x, 0) for x in g.tolist()]), np.array([mass.get(x, 0.0) for x in g.tolist()])), totals, 2)
     assert len(machine.fail) > 10
-    shown = [k for k in range(len(machine.lexicon.counts)) if k not in (lm.RARE, lm.FIRST)]
+    before = int(machine.numbers[0])
+    shown = [k for k in range(len(machine.ones)) if k != before]
     unseen = 0.1 / (n + 0.1 * (v + 1))
     for state in [0, machine.start, *range(1, len(machine.fail), max(1, len(machine.fail) // 20))]:
-        total, weight, at = 0.0, 1.0, state
+        weight, at = 1.0, state
         arcs: dict[int, float] = {}
         while at:
             arcs = {k & 0xFFFFFFFF: 10 ** a[0] * weight for k, a in machine.arcs.items() if k >> 32 == at} | arcs
             weight *= 10 ** machine.fail[at][0]
             at = machine.fail[at][1]
+        # an arc's weight is the whole probability: what it has from shorter histories is in it
         total = sum(arcs.get(w, 10 ** machine.ones[w] * weight) for w in shown) + unseen * weight
-        total += weight * sum((c + 0.1) / (n + 0.1 * (v + 1)) for c in counts.values() if c < max(1, 1e-6 * n))
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
