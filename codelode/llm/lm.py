@@ -63,66 +63,64 @@ class Totals(NamedTuple):
 
 
 class Automaton:
-    """The states and arcs that the words of some texts can meet; state 0 is the empty history.
+    """The states and arcs that the words of some texts meet, by position.
 
-    ``names`` and ``whole`` are those of :func:`_names`.  ``numbers`` are the words by
-    position, numbered within these texts.
+    ``names`` and ``whole`` are those of :func:`_names`.  The history of k words that ends at
+    a position is one state, told by its length; ``arcs[k]`` has for each position the weight
+    of the arc from the k words before it to its word, NaN where there is none; ``fails[k]``
+    the weight of the failure arc of the k words that end there; ``ones`` the weight of the
+    word itself from the empty history.
     """
 
     def __init__(self, names: list[np.ndarray], whole: list[np.ndarray], facts: Facts, totals: Totals, least: int):
-        grams, self.numbers = np.unique(names[0], return_inverse=True)
+        size_of_all = len(names[0])
+        grams, of_place = np.unique(names[0], return_inverse=True)
         count, mass = facts(grams)
-        self.known = count > 0
         p = (count + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1))
-        self.log_one = np.log10(p)
-        kept = count >= least
-        state = np.where(kept, np.cumsum(kept), 0)
-        back = np.maximum(1e-12, 1 - mass / np.maximum(count, 1))
-        self.ones, self.after = self.log_one.tolist(), state.tolist()
-        fail_weights, fail_states = [np.zeros(1), np.log10(back[kept])], [np.zeros(1 + kept.sum(), np.int64)]
-        self.start = int(state[np.searchsorted(grams, np.uint64(FIRST_NAME))])
-        self.arcs: dict[int, tuple[float, int]] = {}
-        of_place, states = self.numbers, 1 + int(kept.sum())
+        self.known, self.log_one = (count > 0)[of_place], np.log10(p)[of_place]
+        self.ones, self.lasting = self.log_one.tolist(), (count >= least)[of_place].astype(int).tolist()
+        self.arcs: list[list[float]] = [[]]
+        self.fails: list[list[float]] = [[]]
         for size in range(2, len(names) + 1):
+            back = np.maximum(1e-12, 1 - mass / np.maximum(count, 1))
+            weights = np.zeros(size_of_all)
+            ends = np.arange(size_of_all) if size == 2 else place + size - 2
+            weights[ends] = np.log10(back)[of_place]
+            self.fails.append(weights.tolist())
             place = np.flatnonzero(whole[size - 1])
             gram, first, inverse = np.unique(names[size - 1][place], return_index=True, return_inverse=True)
             longer, longer_mass = facts(gram)
             fine = longer >= least
+            row = np.zeros(size_of_all, np.int64)
+            row[ends - size + 2] = of_place
             at = place[first[fine]]
-            left, right, word = of_place[at], of_place[at + 1], self.numbers[at + size - 1]
-            own = np.zeros(len(gram))
+            left, right = row[at], row[at + 1]
+            own = np.full(len(gram), np.nan)
             own[fine] = (longer[fine] - DISCOUNT) / count[left] + back[left] * p[right]
-            if size < len(names):
-                reached = np.where(fine, states - 1 + np.cumsum(fine), 0)
-                goal = reached[fine]
-            else:
-                goal = state[right]
-            self.arcs.update(zip((state[left] << 32 | word).tolist(), zip(np.log10(own[fine]).tolist(), goal.tolist(), strict=True), strict=True))
-            if size == len(names):
-                break
-            fail_states.append(state[right])
-            states += int(fine.sum())
-            of_place = np.zeros(len(names[0]), np.int64)
-            of_place[place] = inverse
-            count, state, p = longer, reached, own
-            back = np.maximum(1e-12, 1 - longer_mass / np.maximum(longer, 1))
-            fail_weights.append(np.log10(back[fine]))
-        self.fail = list(zip(np.concatenate(fail_weights).tolist(), np.concatenate(fail_states).tolist(), strict=True))
-
-    def score(self, words: list[int]) -> float:
-        """Log10 probability of the words that follow the mark before a text, its end included."""
-        arcs, fail, ones, after, state, total = self.arcs.get, self.fail, self.ones, self.after, self.start, 0.0
-        for word in words:
-            while state:
-                if arc := arcs(state << 32 | word):
-                    total += arc[0]
-                    state = arc[1]
+            weights = np.full(size_of_all, np.nan)
+            weights[place + size - 1] = np.log10(own)[inverse]
+            self.arcs.append(weights.tolist())
+            count, mass, p, of_place = longer, longer_mass, own, inverse
+
+    def walk(self, first: int, last: int) -> float:
+        """Log10 probability of the words from ``first`` to before ``last``; the mark of the
+        beginning stands before ``first``.  One walk from left to right that carries the state."""
+        ones, lasting, arcs, fails = self.ones, self.lasting, self.arcs, self.fails
+        longest, total = len(arcs) - 1, 0.0
+        length = min(lasting[first - 1], longest)
+        for at in range(first, last):
+            while length:
+                weight = arcs[length][at]
+                if weight == weight:
+                    total += weight
+                    if length < longest:
+                        length += 1
                     break
-                weight, state = fail[state]
-                total += weight
+                total += fails[length][at - 1]
+                length -= 1
             else:
-                total += ones[word]
-                state = after[word]
+                total += ones[at]
+                length = lasting[at] if longest else 0
         return total
 
 
@@ -163,9 +161,12 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return spans.mix(left * np.uint64(0xD1342543DE82EF95) + spans.mix(right + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int) -> DataFrame:
+def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int, bits: int) -> DataFrame:
     """(gram, left, n): all n-grams of ``size`` words with a count of at least ``least``, and
-    their histories; ``parts`` is a bitmap of the kept ones of one word less."""
+    their histories; ``parts`` is a bitmap of the kept ones of one word less.
+
+    A slice sends its distinct n-grams as one block for each range of hashes, histories side
+    by side so that they compress; a range holds about ``RANGE_TOKENS`` n-grams at most."""
     shared = training.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +182,31 @@ def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int) -> Dat
                     held[1].append(names[-2][at_gram])
                 gram, left = map(np.concatenate, held)
                 gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(left[first].view(np.int64)), pa.array(n, pa.int64())], ["gram", "left", "n"])
+                left, ranges = left[first], (gram >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.lexsort((left, ranges))
+                cuts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
+                blocks = [_blocks(values[order], cuts) for values in (gram, left, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[order[cuts]]), *blocks], ["range", "grams", "lefts", "counts"])
+
+    def merge(blocks: pa.Table) -> pa.Table:
+        gram, left, n = (np.frombuffer(b"".join(blocks[c].to_pylist()), np.int64) for c in ("grams", "lefts", "counts"))
+        gram, first, row = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(row, n).astype(np.int64)
+        kept = n >= least
+        return pa.table({"gram": gram[kept], "left": left[first[kept]], "n": n[kept]})
+
+    sent = training.mapInArrow(run, "range long, grams binary, lefts binary, counts binary")
+    return tables.kept(sent.groupBy("range").applyInArrow(merge, "gram long, left long, n long"), "grams")
+
+
+def _blocks(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values as bytes, each up to the next cut."""
+    return pa.array([b.tobytes() for b in np.split(values, cuts[1:])] if len(cuts) else [], pa.binary())
 
-    counted = training.mapInArrow(run, "gram long, left long, n long").groupBy("gram", "left").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return tables.kept(counted, "grams")
+
+def _range_bits(totals: Totals) -> int:
+    """Ranges of hashes are named by so many leading bits."""
+    return max(1, (totals.tokens // RANGE_TOKENS).bit_length())
 
 
 def _model(training: DataFrame, order: int, least: int) -> tuple[Totals, DataFrame, DataFrame]:
@@ -193,18 +215,19 @@ def _model(training: DataFrame, order: int, least: int) -> tuple[Totals, DataFra
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = training.count()
     marks = training.sparkSession.createDataFrame([(int(np.uint64(m).view(np.int64)), texts) for m in (FIRST_NAME, END_NAME)], "gram long, n long")
+    totals = Totals(seen["n"] + texts, seen["v"] + (texts > 0), texts)
     counts, masses = [words.unionByName(marks.where("n > 0"))], []
     parts = tables.bitmap(counts[0].where(F.col("n") >= least), "gram")
     for size in range(2, order + 1):
         if not parts.any():
             break
-        counted = _grams(training, size, parts, least)
+        counted = _grams(training, size, parts, least, _range_bits(totals))
         counts.append(counted.select("gram", "n"))
         masses.append(counted.groupBy(F.col("left").alias("gram")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass")))
         parts = tables.bitmap(counted, "gram")
     none = marks.select("gram", F.lit(0.0).alias("mass")).where("false")
     mass = tables.kept(reduce(DataFrame.unionByName, masses, none), "masses")
-    return Totals(seen["n"] + texts, seen["v"] + (texts > 0), texts), reduce(DataFrame.unionByName, counts), mass
+    return totals, reduce(DataFrame.unionByName, counts), mass
 
 
 class _Frequent(NamedTuple):
@@ -221,8 +244,8 @@ class _Frequent(NamedTuple):
 
     def wanted(self, names: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
         """The distinct n-grams, in order, that must be asked for."""
-        grams = np.unique(np.concatenate([n[w] for n, w in zip(names, whole, strict=True)]))
-        grams = grams[tables.has_bit(self.others, grams)]
+        every = (n[w] for n, w in zip(names, whole, strict=True))
+        grams = np.unique(np.concatenate([n[tables.has_bit(self.others, n)] for n in every]))
         return grams[~self.find(grams)[1]]
 
 
@@ -233,27 +256,56 @@ def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, known[at] == asked
 
 
-def _split(rows: DataFrame, shared, order: int, bits: int) -> DataFrame:
-    """Slices of texts (slice, doc_id, text), and what they ask for (slice, range, grams)."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _slices(rows: DataFrame) -> DataFrame:
+    """(slice, texts): runs of rows with a few megabytes of text, one compressed blob each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = spans.flat(batch.column(1))
-            for first, last, part, at in spans.slices(data, offsets, WALK_BYTES):
-                names, whole, _ = _names(part, at, order)
+            for part in spans.row_slices(batch, "text", WALK_BYTES):
+                blob = pa.BufferOutputStream()
+                with pa.ipc.new_stream(blob, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([blob.getvalue().to_pybytes()], pa.binary())], ["slice", "texts"])
+                number += 1
+
+    return tables.kept(rows.mapInArrow(run, "slice long, texts binary"), "slices", {"parquet.block.size": str(WALK_BYTES * 4)})
+
+
+def _texts(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _requests(slices: DataFrame, shared, order: int, bits: int) -> DataFrame:
+    """(slice, range, grams): what slices ask for, by ranges of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names, whole, _ = _names(*spans.flat(_texts(blob.as_buffer()).column(1)), order)
                 grams = shared.value.wanted(names, whole)
                 ranges = (grams >> np.uint64(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
-                blocks = pa.array([b.tobytes() for b in np.split(grams, cuts[1:])] if len(cuts) else [], pa.binary())
-                own, texts = batch.slice(first, last - first), last - first
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(texts, number)), *own.columns, pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.binary())], columns)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), number)), *(pa.nulls(len(cuts), c.type) for c in own.columns), pa.array(ranges[cuts]), blocks], columns)
-                number += 1
+                blocks = pa.array([_packed(b) for b in np.split(grams, cuts[1:])] if len(cuts) else [], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), number)), pa.array(ranges[cuts]), blocks], ["slice", "range", "grams"])
+
+    return slices.mapInArrow(run, "slice long, range long, grams binary")
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """Ascending numbers: the first one, then steps of as many bytes as the largest takes."""
+    steps = np.diff(grams)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + grams[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
 
-    columns = ["slice", "doc_id", "text", "range", "grams"]
-    return tables.kept(rows.mapInArrow(run, f"slice long, doc_id {kind}, text string, range long, grams binary"), "slices")
+def _unpacked(block: bytes) -> np.ndarray:
+    width = block[0]
+    steps = np.frombuffer(block, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[1:, :width] = steps
+    wide[0] = np.frombuffer(block, np.uint8, 8, 1)
+    return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 def _answer(asked: pa.Table, states: pa.Table) -> pa.Table:
@@ -263,7 +315,7 @@ def _answer(asked: pa.Table, states: pa.Table) -> pa.Table:
     mass = np.bincount(row, states["mass"].to_numpy(), len(known))
     counts, masses = [], []
     for block in asked["grams"].to_pylist():
-        at, there = _find(known, np.frombuffer(block, np.uint64))
+        at, there = _find(known, _unpacked(block))
         counts.append((count[at] * there if len(known) else np.zeros(len(at), np.int64)).tobytes())
         masses.append((mass[at] * there if len(known) else np.zeros(len(at))).tobytes())
     return pa.table({"slice": asked["slice"], "range": asked["range"], "counts": pa.array(counts, pa.binary()), "masses": pa.array(masses, pa.binary())})
@@ -283,13 +335,13 @@ def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon
     by_name = np.argsort(grams)
     frequent = _Frequent(grams[by_name], hot["n"].to_numpy()[by_name], hot["mass"].to_numpy()[by_name], tables.bitmap(counts.where(~often), "gram"))
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
-    bits = max(1, (totals.tokens // RANGE_TOKENS).bit_length())
+    bits = _range_bits(totals)
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, answers = texts.combine_chunks(), answers.sort_by("range")
-        data, offsets = spans.flat(texts["text"].combine_chunks())
+        texts, answers = _texts(texts["texts"][0].as_buffer()), answers.sort_by("range")
+        data, offsets = spans.flat(texts.column(1))
         names, whole, bounds = _names(data, offsets, order)
         asked = shared.value.wanted(names, whole)
         counts = np.frombuffer(b"".join(answers["counts"].to_pylist()), np.int64)
@@ -305,14 +357,12 @@ def score(documents: DataFrame, training: DataFrame, order: int = ORDER, lexicon
         machine = Automaton(names, whole, facts, totals, least)
         sums = [np.zeros(texts.num_rows), np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows)]
         for k, (first, last) in enumerate(zip(bounds[:-1] + 1, bounds[1:], strict=True)):
-            words = machine.numbers[first:last]
-            sums[0][k], sums[1][k], sums[2][k] = machine.log_one[words].sum(), machine.known[words].sum(), machine.score(words.tolist())
-        return pa.table({"doc_id": texts["doc_id"], "n_tokens": np.diff(bounds) - 1, "n_known": sums[1], "train_tokens": np.full(texts.num_rows, totals.tokens), "base_score": sums[0], "score": sums[2]})
+            sums[0][k], sums[1][k], sums[2][k] = machine.log_one[first:last].sum(), machine.known[first:last].sum(), machine.walk(int(first), int(last))
+        return pa.table({"doc_id": texts.column(0), "n_tokens": np.diff(bounds) - 1, "n_known": sums[1], "train_tokens": np.full(texts.num_rows, totals.tokens), "base_score": sums[0], "score": sums[2]})
 
-    parts = _split(rows, shared, order, bits)
+    slices = _slices(rows)
     states = counts.where(~often).select("gram", "n", F.lit(0.0).alias("mass")).unionByName(mass.select("gram", F.lit(0).cast("long").alias("n"), "mass"))
     ranged = states.select(F.shiftrightunsigned("gram", 64 - bits).alias("range"), "gram", "n", "mass")
-    asked = parts.where("grams IS NOT NULL").select("slice", "range", "grams")
+    asked = _requests(slices, shared, order, bits)
     answers = tables.kept(asked.groupBy("range").cogroup(ranged.groupBy("range")).applyInArrow(_answer, "slice long, range long, counts binary, masses binary"), "answers")
-    texts = parts.where("grams IS NULL").select("slice", "doc_id", "text")
-    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(walk, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(walk, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -16,7 +16,7 @@ BITMAP_BITS = 26
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(frame: DataFrame, purpose: str) -> DataFrame:
+def kept(frame: DataFrame, purpose: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows written to the shared folder and read again: lost executors lose nothing.
 
     The shuffle files that led to them go as soon as they are written, and what Spark sent
@@ -26,7 +26,7 @@ def kept(frame: DataFrame, purpose: str) -> DataFrame:
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        frame.write.parquet(folder)
+        frame.write.options(**(options or {})).parquet(folder)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     gc.collect()

@@ -263,24 +263,30 @@ def test_language_model(documents, awkward, empty):
     assert {(r.base_score, r.train_tokens) for r in lm.score(awkward, empty).collect()} == {(0.0, 0)}
     totals, grams, masses = lm._model(training.select("text"), 3, 2)
     known, mass = ({r.gram & 2**64 - 1: r[1] for r in rows.collect()} for rows in (grams, masses))
-    names, whole, _ = lm._names(*spans.flat(pa.array([r.text for r in training.collect()])), 3)
-    machine = lm.Automaton(names, whole, lambda g: (np.array([known.get(x, 0) for x in g.tolist()]), np.array([mass.get(x, 0.0) for x in g.tolist()])), totals, 2)
-    assert len(machine.fail) > 10
-    before = int(machine.numbers[0])
-    shown = [k for k in range(len(machine.ones)) if k != before]
-    unseen = 0.1 / (n + 0.1 * (v + 1))
-    for state in [0, machine.start, *range(1, len(machine.fail), max(1, len(machine.fail) // 20))]:
-        weight, at = 1.0, state
-        arcs: dict[int, float] = {}
-        while at:
-            arcs = {k & 0xFFFFFFFF: 10 ** a[0] * weight for k, a in machine.arcs.items() if k >> 32 == at} | arcs
-            weight *= 10 ** machine.fail[at][0]
-            at = machine.fail[at][1]
-        # an arc's weight is the whole probability: what it has from shorter histories is in it
-        total = sum(arcs.get(w, 10 ** machine.ones[w] * weight) for w in shown) + unseen * weight
+
+    def facts(grams):
+        return np.array([known.get(x, 0) for x in grams.tolist()], np.int64), np.array([mass.get(x, 0.0) for x in grams.tolist()])
+
+    # after any history the probabilities of all words, of the end and of an unseen word add up to 1
+    vocabulary = sorted(counts.keys() - {"</s>"})
+    for history in ([], texts[0][:1], texts[0][:2], texts[1][:7], texts[2][3:5], ["never", "seen"], [texts[0][0], "never"]):
+        lists = [[*history, w] for w in [*vocabulary, "\x01unseen"]]
+        names, whole, bounds = lm._names(*spans.flat(pa.array(map(" ".join, [*lists, history]))), 3)
+        machine = lm.Automaton(names, whole, facts, totals, 2)
+        before = machine.walk(1, 1 + len(history))
+        total = sum(10 ** (machine.walk(int(a) + 1, int(b) - 1) - before) for a, b in zip(bounds[:-2], bounds[1:-1], strict=True))
+        total += 10 ** (machine.walk(int(bounds[-2]) + 1, int(bounds[-1])) - before)
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+def test_steps_of_hashes():
+    rng = np.random.default_rng(5)
+    for grams in ([7], [0, 1, 2**64 - 1], [], rng.integers(0, 2**63, 1000).tolist(), range(5)):
+        if len(grams):
+            grams = np.unique(np.array(grams, np.uint64))
+            assert (lm._unpacked(lm._packed(grams)) == grams).all()
+
+
 @pytest.mark.parametrize("share", [1e-6, 1e-3])
 def test_language_model_keeps_every_ngram_seen_twice(spark, documents, awkward, share):
     # 210,000 tokens, so that a share of 1e-5 would ask for three occurrences
