@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.session import work_folder
@@ -34,6 +35,17 @@ def kept(frame: DataFrame, purpose: str, options: dict[str, str] | None = None)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go as soon as each is done."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bit for the top ``bits`` bits of every 64-bit key: 8 MB for 26 bits, whatever the data.
 
