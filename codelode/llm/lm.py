@@ -74,7 +74,8 @@ class Automaton:
 
     def __init__(self, names: list[np.ndarray], whole: list[np.ndarray], facts: Facts, totals: Totals, least: int):
         size_of_all = len(names[0])
-        grams, of_place = np.unique(names[0], return_inverse=True)
+        grams, order, runs = _distinct(names[0])
+        of_place = _ranks(order, runs)
         count, mass = facts(grams)
         p = (count + 0.1) / (totals.tokens + 0.1 * (totals.distinct + 1))
         self.known, self.log_one = (count > 0)[of_place], np.log10(p)[of_place]
@@ -88,7 +89,8 @@ class Automaton:
             weights[ends] = np.log10(back)[of_place]
             self.fails.append(weights.tolist())
             place = np.flatnonzero(whole[size - 1])
-            gram, first, inverse = np.unique(names[size - 1][place], return_index=True, return_inverse=True)
+            gram, order, runs = _distinct(names[size - 1][place])
+            first, inverse = order[runs[:-1]], _ranks(order, runs)
             longer, longer_mass = facts(gram)
             fine = longer >= least
             row = np.zeros(size_of_all, np.int64)
@@ -181,8 +183,8 @@ def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int, bits:
                     held[0].append(names[-1][at_gram])
                     held[1].append(names[-2][at_gram])
                 gram, left = map(np.concatenate, held)
-                gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-                left, ranges = left[first], (gram >> np.uint64(64 - bits)).astype(np.int64)
+                gram, places, runs = _distinct(gram)
+                n, left, ranges = np.diff(runs), left[places[runs[:-1]]], (gram >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.lexsort((left, ranges))
                 cuts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
                 blocks = [_blocks(values[order], cuts) for values in (gram, left, n)]
@@ -190,10 +192,10 @@ def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int, bits:
 
     def merge(blocks: pa.Table) -> pa.Table:
         gram, left, n = (np.frombuffer(b"".join(blocks[c].to_pylist()), np.int64) for c in ("grams", "lefts", "counts"))
-        gram, first, row = np.unique(gram, return_index=True, return_inverse=True)
-        n = np.bincount(row, n).astype(np.int64)
+        gram, places, runs = _distinct(gram)
+        n = np.diff(np.append(0, np.cumsum(n[places]))[runs])
         kept = n >= least
-        return pa.table({"gram": gram[kept], "left": left[first[kept]], "n": n[kept]})
+        return pa.table({"gram": gram[kept], "left": left[places[runs[:-1]][kept]], "n": n[kept]})
 
     sent = training.mapInArrow(run, "range long, grams binary, lefts binary, counts binary")
     return tables.kept(sent.groupBy("range").applyInArrow(merge, "gram long, left long, n long"), "grams")
@@ -224,7 +226,8 @@ def _model(training: DataFrame, order: int, least: int) -> tuple[Totals, DataFra
         counted = _grams(training, size, parts, least, _range_bits(totals))
         counts.append(counted.select("gram", "n"))
         masses.append(counted.groupBy(F.col("left").alias("gram")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass")))
-        parts = tables.bitmap(counted, "gram")
+        if size < order:
+            parts = tables.bitmap(counted, "gram")
     none = marks.select("gram", F.lit(0.0).alias("mass")).where("false")
     mass = tables.kept(reduce(DataFrame.unionByName, masses, none), "masses")
     return totals, reduce(DataFrame.unionByName, counts), mass
@@ -250,6 +253,21 @@ class _Frequent(NamedTuple):
         return grams[~self.find(grams)[1]]
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the places of all values in order, and where each value's run of places begins."""
+    order = np.argsort(values)  # not stable: any place will do, and that is faster than np.unique
+    ordered = values[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+    return ordered[starts], order, np.append(starts, len(values))
+
+
+def _ranks(order: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+    return ranks
+
+
 def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(known):
         return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
