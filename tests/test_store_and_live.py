@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from codelode.plans.index_flow import IndexConfig
 from codelode.service import open_session
 from codelode.session import work_folder
@@ -261,3 +262,10 @@ def test_levels_of_states(spark, tmp_path):
     assert len(kept.segments()) == 1 and now(kept.manifest()).keys() == want.keys()
     kept.clear()
     assert kept.segments() == [] and kept.manifest().count() == 0
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"text {k}", "en", "s", 6) for k in range(6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry_point.queries()["stream_index"](spark, str(tmp_path))
+    assert sorted(r.filename for r in found.collect()) == [f"doc_{k}.en" for k in range(6)]

@@ -128,7 +128,8 @@ def stream_index(spark, sf_dir):
     """A stream of documents indexed into a store, one run per micro-batch."""
     schema = table(spark, sf_dir, "documents").schema
     stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+        # A pattern, since a stream takes a plain path for a folder: the table is one file or a folder of files.
+        spark.readStream.schema(schema).parquet(f"{sf_dir}/documents[.]parquet")
         .select(
             F.concat(F.lit("doc_"), "doc_id", F.lit("."), "lang").alias("filename"),
             F.col("text").alias("content"), F.col("source").alias("source_name"), F.col("lang").alias("language"),
