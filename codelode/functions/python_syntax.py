@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codelode.functions.lists import grouped, structs_of
+
 # --- Fixed values: syntax class -> node kind ---------------------------------
 NODE_KINDS = {
     "If": "if_statement", "IfExp": "conditional_expression", "For": "for_statement",
@@ -22,12 +24,23 @@ NODE_KINDS = {
     "GeneratorExp": "generator_expression", "FunctionDef": "function_definition",
     "AsyncFunctionDef": "async_function_definition", "ClassDef": "class_definition",
 }
+_KIND_OF = {getattr(ast, n): kind for n, kind in NODE_KINDS.items()}
+_DECLARED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+# Nothing is told about these or about what is below them.
+_PLAIN = frozenset(
+    {ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal}
+    | {c for base in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop) for c in base.__subclasses__()}
+)
 _TEXTS = pa.list_(pa.string())
-_ARROW = pa.list_(pa.struct([
-    ("kind", pa.string()), ("place", pa.int32()), ("size", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()),
-    ("returns", pa.string()), ("doc", pa.string()), ("decorators", _TEXTS), ("bases", _TEXTS),
-    ("parameters", pa.list_(pa.struct([("name", pa.string()), ("type_annotation", pa.string()), ("default", pa.string())]))),
-]))
+_PARAMETERS = [pa.field(n, pa.string()) for n in ("name", "type_annotation", "default")]
+_FIELDS = [
+    pa.field("kind", pa.string()), *[pa.field(n, pa.int32()) for n in ("place", "size", "depth")],
+    pa.field("name", pa.string()), pa.field("owner", pa.string()), pa.field("line", pa.int32()), pa.field("end_line", pa.int32()),
+    pa.field("returns", pa.string()), pa.field("doc", pa.string()), pa.field("decorators", _TEXTS), pa.field("bases", _TEXTS),
+    pa.field("parameters", pa.list_(pa.struct(_PARAMETERS))),
+]
+# Nodes are held as objects for so many texts at a time.
+TEXTS_AT_ONCE = 64
 _SQL = (
     "array<struct<kind:string,place:int,size:int,depth:int,name:string,owner:string,line:int,end_line:int,returns:string,doc:string,"
     "decorators:array<string>,bases:array<string>,parameters:array<struct<name:string,type_annotation:string,default:string>>>>"
@@ -35,7 +48,11 @@ _SQL = (
 
 
 def _text(node: ast.expr | None) -> str | None:
-    return None if node is None else node.id if isinstance(node, ast.Name) else ast.unparse(node)
+    if node is None or isinstance(node, ast.Name):
+        return node and node.id
+    if isinstance(node, ast.Constant) and type(node.value) in (int, bool, type(None)):
+        return repr(node.value)
+    return ast.unparse(node)
 
 
 def _declaration(node: ast.AST) -> dict:
@@ -46,10 +63,21 @@ def _declaration(node: ast.AST) -> dict:
         return told | {"bases": [_text(b) for b in node.bases]}
     plain, given = node.args.args, node.args.defaults
     values = dict(zip(reversed(plain), reversed(given), strict=False))  # defaults belong to the last ones
-    told["parameters"] = [{"name": a.arg, "type_annotation": _text(a.annotation), "default": _text(values.get(a))} for a in plain]
+    told["parameters"] = [(a.arg, _text(a.annotation), _text(values.get(a))) for a in plain]
     return told | {"returns": _text(node.returns)}
 
 
+def _below(node: ast.AST) -> list[ast.AST]:
+    """The children of a node in the order of the text, without plain ones."""
+    found = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        for child in value if isinstance(value, list) else (value,):
+            if isinstance(child, ast.AST) and type(child) not in _PLAIN:
+                found.append(child)
+    return found
+
+
 def _sizes(found: list[dict]) -> None:
     """Place and number of nodes below each, from the depths in the order of the text."""
     open_nodes: list[dict] = []
@@ -72,8 +100,8 @@ def _nodes(code: str | None) -> list[dict] | None:
         todo: list[tuple[ast.AST, str | None, int]] = [(tree, None, 0)]
         while todo:  # in the order of the text, without recursion
             node, owner, depth = todo.pop()
-            kind, before = NODE_KINDS.get(type(node).__name__), len(found)
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            kind, before = _KIND_OF.get(type(node)), len(found)
+            if isinstance(node, _DECLARED):
                 found.append({"kind": kind, "owner": owner} | _declaration(node))
             elif kind:
                 found.append({"kind": kind})
@@ -86,19 +114,29 @@ def _nodes(code: str | None) -> list[dict] | None:
             for one in found[before:]:
                 one["depth"] = depth + 1
             inside = node.name if isinstance(node, ast.ClassDef) else owner
-            todo += [(child, inside, depth + bool(kind)) for child in reversed(list(ast.iter_child_nodes(node)))]
+            todo += [(child, inside, depth + bool(kind)) for child in reversed(_below(node))]
         _sizes(found)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     return found
 
 
+def _array(rows: list[list[dict] | None]) -> pa.Array:
+    """The nodes of some texts as an Arrow array, column by column."""
+    flat = [n for row in rows for n in row or ()]
+    columns = [[n.get(f.name) for n in flat] for f in _FIELDS]
+    parameters = structs_of(columns[-1], _PARAMETERS)
+    made = pa.StructArray.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns[:-1], _FIELDS)], parameters], fields=_FIELDS)
+    return grouped(rows, made)
+
+
 def python_nodes(code: Column) -> Column:
     """The nodes of each text, NULL where there are none to be had."""
 
     @F.arrow_udf(_SQL)
     def nodes(texts: pa.Array) -> pa.Array:
-        return pa.array((_nodes(t.as_py()) for t in texts), _ARROW)
+        parts = [_array([_nodes(t) for t in texts.slice(k, TEXTS_AT_ONCE).to_pylist()]) for k in range(0, len(texts), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else _array([])
 
     return nodes(code)
 

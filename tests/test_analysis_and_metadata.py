@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
+from codelode.functions import python_syntax
 from codelode import catalog
 from codelode.functions import metadata, text
 from codelode.operators.analysis import analyze, universal_analysis
@@ -339,3 +341,20 @@ def test_literals_and_comments_are_no_code(spark):
     rows = [("C", 'int main() { puts("("); return 0; }\n'), ("JavaScript", 'function f() { return "async"; }\n'), ("Haskell", "f :: Int\nf = 1\n" + "-- fine :)\n" * 12)]
     for r in analyze(spark.createDataFrame(rows, "language string, code string")).collect():
         assert (r.parse_errors, r.tree_sitter_analyze_error, r.has_async) == (0, False, False)
+
+
+def test_python_text_is_parsed_once_and_after_the_rows_are_dealt_out(spark):
+    plan = entry_point.queries()["python_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt_out = plan.index("REPARTITION_BY_NUM")
+    assert plan.count("ArrowEvalPython [") == 1 and plan.index("ArrowEvalPython [") < dealt_out
+
+
+def test_nodes_as_arrow_columns():
+    texts = [None, "def f(:", "", "class A(B):\n    def g(self, a: int, b=-1, c=None, *d, e=2): return lambda: [x for x in a]\n"] * 50
+    found = python_syntax._array([python_syntax._nodes(t) for t in texts]).to_pylist()
+    assert [r is None for r in found[:4]] == [True, True, False, False] and found[:4] == found[-4:]
+    assert [n["kind"] for n in found[3]] == ["module", "class_definition", "function_definition", "lambda", "list_comprehension"]
+    assert found[3][2]["parameters"] == [
+        {"name": "self", "type_annotation": None, "default": None}, {"name": "a", "type_annotation": "int", "default": None},
+        {"name": "b", "type_annotation": None, "default": "-1"}, {"name": "c", "type_annotation": None, "default": "None"},
+    ]

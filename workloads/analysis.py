@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codelode.functions import metadata, text
+from codelode.functions.let import unnest
 from codelode.operators.analysis import analyze, precision_recall, roll_up
 from codelode.operators import records
 from codelode.operators.chunking import fixed_lines
@@ -105,9 +106,9 @@ def python_details(spark, sf_dir):
         "array<struct<name:string,type:string,parameters:array<struct<name:string,default:string>>>>",
     )
     classes = F.from_json("class_details", "array<struct<name:string,bases:array<string>,docstring:string>>")
-    read = rows.filter(F.col("analysis_method") == "python_code_analyzer").select(
-        "filename", functions.alias("f"), classes.alias("c")
-    )
+    # A plain filter would go below the dealing out of the rows and parse every text there, in one task, and then again.
+    parsed = F.when(F.col("analysis_method") == "python_code_analyzer", F.array(F.struct(functions.alias("f"), classes.alias("c"))))
+    read = unnest(rows, ["filename"], parsed)
     return read.select(
         "filename",
         F.size("f").cast("bigint").alias("detailed"),

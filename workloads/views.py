@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.functions.let import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -135,16 +137,14 @@ DAMAGED_FROM = 40
 DAMAGE = "def broken_{id}(:\n"
 
 
-def _fill(text: Column, i: Column | None = None) -> Column:
+def _fill(text: Column) -> Column:
     values = {"{id}": F.col("p_partkey"), "{name}": F.col("p_name"), "{size}": F.col("p_size")}
-    if i is not None:
-        values["{i}"] = i
     for mark, value in values.items():
         text = F.replace(text, F.lit(mark), value.cast("string"))
     return text
 
 
-PARTS_PER_TASK = 256
+PARTS_PER_TASK = 1024
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,21 +158,22 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             rule = rule.when(language == name, F.lit(parts[position]))
         return rule
 
-    # One fill for head and tail, one per function for the body.
-    body = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: _fill(F.col("_body"), i))
+    # One fill for head, body and tail; per function only its number is put in.
+    numbers = F.sequence(F.lit(1), F.col("p_size"))
+    body = let(_fill(pick(2)), lambda one: F.array_join(F.transform(numbers, lambda i: F.replace(one, F.lit("{i}"), i.cast("string"))), ""))
     damage = F.when((language == "Python") & (F.col("p_size") >= DAMAGED_FROM), DAMAGE).otherwise("")
     # The narrow rows are dealt out before the texts are made: one row group is read by one task.
     parts = table(spark, sf_dir, "part")
     parts = parts.repartition(max(1, -(-parts.count() // PARTS_PER_TASK)), "p_partkey")
     return (
         parts
-        .withColumns({"language": language, "_body": pick(2)})
+        .withColumn("language", language)
         .select(
             F.concat(
                 F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/part_"),
                 "p_partkey", F.lit("."), pick(0),
             ).alias("filename"),
-            F.concat(_fill(pick(1)), F.array_join(body, ""), _fill(F.concat(pick(3), damage))).alias("content"),
+            F.concat(_fill(pick(1)), body, _fill(F.concat(pick(3), damage))).alias("content"),
             F.lit("parts").alias("source_name"),
             "language", "p_partkey", "p_size",
         )
