@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codelode.functions.lists import lists_of, rows_of, structs_of
+
 _SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
-_ARROW_SPAN = pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")])
+_SPAN_FIELDS = [pa.field(n, pa.int32()) for n in ("first", "last", "start", "end")]
 
 
 def _pack(sizes, levels, breaks, limit, least, overlap, every):
@@ -63,10 +65,8 @@ def _pack_rows(
     sizes: pa.Array, levels: pa.Array, breaks: pa.Array,
     limit: pa.Array, least: pa.Array, overlap: pa.Array, every: pa.Array,
 ) -> pa.Array:
-    rows = zip(*(c.to_pylist() for c in (sizes, levels, breaks, limit, least, overlap, every)))
-    names = _ARROW_SPAN.names
-    packed = [None if r[0] is None else [dict(zip(names, s)) for s in _pack(*r)] for r in rows]
-    return pa.array(packed, pa.list_(_ARROW_SPAN))
+    rows = zip(*(rows_of(c) for c in (sizes, levels, breaks)), *(c.to_pylist() for c in (limit, least, overlap, every)))
+    return structs_of([None if r[0] is None else _pack(*r) for r in rows], _SPAN_FIELDS)
 
 
 def pack(sizes, levels, breaks, limit, least, overlap, every) -> Column:
@@ -92,9 +92,7 @@ def _merge_rows(
     sizes: pa.Array, starts: pa.Array, ends: pa.Array, categories: pa.Array, limit: pa.Array
 ) -> pa.Array:
     out = []
-    for size, start, end, kind, most in zip(
-        *(c.to_pylist() for c in (sizes, starts, ends, categories, limit))
-    ):
+    for size, start, end, kind, most in zip(*map(rows_of, (sizes, starts, ends)), categories.to_pylist(), limit.to_pylist()):
         if size is None:
             out.append(None)
             continue
@@ -102,13 +100,13 @@ def _merge_rows(
         for i in range(len(size)):
             joined = length + size[i]
             if runs and joined <= most and kind[i] == kind[i - 1] and end[i - 1] == start[i]:
-                runs[-1]["last"] = i + 1
+                runs[-1] = (runs[-1][0], i + 1)
                 length = joined + 1
             else:
-                runs.append({"first": i + 1, "last": i + 1})
+                runs.append((i + 1, i + 1))
                 length = size[i]
         out.append(runs)
-    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+    return structs_of(out, _SPAN_FIELDS[:2])
 
 
 def unique_names(names: Column, joiner: str = "#") -> Column:
@@ -138,7 +136,6 @@ def running_totals(sizes: Column) -> Column:
     """Sums of the first 1, 2, 3 … numbers of a row's list, in linear time."""
 
     def sums(lists: pa.Array) -> pa.Array:
-        out = [None if row is None else list(accumulate(row)) for row in lists.to_pylist()]
-        return pa.array(out, pa.list_(pa.int64()))
+        return lists_of([None if row is None else list(accumulate(row)) for row in rows_of(lists)], pa.int64())
 
     return F.arrow_udf(sums, "array<bigint>")(sizes)

@@ -82,6 +82,8 @@ def _levels(segments: str, language: str, starts: dict[str, list[str]]) -> str:
     def ranked(patterns: tuple[str, ...]) -> str:
         continued = f"i > 0 AND NOT endswith(element_at({segments}, greatest(i, 1)), '\\n')"
         ranks = [(f"s RLIKE {literal(p)}", str(len(patterns) - n)) for n, p in enumerate(patterns)]
+        if len(patterns) > 1:  # most segments fit none, which one search tells
+            ranks.insert(0, (f"NOT s RLIKE {literal('|'.join(f'(?:{p})' for p in patterns))}", "0"))
         return f"transform({segments}, (s, i) -> {case([(continued, '0'), *ranks], '0')})"
 
     groups: dict[tuple, list[str]] = {}
@@ -97,6 +99,10 @@ def _segments(code: Column, widest: Column) -> Column:
     return F.regexp_extract_all(code, pattern, F.lit(0))
 
 
+def without_last_break(text: Column) -> Column:
+    return F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def packed_chunks(
     df: DataFrame,
     out: str,
@@ -118,9 +124,7 @@ def packed_chunks(
         F.transform(
             F.col("_spans"),
             lambda s: F.struct(
-                F.regexp_replace(
-                    F.array_join(F.slice(seg, s["first"], s["last"] - s["first"] + 1), ""), r"\n\z", ""
-                ).alias("content"),
+                let(F.array_join(F.slice(seg, s["first"], s["last"] - s["first"] + 1), ""), without_last_break).alias("content"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
             ),

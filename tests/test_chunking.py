@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codelode import catalog
 from codelode.functions import languages
 from codelode.functions.packing import running_totals
+from codelode.functions.lists import lists_of, rows_of, structs_of
 from codelode.operators import chunking, ordered
 
 WORDS = ["def f(x):", "    return x", "", "class A:", "    def m(self):", "x = 1", "# note", "import os", "y" * 90, "z" * 5000]
@@ -173,3 +175,10 @@ def test_ordered_operators_keep_null_and_far_positions(spark):
     assert {(r.v, r.n) for r in numbered.collect()} == {(1, 1), (4, 2), (5, 3), (2, 4), (3, 5), (6, 1)}
     reach = ordered.max_before(df, ["k"], "p", "v", "m", span=10)
     assert {(r.v, r.m) for r in reach.collect()} == {(1, None), (4, 1), (5, 4), (2, 5), (3, 5), (6, None)}
+
+
+def test_lists_of_slices_and_null_rows():
+    lists = pa.array([[1], None, [], [2, 3], None, [4]], pa.list_(pa.int32()))
+    assert list(rows_of(lists)) == lists.to_pylist() and list(rows_of(lists.slice(1, 3))) == [None, [], [2, 3]]
+    assert structs_of([None, [], [(1, 2)]], [pa.field(n, pa.int32()) for n in "ab"]).to_pylist() == [None, [], [{"a": 1, "b": 2}]]
+    assert lists_of([], pa.int64()).to_pylist() == [] and lists_of([None, [5]], pa.int64()).to_pylist() == [None, [5]]
