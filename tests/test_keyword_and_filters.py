@@ -1,5 +1,6 @@
 import pytest
 
+import __spark_entry__ as entry_point
 from codelode.operators import filters
 from codelode.operators.fields import resolve_field
 from codelode.operators.filters import QueryFilter
@@ -115,3 +116,10 @@ def test_unsupported(table):
     for bad in (QueryFilter("language", "~", "x"), QueryFilter("language", "IN", "x"), QueryFilter("complexity_score", "=", "x")):
         with pytest.raises(ValueError):
             filters.condition(table, bad)
+
+
+@pytest.mark.parametrize("name", ["filter_array_contains", "filter_array_constant"])
+def test_conditions_on_made_texts_stay_above_the_dealing_out(spark, name):
+    plan = entry_point.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("REPARTITION_BY_NUM")
+    assert "regexp_extract_all" in above and "regexp_extract_all" not in below

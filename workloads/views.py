@@ -173,7 +173,8 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/part_"),
                 "p_partkey", F.lit("."), pick(0),
             ).alias("filename"),
-            F.concat(_fill(pick(1)), body, _fill(F.concat(pick(3), damage))).alias("content"),
+            # As an exploded column the text is made once, and conditions on it stay above the dealing out.
+            F.explode_outer(F.array(F.concat(_fill(pick(1)), body, _fill(F.concat(pick(3), damage))))).alias("content"),
             F.lit("parts").alias("source_name"),
             "language", "p_partkey", "p_size",
         )
