@@ -65,7 +65,10 @@ class _Pair:
             self.bar = np.full(len(self.ids), -np.inf)
         for first in range(low, high, ROWS_AT_ONCE):
             vectors, at = _units(batch, first, min(high, first + ROWS_AT_ONCE))
-            query, row = np.nonzero((scores := self.matrix @ vectors.T) >= self.bar[:, None])  # ties stay in
+            scores, bar = self.matrix @ vectors.T, self.bar
+            if len(at) > self.k and np.isneginf(bar).any():  # before the first pruning: the k best of these rows
+                bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            query, row = np.nonzero(scores >= bar[:, None])  # ties stay in
             self.found.append(pa.table({"query_id": pa.array(self.ids[query]), **{k: batch.column(k).take(pa.array(at[row])) for k in self.keys}, "score": pa.array(scores[query, row])}))
             self.held += len(query)
             if self.held > 4 * self.k * len(self.ids) + 65_536:

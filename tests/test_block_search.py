@@ -1,9 +1,11 @@
 """Many requests against a table in blocks, against a plain search."""
 
+import pyarrow as pa
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codelode.operators import block_search
 from codelode.operators import search
 from codelode.operators.block_search import multi_query_search
 
@@ -37,3 +39,15 @@ def test_no_rows_or_requests(spark):
     assert search.multi_query_search(table, requests.limit(0)).count() == 0
     assert search.multi_query_search(table.limit(0), requests).count() == 0
     assert [tuple(r) for r in search.multi_query_search(table, requests).collect()] == [(1, 1, "a", 1.0)]
+
+
+def test_first_rows_are_not_held_whole():
+    vectors = np.random.default_rng(5).normal(size=(1300, 8))
+    batch = pa.record_batch({"query_id": pa.array(range(1300)), "name": pa.array(range(1300)), "_vector": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    pair = block_search._Pair(3, ["name"])
+    pair.ask(batch, 0, 50)
+    pair.meet(batch, 0, 1300)
+    assert pair.held == 2 * 3 * 50  # two slabs, three of each for a request
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    best = np.argsort(-(units[:50] @ units.T), axis=1, kind="stable")[:, :3]
+    assert pair.prune()["name"].to_numpy().reshape(50, 3).tolist() == best.tolist()
