@@ -8,6 +8,7 @@ nodes by Spark expressions.
 from __future__ import annotations
 
 import ast
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -135,7 +136,14 @@ def python_nodes(code: Column) -> Column:
 
     @F.arrow_udf(_SQL)
     def nodes(texts: pa.Array) -> pa.Array:
-        parts = [_array([_nodes(t) for t in texts.slice(k, TEXTS_AT_ONCE).to_pylist()]) for k in range(0, len(texts), TEXTS_AT_ONCE)]
+        # Trees and nodes hold no cycles: they go by themselves, and a search for cycles looks at all of them in vain.
+        searched = gc.isenabled()
+        gc.disable()
+        try:
+            parts = [_array([_nodes(t) for t in texts.slice(k, TEXTS_AT_ONCE).to_pylist()]) for k in range(0, len(texts), TEXTS_AT_ONCE)]
+        finally:
+            if searched:
+                gc.enable()
         return pa.concat_arrays(parts) if parts else _array([])
 
     return nodes(code)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from codelode.functions import python_syntax
+from codelode.functions import python_syntax, symbols
 from codelode import catalog
 from codelode.functions import metadata, text
 from codelode.operators.analysis import analyze, universal_analysis
@@ -358,3 +358,18 @@ def test_nodes_as_arrow_columns():
         {"name": "self", "type_annotation": None, "default": None}, {"name": "a", "type_annotation": "int", "default": None},
         {"name": "b", "type_annotation": None, "default": "-1"}, {"name": "c", "type_annotation": None, "default": "None"},
     ]
+
+
+def test_a_text_is_searched_only_for_what_it_may_hold(spark):
+    for table in symbols.PATTERNS.values():
+        for field, patterns in table.items():
+            assert field not in symbols.NEEDED or all(any(w in p for w in symbols.NEEDED[field]) for p in patterns)
+    # one search for the words of all node kinds, and one for the kind that no word tells
+    counts = symbols.node_counts("code", "language", {field: field for names in symbols.DECLARED_NODES.values() for field in names})
+    assert counts.count("regexp_") == len(symbols.NODE_WORDS) + 1
+    code = "if (iffy) { x => y -> z }\nfor (;;) try\n  finally\n\n   class\n A {\nenum B { C }\n"
+    rows = spark.createDataFrame([("Java", code), ("Rust", "for a in b if c { match d { 1 => 2 } }"), ("C", "no")], "language string, code string")
+    got = {r.language: r for r in analyze(rows, node_counts=True).select("language", "classes", "enums", "node_counts").collect()}
+    assert got["Java"].node_counts == {"if_statement": 1, "for_statement": 1, "try_statement": 1, "finally_clause": 1, "lambda_expression": 1, "class_declaration": 1}
+    assert got["Rust"].node_counts == {"if_expression": 1, "for_expression": 1, "match_expression": 1, "match_arm": 1}
+    assert got["Java"].classes == ["A"] and got["Java"].enums == ["B"] and got["C"].node_counts == {}
