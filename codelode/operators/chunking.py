@@ -82,8 +82,8 @@ def _levels(segments: str, language: str, starts: dict[str, list[str]]) -> str:
     def ranked(patterns: tuple[str, ...]) -> str:
         continued = f"i > 0 AND NOT endswith(element_at({segments}, greatest(i, 1)), '\\n')"
         ranks = [(f"s RLIKE {literal(p)}", str(len(patterns) - n)) for n, p in enumerate(patterns)]
-        if len(patterns) > 1:  # most segments fit none, which one search tells
-            ranks.insert(0, (f"NOT s RLIKE {literal('|'.join(f'(?:{p})' for p in patterns))}", "0"))
+        if len(patterns) > 1:  # most segments fit none, which one search tells; all patterns begin with ^
+            ranks.insert(0, (f"NOT s RLIKE {literal('^(?:' + '|'.join(f'(?:{p[1:]})' for p in patterns) + ')')}", "0"))
         return f"transform({segments}, (s, i) -> {case([(continued, '0'), *ranks], '0')})"
 
     groups: dict[tuple, list[str]] = {}

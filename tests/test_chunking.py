@@ -182,3 +182,9 @@ def test_lists_of_slices_and_null_rows():
     assert list(rows_of(lists)) == lists.to_pylist() and list(rows_of(lists.slice(1, 3))) == [None, [], [2, 3]]
     assert structs_of([None, [], [(1, 2)]], [pa.field(n, pa.int32()) for n in "ab"]).to_pylist() == [None, [], [{"a": 1, "b": 2}]]
     assert lists_of([], pa.int64()).to_pylist() == [] and lists_of([None, [5]], pa.int64()).to_pylist() == [None, [5]]
+
+
+def test_most_segments_are_passed_over_by_one_anchored_search():
+    sql = chunking._levels("s", "language", chunking.STRUCTURE_STARTS)
+    assert all(p.startswith("^") for found in [*chunking.STRUCTURE_STARTS.values(), *catalog.LINE_SEPARATORS.values()] for p in found)
+    assert sql.count("NOT s RLIKE '^(?:") == sql.count("NOT s RLIKE ") == len({tuple(p) for p in chunking.STRUCTURE_STARTS.values()})
