@@ -373,3 +373,10 @@ def test_a_text_is_searched_only_for_what_it_may_hold(spark):
     assert got["Java"].node_counts == {"if_statement": 1, "for_statement": 1, "try_statement": 1, "finally_clause": 1, "lambda_expression": 1, "class_declaration": 1}
     assert got["Rust"].node_counts == {"if_expression": 1, "for_expression": 1, "match_expression": 1, "match_arm": 1}
     assert got["Java"].classes == ["A"] and got["Java"].enums == ["B"] and got["C"].node_counts == {}
+
+
+def test_solid_size_counts_blanks_instead_of_leaving_them_out(spark):
+    texts = ["", " \n\t", "a b\tc\n", "é ß\n中 🙂\t", "x" * 5000 + " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "code string").select("code", text.solid_size("code").alias("n"))
+    assert "translate(" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.code: r.n for r in rows.collect()} == {t: len(t) - sum(map(t.count, " \n\t")) for t in texts}
