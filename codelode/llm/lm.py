@@ -46,6 +46,7 @@ LEXICON_SHARE = 1e-6
 LEAST = 2
 DISCOUNT = 0.75
 COUNT_BYTES = 16 << 20
+SENT_GRAMS = 1 << 18
 WALK_BYTES = 4 << 20
 RANGE_TOKENS = 1 << 18
 FIRST_NAME, END_NAME = (int(x) for x in spans.mix(np.array([0x5EED1, 0x5EED2], np.uint64)))
@@ -182,13 +183,14 @@ def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int, bits:
                     at_gram = np.flatnonzero(whole[-1] & fine[:-1] & fine[1:])
                     held[0].append(names[-1][at_gram])
                     held[1].append(names[-2][at_gram])
-                gram, left = map(np.concatenate, held)
+                # One array after the other, so that a slice is held three times over at most.
+                gram = np.concatenate(held.pop(0))
                 gram, places, runs = _distinct(gram)
-                n, left, ranges = np.diff(runs), left[places[runs[:-1]]], (gram >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.lexsort((left, ranges))
-                cuts = np.flatnonzero(np.diff(ranges[order], prepend=-1))
-                blocks = [_blocks(values[order], cuts) for values in (gram, left, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[order[cuts]]), *blocks], ["range", "grams", "lefts", "counts"])
+                first, n = places[runs[:-1]], np.diff(runs)
+                del places, runs
+                left = np.concatenate(held.pop())[first]
+                del first
+                yield from _sent(gram, left, n, bits)
 
     def merge(blocks: pa.Table) -> pa.Table:
         gram, left, n = (np.frombuffer(b"".join(blocks[c].to_pylist()), np.int64) for c in ("grams", "lefts", "counts"))
@@ -201,6 +203,20 @@ def _grams(training: DataFrame, size: int, parts: np.ndarray, least: int, bits:
     return tables.kept(sent.groupBy("range").applyInArrow(merge, "gram long, left long, n long"), "grams")
 
 
+def _sent(gram: np.ndarray, left: np.ndarray, n: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Ascending n-grams with histories and counts as blocks by range of hashes, some ranges at once."""
+    places = np.flatnonzero(np.diff((gram >> np.uint64(64 - bits)).astype(np.int64), prepend=-1))
+    ends, first = np.append(places[1:], len(gram)), 0
+    while first < len(places):
+        last = max(first + 1, int(np.searchsorted(ends, places[first] + SENT_GRAMS, "right")))
+        low, high = places[first], ends[last - 1]
+        ranges, cuts = (gram[low:high] >> np.uint64(64 - bits)).astype(np.int64), places[first:last] - low
+        order = np.lexsort((left[low:high], ranges))
+        blocks = [_blocks(values[low:high][order], cuts) for values in (gram, left, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(ranges[cuts]), *blocks], ["range", "grams", "lefts", "counts"])
+        first = last
+
+
 def _blocks(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """Runs of 64-bit values as bytes, each up to the next cut."""
     return pa.array([b.tobytes() for b in np.split(values, cuts[1:])] if len(cuts) else [], pa.binary())
