@@ -36,7 +36,8 @@ def test_cache_of_words_is_compact():
     bpe, words = bytebpe.ByteBPE(BPE), 100_000
     pieces = [spans.flat(pa.array([text])) for text in made_up(words, 1)]
     stays, _ = held(lambda: [bpe.encode(*piece) for piece in pieces])
-    assert len(bpe.seen) >= 0.99 * words and stays / words < 80
+    assert stays / words < 80  # a dict of hashes and slots alone takes more
+    assert len(bpe.seen) >= 0.99 * words
 
 
 @pytest.mark.parametrize("limit", [10, 1500, 1_500_000])
